@@ -28,14 +28,17 @@ def _digest_share(salt: str) -> Column:
 def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
-    A group's preferred shard is the one that holds most of it, the lower on
-    ties, except that a group larger than a shard's capacity keeps its spread.
+    A group's preferred shard is the one that holds most of it, ties broken by
+    hash so that wishes balance, except that a group larger than a shard's
+    capacity keeps its spread.
     Of the d(s, t) documents that want from s to t, min(d(s, t), d(t, s)) move
     in expectation, chosen by digest.
     """
     held = rows.filter("linked").groupBy("link1", "link2", "shard").agg(F.count(F.lit(1)).alias("n"))
-    best = held.groupBy("link1", "link2").agg(F.max(F.struct("n", -F.col("shard"))).alias("best"), F.sum("n").alias("all"))
-    best = best.select("link1", "link2", (-F.col("best.col2")).cast("int").alias("goal"), "all")
+    best = held.groupBy("link1", "link2").agg(
+        F.max(F.struct("n", F.xxhash64("link1", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all")
+    )
+    best = best.select("link1", "link2", F.col("best.shard").alias("goal"), "all")
     aim = rows.join(best, ["link1", "link2"], "left")
     fits = F.col("all") <= F.col("capacity")
     aim = aim.withColumn("goal", F.when(F.col("linked") & fits, F.coalesce("goal", "shard")).otherwise(F.col("shard")))
@@ -79,7 +82,7 @@ def even_out(rows: DataFrame, ws: Workspace, n_shards: int, n: int) -> DataFrame
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 8, rounds: int = 3, seed: str = "shard", link: Column | None = None
+    docs: DataFrame, n_shards: int = 8, rounds: int = 5, seed: str = "shard", link: Column | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for every row.
 
