@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import quality, toxicity
+from textloom.llm._labelled import held_out
 from textloom.llm.license_scan import scan_licences
 from textloom.llm.line_dedup import drop_frequent_lines
 from textloom.llm.mixing import fair_mix
@@ -15,11 +17,27 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _scored(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return _scored(quality.score(docs, quality.fit(docs, labels)), 0.3)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_frequent_lines(_read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels)), 0.5)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), n_shards=8).drop("linked")
 
@@ -44,7 +62,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
