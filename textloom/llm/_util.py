@@ -61,7 +61,7 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rows_per_bucket(n_rows: int, per_bucket: int = 20_000, least: int = 8) -> int:
+def rows_per_bucket(n_rows: int, per_bucket: int = 5_000, least: int = 8) -> int:
     """Number of order buckets so that each holds about ``per_bucket`` rows."""
     return max(least, -(-n_rows // per_bucket))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import quality, toxicity
+from textloom.llm.ann import nearest
 from textloom.llm._labelled import held_out
 from textloom.llm.license_scan import scan_licences
 from textloom.llm.line_dedup import drop_frequent_lines
@@ -61,6 +62,11 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(doc_id, "declared", "score", "licence", "from_dir")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
@@ -68,6 +74,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES = {
