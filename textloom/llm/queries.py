@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from textloom.llm import quality, toxicity
 from textloom.llm.ann import nearest
 from textloom.llm._labelled import held_out
+from textloom.llm.decontaminate import contaminated
 from textloom.llm.license_scan import scan_licences
 from textloom.llm.line_dedup import drop_frequent_lines
 from textloom.llm.mixing import fair_mix
+from textloom.llm.near_dedup import near_duplicates
 from textloom.llm.sharding import shard
 
 
@@ -24,6 +26,10 @@ def _scored(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     return _scored(quality.score(docs, quality.fit(docs, labels)), 0.3)
@@ -43,6 +49,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), n_shards=8).drop("linked")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents only, once for each item they hold."""
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = fair_mix(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), budget_share=1.5, max_repeats=2)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,10 +79,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_licences": op9_licences,
     "op10_nearest": op10_nearest,

@@ -215,3 +215,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, score double, evidence double, n_tokens long, segments array<struct<first:int,last:int,score:double>>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for b in batches:
+            found = (segments_of(t, m) for t in as_bytes(b.column("text")))
+            yield b.filter(pa.array([m.probability(m.evidence(seg, n)) < threshold for seg, n in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
