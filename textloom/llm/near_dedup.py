@@ -311,7 +311,9 @@ def near_duplicates(
     ws.drop(banded)
     pairs = ws.put(buckets.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    feats = ws.put(full_sets(docs.join(ids, "doc_id", "left_semi"), sketch).dropDuplicates(["doc_id"]))
+    # A merge join at every size: a broadcast of few ids would only hide what many cost.
+    near = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    feats = ws.put(full_sets(near, sketch).dropDuplicates(["doc_id"]))
     side = lambda x: feats.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "registers", "shingles")])
     links = ws.put(verify(pairs.join(side("a"), "a").join(side("b"), "b"), sketch, percent, screen))
     roots = ws.put(components(links, ws))
