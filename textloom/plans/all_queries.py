@@ -1,3 +1,3 @@
 """Imports every module of queries."""
 
-from textloom.plans import corpus_queries, text_queries  # noqa: F401
+from textloom.plans import corpus_queries, retrieval_queries, text_queries  # noqa: F401
