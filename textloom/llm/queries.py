@@ -14,6 +14,7 @@ from textloom.llm.line_dedup import drop_frequent_lines
 from textloom.llm.mixing import fair_mix
 from textloom.llm.near_dedup import near_duplicates
 from textloom.llm.sharding import shard
+from textloom.llm.suffix_dedup import drop_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, toxicity.fit(docs, labels)), 0.5)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeats(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"), n_shards=8).drop("linked")
 
@@ -83,6 +89,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_repeats": op5_repeats,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
