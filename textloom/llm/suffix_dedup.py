@@ -6,8 +6,10 @@ substring of least hash, so equal strings have equal anchors, and consecutive
 strings with one anchor form a unit of at most 80 bytes.
 
 1. Anchors are counted over all documents (packed arrays, one row for each
-   batch of documents and hash range). Most anchors stand in one document only;
-   nothing that hangs on them can repeat.
+   batch of documents and hash range). Most anchors stand in one text only;
+   nothing that hangs on them can repeat. Whole copies are told apart by a
+   fingerprint of the text, so their anchors alone don't count as repeated:
+   a copy of a document with a smaller doc_id just goes.
 2. Units of repeated anchors are dealt by anchor. Where an anchor stands in
    very many documents its strings are dealt one by one, by their own hash, so
    no task holds a hot group. Equal units of a batch travel once.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._bytes import TABLE, U, Block, as_bytes, blocks, mix, powers, range_hash
-from textloom.llm._util import Workspace
+from textloom.llm._util import Workspace, key128
 
 SPAN = 50
 ANCHOR = 20
@@ -76,8 +78,7 @@ def _batch_id(k: int) -> int:
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-    return ids, batch.column("row").to_numpy(), as_bytes(batch.column("text"))
+    return batch.column("doc_id").to_numpy(), batch.column("row").to_numpy(), as_bytes(batch.column("text"))
 
 
 _EXCHANGE = "kind int, batch long, part int, a binary, b binary, c binary, d binary"
@@ -93,12 +94,20 @@ def _emit(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({k: pa.array([r[k] for r in rows[i : i + 64]], t) for k, t in types.items()})
 
 
+def _split40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit numbers as their upper 32 and lower 8 bits."""
+    return (x >> U(8)).astype(np.uint32), (x & U(255)).astype(np.uint8)
+
+
 def count_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """For each batch: distinct anchors with document counts by part (kind 0); each unit's place among them (kind 1)."""
+    """For each batch: distinct anchors by part with document counts and the text's fingerprint (kind 0);
+    each unit's place among them (kind 1). The fingerprint (40 bits) is 0 where several texts have the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(batches):
             _, row, texts = _rows(batch)
+            prints = (batch.column("k1").to_numpy().view(U) & U((1 << 40) - 1)) | U(1)
             keys, docs_, per_doc = [], [], np.zeros(len(texts), np.int32)
             for block in blocks(texts):
                 _, _, anchor, text, _ = units_of(block)
@@ -111,18 +120,22 @@ def count_anchors(docs: DataFrame, parts: int) -> DataFrame:
                 continue
             part = ((key >> U(40)) % U(parts)).astype(np.int64)
             low = key & U((1 << 40) - 1)
-            order = np.lexsort((doc, (part.astype(U) << U(40)) | low))
+            # Texts in the order of their fingerprints, so equal texts stand together.
+            order = np.lexsort((prints[doc], (part.astype(U) << U(40)) | low))
             p, q, d = part[order], low[order], doc[order]
             new = np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
             fresh = np.r_[True, d[1:] != d[:-1]] | new
             group = np.cumsum(new) - 1
-            held = np.minimum(np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(new)), 255).astype(np.uint8)
+            heads = np.flatnonzero(new)
+            f = prints[d]
+            f = np.where(np.minimum.reduceat(f, heads) == np.maximum.reduceat(f, heads), f[heads], U(0))
+            held = np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 255).astype(np.uint8)
             place = np.empty(len(key), np.int32)
             place[order] = group
             p, q = p[new], q[new]
             cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
             out = [
-                _exchange_row(0, _batch_id(k), int(p[i]), (q[i:j] >> U(8)).astype(np.uint32), (q[i:j] & U(255)).astype(np.uint8), held[i:j])
+                _exchange_row(0, _batch_id(k), int(p[i]), *_split40(q[i:j]), held[i:j], np.frombuffer(b"".join(x.tobytes() for x in _split40(f[i:j])), np.uint8))
                 for i, j in zip(cut, np.r_[cut[1:], len(p)])
             ]
             out.append(_exchange_row(1, _batch_id(k), -1, row.astype(np.int64), per_doc, place))
@@ -132,22 +145,27 @@ def count_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def judge_anchors(counts: DataFrame, hot: int) -> DataFrame:
-    """For each batch and part, one byte for each distinct anchor: 0 alone, 1 repeated, 2 in more than ``hot`` documents."""
+    """For each batch and part, one byte for each distinct anchor: 0 in one text, 1 repeated, 2 in more than ``hot`` documents."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b, c = ([np.frombuffer(x, t) for x in table.column(n).to_pylist()] for n, t in (("a", np.uint32), ("b", np.uint8), ("c", np.uint8)))
         key = (np.concatenate(a).astype(U) << U(8)) | np.concatenate(b).astype(U)
+        packed = table.column("d").to_pylist()
+        prints = np.concatenate([(np.frombuffer(x, np.uint32, n).astype(U) << U(8)) | np.frombuffer(x, np.uint8, n, 4 * n) for x, n in zip(packed, map(len, a))])
         order = np.argsort(key, kind="stable")
-        s = key[order]
+        s, f = key[order], prints[order]
         new = np.r_[True, s[1:] != s[:-1]]
-        total = np.add.reduceat(np.concatenate(c).astype(np.int64)[order], np.flatnonzero(new))
-        verdict = ((total > 1).astype(np.uint8) + (total > hot).astype(np.uint8))[np.cumsum(new) - 1]
+        heads = np.flatnonzero(new)
+        total = np.add.reduceat(np.concatenate(c).astype(np.int64)[order], heads)
+        low = np.minimum.reduceat(f, heads)
+        several = (low == 0) | (low != np.maximum.reduceat(f, heads))
+        verdict = (several.astype(np.uint8) + (several & (total > hot)).astype(np.uint8))[np.cumsum(new) - 1]
         back = np.empty(len(key), np.uint8)
         back[order] = verdict
         edges = np.cumsum([len(x) for x in a])[:-1]
         return pa.table({"batch": table.column("batch"), "part": table.column("part"), "v": pa.array([x.tobytes() for x in np.split(back, edges)], pa.binary())})
 
-    return counts.filter("kind = 0").drop("kind", "d").groupBy("part").applyInArrow(run, "batch long, part int, v binary")
+    return counts.filter("kind = 0").drop("kind").groupBy("part").applyInArrow(run, "batch long, part int, v binary")
 
 
 def mark_units(counts: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -381,25 +399,32 @@ def drop_repeats(
     Other columns are ignored; an empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "repeats")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(doc_id.alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"), *key128(F.col("text"), "k"))
+    narrow = ws.put(rows.select("doc_id", "row", "k1", "k2", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")))
+    size = narrow.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-int(size) // (16 * anchors_per_part)))
-    counts = ws.put(count_anchors(rows, parts))
+    counts = ws.put(count_anchors(rows.drop("k2"), parts))
     marks = ws.put(mark_units(counts, judge_anchors(counts, hot)).dropDuplicates(["row"]))
     ws.drop(counts)
     held = marks.agg(F.sum("n")).first()[0] or 0
     parts = max(8, -(-int(held) * 68 // bytes_per_part))
-    marked = rows.hint("merge").join(marks.select("row", "marks"), "row")
+    marked = rows.drop("k1", "k2").hint("merge").join(marks.select("row", "marks"), "row")
     cuts = ws.put(cut_units(marked, parts))
     ws.drop(marks)
-    ranges = ws.put(removed_ranges(cuts, judge_units(cuts, shards)).dropDuplicates(["row"]))
+    # Copies of a document with a smaller doc_id go as a whole.
+    first = narrow.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    copies = narrow.filter(F.col("n") >= SPAN).join(first, ["k1", "k2"]).filter("doc_id > first").select("row", F.lit(True).alias("whole"))
+    found = removed_ranges(cuts, judge_units(cuts, shards)).withColumn("whole", F.lit(False))
+    gone = found.unionByName(copies, allowMissingColumns=True).groupBy("row").agg(F.max("ranges").alias("ranges"), F.max("whole").alias("whole"))
+    gone = ws.put(gone)
     ws.drop(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n, gone, spans = [], [], [], []
-            for text, packed in zip(as_bytes(b.column("text")), b.column("ranges").to_pylist()):
-                pairs = np.frombuffer(packed, np.int64).reshape(-1, 2).tolist() if packed else []
+            for text, packed, whole in zip(as_bytes(b.column("text")), b.column("ranges").to_pylist(), b.column("whole").to_pylist()):
+                pairs = [(0, len(text))] if whole else np.frombuffer(packed, np.int64).reshape(-1, 2).tolist() if packed else []
                 parts_, at = [], 0
                 for x, y in pairs:
                     parts_.append(text[at:x])
@@ -412,7 +437,8 @@ def drop_repeats(
                 {"doc_id": b.column("doc_id"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64())}
             )
 
-    both = rows.hint("merge").join(ranges, "row", "left").select("doc_id", "text", "ranges")
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    both = texts.hint("merge").join(gone, "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges", "whole")
     return both.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
