@@ -17,7 +17,8 @@ strings with one anchor form a unit of at most 80 bytes.
    takes each shard's Burrows-Wheeler transform. The transforms are merged by
    refining the interleave: after k rounds of stable partition by symbol, the
    interleave is right for the first k symbols, and no suffix is compared or
-   sorted again. Neighbours with a common prefix of 50 make the repeated
+   sorted again. Symbols are pairs of bytes. Units that share no string, by
+   hash, stay out. Neighbours with a common prefix of 50 make the repeated
    intervals; the least doc_id of an interval decides for all its strings.
 4. Verdicts go back to the batches as bits, become byte ranges of documents
    and meet the texts again.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +75,16 @@ def units_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return start[first], count, g[anchor[first]], text[first], sums
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes of text, so that what hangs on a batch stays small."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero(np.diff(ends // size)) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _batch_id(k: int) -> int:
     return (TaskContext.get().partitionId() << 24) + k
 
@@ -105,11 +117,11 @@ def count_anchors(docs: DataFrame, parts: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(_slices(batches)):
             _, row, texts = _rows(batch)
             prints = (batch.column("k1").to_numpy().view(U) & U((1 << 40) - 1)) | U(1)
             keys, docs_, per_doc = [], [], np.zeros(len(texts), np.int32)
-            for block in blocks(texts):
+            for block in blocks(texts, 1 << 19):
                 _, _, anchor, text, _ = units_of(block)
                 keys.append(anchor)
                 docs_.append(text + block.lo)
@@ -195,12 +207,12 @@ def cut_units(marked: DataFrame, parts: int) -> DataFrame:
     """For each batch: distinct units by part (kind 0: starts, least doc_id, bytes) and every occurrence (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(_slices(batches)):
             ids, row, texts = _rows(batch)
             marks = [np.frombuffer(m, np.uint8) for m in batch.column("marks").to_pylist()]
             found: list[tuple] = []
             pieces: list[np.ndarray] = []
-            for block in blocks(texts):
+            for block in blocks(texts, 1 << 19):
                 start, count, anchor, text, sums = units_of(block)
                 if not len(start):
                     continue
@@ -255,34 +267,37 @@ def _words(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _names(key: np.ndarray) -> np.ndarray:
+def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each key among the distinct ones, and an order of the keys."""
     order = np.argsort(key)
     s = key[order]
     out = np.empty(len(key), np.int64)
     out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-    return out
+    return out, order
 
 
 def shard_transform(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order to 50 bytes and the Burrows-Wheeler transform of one shard (cyclic)."""
+    """Suffix order to 50 bytes and the Burrows-Wheeler transform of one shard (cyclic).
+
+    Its symbols are pairs of bytes: the two before each suffix.
+    """
     n = len(data)
-    name = _names(words)
+    name, order = _names(words)
     for step in (8, 16, SPAN - 32):  # prefixes of 16, 32 and 50 bytes
         shifted = np.zeros(n, np.int64)
         shifted[: n - step] = name[step:] + 1 if n > step else 0
-        name = _names(name * (n + 2) + shifted)
-    order = np.argsort(name, kind="stable")
-    return order, data[order - 1]
+        name, order = _names(name * (n + 2) + shifted)
+    return order, (data[order - 2].astype(np.uint16) << np.uint16(8)) | data[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int = SPAN) -> np.ndarray:
+def merge_transforms(transforms: list[np.ndarray], rounds: int = SPAN // 2) -> np.ndarray:
     """Interleave of the shards' suffixes: the shard of every rank.
 
     Round k partitions the merged transform stably by symbol, which puts the
-    suffixes that begin one byte earlier in order of k bytes.
+    suffixes that begin two bytes earlier in order of 2 k bytes.
     """
     z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    symbols = np.empty(len(z), np.uint8)
+    symbols = np.empty(len(z), np.uint16)
     for _ in range(rounds):
         for s, t in enumerate(transforms):
             symbols[z == s] = t
@@ -293,6 +308,20 @@ def merge_transforms(transforms: list[np.ndarray], rounds: int = SPAN) -> np.nda
     return z
 
 
+def shared_units(data: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which units hold a string that another start holds too, by hash; equal strings have equal hashes."""
+    sums = np.empty(len(data) + 1, U)
+    sums[0] = 0
+    np.cumsum(TABLE[data] * powers(len(data))[0], out=sums[1:])
+    h = (sums[flat + SPAN] - sums[flat]) * powers(len(data) + 1)[1][flat]
+    order = np.argsort(h)
+    twin = h[order][1:] == h[order][:-1]
+    shared = np.zeros(len(flat), bool)
+    shared[order[1:][twin]] = True
+    shared[order[:-1][twin]] = True
+    return np.logical_or.reduceat(shared, np.cumsum(starts) - starts)
+
+
 def least_ids(strings: list[np.ndarray], starts: np.ndarray, ids: np.ndarray, shards: int = 2) -> np.ndarray:
     """For every start of every unit: the least id of a unit that has the same 50 bytes there or elsewhere.
 
@@ -349,8 +378,14 @@ def judge_units(cuts: DataFrame, shards: int) -> DataFrame:
         first = np.full(len(number), NO_ID)
         np.minimum.at(first, place, ids)
         count = np.array([len(x) - SPAN + 1 for x in number])
-        least = least_ids([np.frombuffer(x, np.uint8) for x in number], count, first, shards)
         at = np.cumsum(count) - count
+        least = np.repeat(first, count)
+        strings = [np.frombuffer(x, np.uint8) for x in number]
+        flat = np.arange(len(least)) + np.repeat((np.arange(len(count)) * (SPAN - 1)), count)
+        keep = np.flatnonzero(shared_units(np.concatenate(strings), flat, count))
+        if len(keep):
+            own = np.repeat(at[keep] - (np.cumsum(count[keep]) - count[keep]), count[keep]) + np.arange(count[keep].sum())
+            least[own] = least_ids([strings[i] for i in keep], count[keep], first[keep], shards)
         bits = np.zeros(len(whole), np.uint32)
         for i in range(int(starts.max())):
             has = np.flatnonzero(starts > i)
@@ -389,7 +424,7 @@ def removed_ranges(cuts: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def drop_repeats(
-    docs: DataFrame, anchors_per_part: int = 1_000_000, bytes_per_part: int = 3_000_000, hot: int = 20_000, shards: int = 2
+    docs: DataFrame, anchors_per_part: int = 1_000_000, bytes_per_part: int = 1_500_000, hot: int = 20_000, shards: int = 2
 ) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans for every row.
 
