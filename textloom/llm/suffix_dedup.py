@@ -456,7 +456,7 @@ def drop_repeats(
     ws.drop(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             kept, n, gone, spans = [], [], [], []
             for text, packed, whole in zip(as_bytes(b.column("text")), b.column("ranges").to_pylist(), b.column("whole").to_pylist()):
                 pairs = [(0, len(text))] if whole else np.frombuffer(packed, np.int64).reshape(-1, 2).tolist() if packed else []
