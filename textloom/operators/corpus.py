@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.shared import shared_root
+
 
 def annotate(docs: DataFrame, tiers: DataFrame, paragraph: Column, line: Column, default: int = 6) -> DataFrame:
     """Join tiers by source; add verified (tier 5 or better) and a citation by paragraph, else by line."""
@@ -46,36 +49,47 @@ def merge_with_precedence(a: DataFrame, b: DataFrame, key: str, name_a: str, nam
     return a.join(b, key, "full_outer").withColumn("source", source).drop("_a", "_b")
 
 
-def with_rank(rows: DataFrame, order: Sequence[Column], out: str, n: int | None = None) -> DataFrame:
-    """Global rank (from 1) without a single-partition sort.
+def in_order(rows: DataFrame, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds the running sum of each value in global order, without a single-partition sort.
 
-    Rows are range-partitioned and cached in order; the sizes of the
-    partitions (one row each) give every partition its first rank.
+    Rows are range-partitioned; the sums of the partitions (one row each) give
+    every partition its start. The ranged rows are written first: their bounds
+    come from a sample, and rows and sums must agree on them.
     """
-    # The range bounds come from a sample, so rows and sizes must be read from one evaluation.
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)).persist()
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_start"))
-    return ordered.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
+    spark = rows.sparkSession
+    ranged = rows.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]).repartitionByRange(*order)
+    path = f"{shared_root(spark)}/textloom/order-{uuid.uuid4().hex[:12]}"
+    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sums = ranged.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(starts, "_part").withColumns({n: F.sum(f"_v_{n}").over(inside) + F.col(f"_s_{n}") for n in values})
+    return out.drop("_part", *[f"_{k}_{n}" for n in values for k in "vs"])
+
+
+def with_rank(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Global rank from 1."""
+    return in_order(rows, order, {out: F.lit(1)})
 
 
 def coverage(words: DataFrame, word: str, top: int | None, digits: int | None = 9) -> DataFrame:
     """word, n, rk, share, coverage of the ``top`` most frequent words (all if None).
 
-    Counting comes first, so the ordered window sees distinct words only.
+    Counting comes first, so only distinct words are put in order.
     """
     counts = words.groupBy(word).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy(F.desc("n"), word)
+    total = counts.agg(F.sum("n").alias("total"))
     r = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     if top is not None:
-        total = counts.agg(F.sum("n").alias("total"))
-        counts = counts.orderBy(F.desc("n"), word).limit(top).join(F.broadcast(total), F.lit(True))  # one row
+        order = Window.orderBy(F.desc("n"), word)  # over ``top`` rows
+        ranked = counts.orderBy(F.desc("n"), word).limit(top)
+        ranked = ranked.withColumns({"rk": F.row_number().over(order).cast("long"), "cum": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     else:
-        counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
-    cum = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select(word, "n", F.row_number().over(order).cast("long").alias("rk"), r(F.col("n") / F.col("total")).alias("share"), r(cum / F.col("total")).alias("coverage"))
+        ranked = in_order(counts, [F.desc("n"), F.col(word)], {"rk": F.lit(1), "cum": F.col("n")})
+    ranked = ranked.join(F.broadcast(total), F.lit(True))  # one row
+    return ranked.select(word, "n", "rk", r(F.col("n") / F.col("total")).alias("share"), r(F.col("cum") / F.col("total")).alias("coverage"))
 
 
 def noun_dictionary(nouns: DataFrame, least: int, contexts: int) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module of queries."""
 
-from textloom.plans import corpus_queries, io_queries, language_queries, retrieval_queries, text_queries  # noqa: F401
+from textloom.plans import corpus_queries, io_queries, language_queries, retrieval_queries, structure_queries, text_queries  # noqa: F401

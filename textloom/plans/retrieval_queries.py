@@ -400,13 +400,6 @@ def decompose(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.posexplode(ps).alias("p", "part")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("step"), "part")
 
 
-@query("execution_levels", """WITH RECURSIVE r AS (SELECT r_regionkey AS id, 0 AS level FROM region UNION ALL SELECT id + 5, level + 1 FROM r WHERE level < 3) SELECT level, count(*) AS n FROM r GROUP BY level""")
-def execution_levels(t: Tables) -> DataFrame:
-    """Steps become ready level by level; a step of level k needs the step five before it."""
-    steps = t.region.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"), "r_regionkey")
-    return steps.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("keyword_relevance", r"""WITH g AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS g FROM benchmark WHERE item_id < 20), q AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS q FROM conversations WHERE turn = 0)
 SELECT conv_id, item_id, round(len(list_intersect(q, g)) / len(g), 6) AS relevance FROM q, g WHERE len(list_intersect(q, g)) / len(g) > 0.3""")
 def keyword_relevance(t: Tables) -> DataFrame:
