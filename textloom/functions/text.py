@@ -154,8 +154,8 @@ CAPITAL = "A-ZĈĜĤĴŜŬ"
 
 def split_sentences(text: Column) -> Column:
     """Sentences before a capital, abbreviations protected."""
-    for a in ABBREVIATIONS:
-        text = F.regexp_replace(text, rf"(?iu)(^|[^\p{{L}}])({a.replace('.', chr(92) + '.')})\.", "$1$2\u0002")
+    short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    text = F.regexp_replace(text, rf"(?iu)(^|[^\p{{L}}])({short})\.", "$1$2\u0002")
     cut = F.split(text, rf"(?<=[.!?])\s+(?=[{CAPITAL}]|$)")
     return F.filter(F.transform(cut, lambda x: F.trim(F.replace(x, F.lit("\u0002"), F.lit(".")))), lambda x: x != "")
 

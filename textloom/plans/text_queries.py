@@ -594,7 +594,9 @@ SELECT doc_id, unnest(range(1, len(cs) + 1)) AS pos, unnest(cs) AS chunk FROM (
   SELECT doc_id, list_transform(range(0, greatest(len(ws) - 10 - 1, 0) + 1, 54), lambda i: array_to_string(ws[i + 1:i + 64], ' ')) AS cs FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents) WHERE len(ws) > 0)""")
 def chunk_text(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(T.chunks(T.split_blank(F.col("text")), 64, 10)).alias("p", "chunk"))
+    # Tokens in a projection of their own: inside the windows they would be cut anew for each.
+    rows = t.documents.select("doc_id", T.split_blank(F.col("text")).alias("ws"))
+    rows = rows.select("doc_id", F.posexplode(T.chunks(F.col("ws"), 64, 10)).alias("p", "chunk"))
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "chunk")
 
 
@@ -603,7 +605,8 @@ WITH {LINES}, c AS (SELECT doc_id, pos, list_transform(range(0, greatest(len(ws)
   SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '\s+'), lambda x: x <> '') AS ws FROM lines) WHERE len(ws) > 0)
 SELECT doc_id || '-' || pos || '-' || j AS id, chunk FROM (SELECT doc_id, pos, unnest(range(1, len(cs) + 1)) AS j, unnest(cs) AS chunk FROM c)""")
 def chunk_paragraphs(t: Tables) -> DataFrame:
-    rows = line_rows(t.documents).select("doc_id", "pos", F.posexplode(T.chunks(T.split_blank(F.col("line")), 64, 10)).alias("j", "chunk"))
+    rows = line_rows(t.documents).select("doc_id", "pos", T.split_blank(F.col("line")).alias("ws"))
+    rows = rows.select("doc_id", "pos", F.posexplode(T.chunks(F.col("ws"), 64, 10)).alias("j", "chunk"))
     return rows.select(F.concat_ws("-", "doc_id", "pos", F.col("j") + 1).alias("id"), "chunk")
 
 
