@@ -9,7 +9,7 @@ from textloom.llm import quality, toxicity
 from textloom.llm.ann import nearest
 from textloom.llm._labelled import held_out
 from textloom.llm.decontaminate import contaminated
-from textloom.llm.license_scan import scan_licences
+from textloom.llm.license_scan import TEMPLATES, scan_licences
 from textloom.llm.line_dedup import drop_frequent_lines
 from textloom.llm.mixing import fair_mix
 from textloom.llm.near_dedup import near_duplicates
@@ -97,7 +97,58 @@ QUERIES = {
     "op10_nearest": op10_nearest,
 }
 
+_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v.lower()}')" for k, v in TEMPLATES.items())
+
 ORACLES = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT x AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(y) AS component_id, x = min(y) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY x
+""",
+    "op5_repeats": r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS p FROM h)),
+f AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+hit AS (SELECT g.doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY g.doc_id ORDER BY p) + 50, true) AS new FROM g JOIN f USING (s) WHERE g.doc_id > least),
+run AS (SELECT doc_id, p, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM span),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone, max(b) AS tail, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS kept
+  FROM piece JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * tail + 1), x))) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+""",
+    "op9_licences": rf"""
+WITH files AS (
+  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text, coalesce(length(text), 0) < 400 AS is_file FROM documents),
+t AS (SELECT name, unnest(regexp_extract_all(body, '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, body)),
+tf AS (SELECT name, w, count(*) AS c FROM t GROUP BY 1, 2), terms AS (SELECT DISTINCT w FROM tf),
+fw AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM files),
+df AS (SELECT terms.w, count(fw.path) AS df FROM terms LEFT JOIN fw USING (w) GROUP BY 1),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (SELECT w, 1 + ln((1 + n)::DOUBLE / (1 + df)) AS idf FROM df, total),
+vec AS (SELECT name, w, c * idf AS x FROM tf JOIN idf USING (w)), vn AS (SELECT name, sqrt(sum(x * x)) AS norm FROM vec GROUP BY name),
+lines AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS l FROM (SELECT path, string_split(text, chr(10)) AS ls FROM files)),
+lw AS (SELECT path, line, w, count(*) AS c FROM (SELECT path, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM lines) GROUP BY 1, 2, 3),
+ln_ AS (SELECT path, line, sqrt(sum(pow(c * coalesce(idf, 1 + ln(1.0 + n)), 2))) AS norm FROM lw LEFT JOIN idf USING (w), total GROUP BY 1, 2),
+dots AS (SELECT path, line, name, sum(c * idf * x / vn.norm) AS dot FROM lw JOIN idf USING (w) JOIN vec USING (w) JOIN vn USING (name) GROUP BY 1, 2, 3),
+best AS (SELECT path, -b.s AS score, b.name AS licence FROM (
+  SELECT path, min(struct_pack(s := -round(dot / norm, 9), name := name)) AS b FROM dots JOIN ln_ USING (path, line) WHERE round(dot / norm, 9) >= 0.8 GROUP BY path)),
+rows_ AS (SELECT files.*, score, licence FROM files LEFT JOIN best USING (path)),
+dirs AS (SELECT dir, b.licence AS dir_licence FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, min(struct_pack(s := -score, path := path, licence := licence)) AS b FROM rows_ WHERE is_file AND licence IS NOT NULL GROUP BY 1))
+SELECT doc_id, licence AS declared, score, coalesce(licence, dir_licence) AS licence, CASE WHEN licence IS NULL THEN dir END AS from_dir
+FROM rows_ LEFT JOIN dirs ON regexp_replace(path, '/[^/]*$', '') = dir
+""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, rn, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line
