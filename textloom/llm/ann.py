@@ -6,7 +6,8 @@ batches, a greedy beam search from the medoid proposes neighbours, and a
 relaxed pruning keeps an edge only if no kept neighbour is closer to the
 target by the factor alpha, so edges stay diverse and few. Queries are beam
 searched in every shard, and the best of all shards are ranked by the exact
-distance. Searches of many points advance in lockstep, so numpy does the work.
+distance. Graphs are built once and written; a task holds one shard and one
+block of queries. Searches of many points advance in lockstep, so numpy does the work.
 """
 
 from __future__ import annotations
@@ -149,9 +150,30 @@ def valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(V: np.ndarray) -> tuple[np.ndarray, float]:
+    """Single-precision vectors and their scale, a power of two, which loses no digits."""
+    scale = 2.0 ** np.floor(np.log2(np.abs(V).max()))
+    return (V / scale).astype(np.float32), scale
+
+
+def build_shards(points: DataFrame, degree: int, beam: int, alpha: float) -> DataFrame:
+    """One row for each shard and dimension: ids, vectors, edges and start points, packed."""
+
+    def build(pts: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for dim, part in pts.groupby("dim"):
+            part = part.sort_values("rep")
+            V = np.stack(part.v.to_numpy()).astype(np.float64)
+            graph, starts = build_graph(_scaled(V)[0], degree, beam, alpha)
+            rows.append((part.shard.iloc[0], dim, part.rep.to_numpy(np.int64).tobytes(), V.tobytes(), graph.astype(np.int32).tobytes(), starts.astype(np.int64).tobytes()))
+        return pd.DataFrame(rows, columns=["shard", "dim", "reps", "vectors", "graph", "starts"])
+
+    return points.select("shard", "rep", "v", "dim").groupBy("shard").applyInPandas(build, "shard long, dim int, reps binary, vectors binary, graph binary, starts binary")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, degree: int = 32,
-    beam: int = 96, alpha: float = 1.2,
+    beam: int = 96, alpha: float = 1.2, block_queries: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every query.
 
@@ -182,37 +204,35 @@ def nearest(
     asked = ws.put(asked.select(
         F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("qv")
     ))
-    # Every shard searches the stated queries, in one block for each shard.
-    per_shard = asked.select("query_id", "qv", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    per_shard = per_shard.withColumn("shard", F.col("shard").cast("long"))
+    index = ws.put(build_shards(points, degree, beam, alpha))
+    n_asked = asked.count()
+    parts = max(1, -(-n_asked // block_queries))
+    # Every block of the stated queries is searched in every shard.
+    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     keep = k + 1
 
-    def search(key, pts: pd.DataFrame, qs: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def search(key, graphs: pd.DataFrame, qs: pd.DataFrame) -> Iterator[pd.DataFrame]:
         out = []
-        for dim, part in pts.groupby("dim"):
-            mine = qs[qs.qv.map(len) == dim]
+        for g in graphs.itertuples():
+            mine = qs[qs.qv.map(len) == g.dim]
             if not len(mine):
                 continue
-            part = part.sort_values("rep")
-            V, Q = np.stack(part.v.to_numpy()), np.stack(mine.qv.to_numpy())
-            scale = 2.0 ** np.floor(np.log2(np.abs(V).max()))  # a power of two loses no digits
-            X = (V / scale).astype(np.float32)
-            graph, start = build_graph(X, degree, beam, alpha)
-            reps, asked_ids = part.rep.to_numpy(), mine.query_id.to_numpy()
+            reps, starts = np.frombuffer(g.reps, np.int64), np.frombuffer(g.starts, np.int64)
+            V, graph = np.frombuffer(g.vectors, np.float64).reshape(len(reps), g.dim), np.frombuffer(g.graph, np.int32).reshape(len(reps), -1)
+            Q, asked_ids = np.stack(mine.qv.to_numpy()), mine.query_id.to_numpy()
+            X, scale = _scaled(V)
             for lo in range(0, len(Q), 512):
                 q = Q[lo : lo + 512]
-                ids, _, _ = _search(X, graph, start, (q / scale).astype(np.float32), max(beam, keep), False)
+                ids, _, _ = _search(X, graph, starts, (q / scale).astype(np.float32), max(beam, keep), False)
                 r, c = np.nonzero(ids >= 0)
                 d = np.sqrt(((q[r] - V[ids[r, c]]) ** 2).sum(1))
                 found = pd.DataFrame({"query_id": asked_ids[lo + r], "rep": reps[ids[r, c]], "d": d})
                 out.append(found.sort_values(["query_id", "d", "rep"]).groupby("query_id").head(keep))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "rep": [], "d": []})
 
-    found = (
-        points.select("shard", "rep", "v", "dim").groupBy("shard")
-        .cogroup(per_shard.groupBy("shard"))
-        .applyInPandas(search, "query_id long, rep long, d double")
-    )
+    found = copies.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(search, "query_id long, rep long, d double")
     near = Window.partitionBy("query_id").orderBy("d", "rep")
     best = ws.put(found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= keep).drop("r", "d"))
     exact = (
