@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm._util import Workspace
+
 
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of doc_id as text divisible by 5."""
@@ -28,8 +30,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .limit(limit)
         .select("doc_id", "label")
     )
-    # At most ``limit`` narrow rows, so the text side needs no shuffle.
-    return docs.select("doc_id", n_text).join(F.broadcast(picked), "doc_id").select(n_text, "label")
+    # At most ``limit`` narrow rows, so the text side needs no shuffle. Written, as it is read several times.
+    return Workspace(docs.sparkSession, "sample").put(docs.select("doc_id", n_text).join(F.broadcast(picked), "doc_id").select(n_text, "label"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -> tuple[float, float]:
