@@ -39,7 +39,8 @@ def merge(parts: Sequence[DataFrame], text: str, order: Sequence[str], keep: Col
     for phase, df in enumerate(parts):
         df = df.withColumn("phase", F.lit(phase))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return first_of(out, [text], ["phase", *order]).filter(keep)
+    # The digest stands for the text, so texts are moved only if the result has them.
+    return first_of(out.withColumn("_key", F.md5(text)), ["_key"], ["phase", *order]).drop("_key").filter(keep)
 
 
 def merge_with_precedence(a: DataFrame, b: DataFrame, key: str, name_a: str, name_b: str) -> DataFrame:

@@ -80,7 +80,8 @@ def merge_corpora(t: Tables) -> DataFrame:
 
 @query("dedup_first", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def dedup_first(t: Tables) -> DataFrame:
-    return C.first_of(t.documents, ["text"], ["doc_id"]).select("doc_id")
+    """By digest: partial minima, and no text is shuffled."""
+    return t.documents.groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("join_pairs_vocab", f"""WITH {WORDS}, v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS id FROM words GROUP BY w ORDER BY id LIMIT 300),
