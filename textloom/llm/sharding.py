@@ -19,24 +19,23 @@ from pyspark.sql import functions as F
 from textloom.llm._util import Workspace, rows_per_bucket, running_total, spread
 
 
-def _digest_share(salt: str) -> Column:
-    """A number in [0, 1) from the row's digest and a salt."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.col("h"), F.lit(salt))), 1, 8), 16, 10).cast("long")
-    return bits / F.lit(float(2**32))
+def _share_of(salt: str, *cols: str) -> Column:
+    """A number in [0, 1) from a hash of columns and a salt."""
+    return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(2**31)) / F.lit(float(2**31))
 
 
 def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
-    A group's preferred shard is the one that holds most of it, ties broken by
+    A group's preferred shard is the one that holds most of it, ties broken anew by
     hash so that wishes balance, except that a group larger than a shard's
     capacity keeps its spread.
     Of the d(s, t) documents that want from s to t, min(d(s, t), d(t, s)) move
-    in expectation, chosen by digest.
+    in expectation; those of one group go together.
     """
     held = rows.filter("linked").groupBy("link1", "link2", "shard").agg(F.count(F.lit(1)).alias("n"))
     best = held.groupBy("link1", "link2").agg(
-        F.max(F.struct("n", F.xxhash64("link1", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all")
+        F.max(F.struct("n", F.xxhash64(F.lit(salt), "link1", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all")
     )
     best = best.select("link1", "link2", F.col("best.shard").alias("goal"), "all")
     aim = rows.join(best, ["link1", "link2"], "left")
@@ -49,7 +48,7 @@ def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
         "shard", "goal", (F.least("d", F.coalesce("r", F.lit(0))) / F.col("d")).alias("share")
     )
     moved = aim.join(F.broadcast(quota), ["shard", "goal"], "left")
-    go = F.coalesce(_digest_share(salt) < F.col("share"), F.lit(False))
+    go = F.coalesce(_share_of(salt, "link1", "shard") < F.col("share"), F.lit(False))
     return moved.withColumn("shard", F.when(go, F.col("goal")).otherwise(F.col("shard"))).drop("goal", "all", "share")
 
 
