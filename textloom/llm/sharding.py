@@ -27,11 +27,11 @@ def _share_of(salt: str, *cols: str) -> Column:
 def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
-    A group's preferred shard is the one that holds most of it, ties broken anew by
-    hash so that wishes balance, except that a group larger than a shard's
+    A group's preferred shard is the one that holds most of it, ties broken by a
+    new hash in each round so that wishes balance, except that a group larger than a shard's
     capacity keeps its spread.
     Of the d(s, t) documents that want from s to t, min(d(s, t), d(t, s)) move
-    in expectation; those of one group go together.
+    in expectation, chosen by digest.
     """
     held = rows.filter("linked").groupBy("link1", "link2", "shard").agg(F.count(F.lit(1)).alias("n"))
     best = held.groupBy("link1", "link2").agg(
@@ -48,7 +48,7 @@ def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
         "shard", "goal", (F.least("d", F.coalesce("r", F.lit(0))) / F.col("d")).alias("share")
     )
     moved = aim.join(F.broadcast(quota), ["shard", "goal"], "left")
-    go = F.coalesce(_share_of(salt, "link1", "shard") < F.col("share"), F.lit(False))
+    go = F.coalesce(_share_of(salt, "h") < F.col("share"), F.lit(False))
     return moved.withColumn("shard", F.when(go, F.col("goal")).otherwise(F.col("shard"))).drop("goal", "all", "share")
 
 
