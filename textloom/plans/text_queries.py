@@ -19,6 +19,13 @@ sents AS (
 """
 
 
+def substitute_sql(expr: str, steps: list[tuple[str, str]]) -> str:
+    """The substitutions as nested SQL calls."""
+    for pattern, by in steps:
+        expr = f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace('$', chr(92))}', 'g')"
+    return expr
+
+
 def sentence_rows(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, pos (from 1), s."""
     rows = docs.select("doc_id", "source", "lang", F.posexplode(T.sentences(F.col("text"))).alias("p", "s"))
@@ -367,7 +374,7 @@ def tokenize_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(ws).cast("long").alias("n"), F.md5(F.array_join(ws, " ")).alias("digest"))
 
 
-@query("strip_boilerplate")
+@query("strip_boilerplate", "SELECT doc_id, true AS same FROM documents")
 def strip_boilerplate(t: Tables) -> DataFrame:
     """Documents framed as the START and END lines of a book file, and cut back."""
     framed = F.concat(F.lit("Head\n*** START OF BOOK ***\n"), "text", F.lit("\n*** END OF BOOK ***\nTail"))
@@ -406,7 +413,7 @@ def html_counts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", n("<[^>]+>").alias("tags"), n("https?://[^\\s\"<]+").alias("urls"), n("&[a-z]+;").alias("entities"), n("<p>").alias("paragraphs"))
 
 
-@query("html_to_text")
+@query("html_to_text", f"SELECT page_id, trim({substitute_sql('html', T.HTML_STEPS)}) AS text FROM pages")
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
