@@ -188,6 +188,30 @@ def test_decontamination(spark):
     assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == sorted([i for i, _, _ in EDGE] + [103, 104])
 
 
+def test_decontamination_of_edits_in_every_part(spark):
+    """Copies by the rule of acceptance alone, whatever runs of words they keep."""
+    template = words(20, 2000, 10**6)
+    items = {1: words(30, 2001, 10**6), 2: words(16, 2002, 10**6)} | {10 + i: template + words(10, 2010 + i, 10**6) for i in range(12)}
+    put = lambda ws, n: [x for i, w in enumerate(ws) for x in ((w, f"put{i}") if i % n == n - 1 else (w,))]
+    swap = lambda ws, n: [f"new{i}" if i % n == n - 1 else w for i, w in enumerate(ws)]
+    bodies = [swap(items[1], 5), put(items[1], 3), swap(items[2], 5), template + ["all", "new"], template, swap(items[1], 3), put(items[2], 2)]
+    r = random.Random(5)
+    for _ in range(60):
+        ws = list(items[r.choice([1, 2])])
+        for _ in range(r.randrange(2, 9)):
+            i = r.randrange(len(ws))
+            ws[i : i + r.randrange(2)] = ["x%d" % r.randrange(10**6)] * r.randrange(2)
+        bodies.append(ws)
+    docs = {100 + i: words(9, 3000 + i, 10**6) + b + words(9, 4000 + i, 10**6) for i, b in enumerate(bodies)}
+    want = {(d, k) for d, t in docs.items() for k, w in items.items() if smith_waterman(t, w) >= 0.6 * len(w)}
+    assert {(100, 1), (101, 1), (102, 2), (103, 10)} <= want and (105, 1) not in want
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    frame = spark.createDataFrame(rows_of([(d, " ".join(t), "a") for d, t in docs.items()]), SCHEMA)
+    for block in (20_000, 3):
+        assert {(r.doc_id, r.item_id) for r in contaminated(frame, bench, block_items=block).collect()} == want
+    assert {r.doc_id for r in drop_contaminated(frame, bench).collect()} == set(docs) - {d for d, _ in want}
+
+
 def test_decontamination_of_nothing(spark, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(none, bench).count() == 0

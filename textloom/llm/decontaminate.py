@@ -1,16 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-The five-word shingles of the test items that few items share are the seeds.
-A training text that holds a seed is aligned with the seed's item, word by
-word, around the place where the item would lie (Smith-Waterman with linear
-gaps): the best local score, as a share of the item's length, tells copies,
-also edited ones, from chance. The corpus is scanned once per block of items
+"""Benchmark decontamination: n-gram seeds that no copy can lack, then local alignment.
+
+An alignment of m matches and e errors has at most e + 1 unbroken runs, so an
+item of L words that scores T keeps an unbroken run of L / (L - T + 1) words:
+shingles of that length (three words at a score of 0.6 and over ten words) are
+its seeds. As a copy keeps a known number of them, that number less one may be
+missing from the index: the shingles that most items share. A training text
+that holds a seed and enough of the item's word pairs is aligned with the item,
+word by word, around the place where the item would lie (Smith-Waterman with
+linear gaps): the best local score, as a share of the item's length, tells
+copies, also edited ones, from chance. The corpus is scanned once per block of items
 and never shuffled; a block has a fixed largest size, so what is shipped to
 executors is bounded however many items there are.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -57,47 +62,62 @@ def align(passage: np.ndarray, item: np.ndarray, gap: int = 1, mismatch: int = 1
     return best, end
 
 
+def seed_size(length: int, score: int, most: int) -> tuple[int, int]:
+    """Words of a seed, and the least number of them in any copy.
+
+    A copy has m <= ``length`` matches and at most m - ``score`` errors. Of its
+    runs, at most one more than errors, each has one shingle less than words for
+    every further word of a shingle; the count is linear in m, so its least
+    value lies at an end. Errors cost 1 each (see ``align``).
+    """
+    size = max(1, min(most, -(-length // (length - score + 1))))
+    least = min(score - (size - 1), length - (length - score + 1) * (size - 1))
+    return size, max(1, least)
+
+
 @dataclass
 class Items:
-    """A block of test items and the index of their seeds."""
+    """A block of test items and the index of their seeds by number of words."""
 
     ids: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, list[tuple[int, int]]]
-    size: int
+    seeds: dict[int, dict[int, list[tuple[int, int]]]]
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], size: int, most_items: int) -> Items:
+    def build(cls, rows: list[tuple[int, str]], size: int, threshold: float) -> Items:
         ids = [i for i, _ in rows]
         texts = [(t or "").encode().translate(FOLD) for _, t in rows]
         words: list[np.ndarray] = []
         for block in blocks(texts):
             h, bounds = word_hashes(block)
             words += [h[bounds[k] : bounds[k + 1]] for k in range(block.hi - block.lo)]
-        grams = [_shingles(w, size) if len(w) >= size else _shingles(w, len(w)) if len(w) else np.zeros(0, U) for w in words]
-        shared = Counter(int(g) for x in grams for g in set(x.tolist()))
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, x in enumerate(grams):
-            # The rare shingles of an item; if it has none, those that fewest items share.
-            least = max(most_items, min((shared[g] for g in x.tolist()), default=0))
-            for q, g in enumerate(x.tolist()):
-                if shared[g] <= least:
-                    seeds[g].append((k, q))
-        return cls(ids, words, dict(seeds), size)
+        # Items shorter than ``size`` words must occur whole.
+        kept = [seed_size(len(w), math.ceil(threshold * len(w)), size) if len(w) >= size else (len(w), 1) for w in words]
+        grams = [_shingles(w, n).tolist() if n else [] for w, (n, _) in zip(words, kept)]
+        shared = Counter((n, g) for x, (n, _) in zip(grams, kept) for g in set(x))
+        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for k, (x, (n, least)) in enumerate(zip(grams, kept)):
+            # Rarest first; any copy holds ``least`` of the shingles, so one of these.
+            rare = sorted(range(len(x)), key=lambda q: (shared[n, x[q]], q))
+            for q in sorted(rare[: len(x) - least + 1]):
+                seeds[n][x[q]].append((k, q))
+        return cls(ids, words, {n: dict(x) for n, x in sorted(seeds.items())})
 
     def matcher(self, threshold: float) -> Callable[[list[bytes]], Iterator[tuple[int, int, float, int, int]]]:
         """Function from texts to (text number, item id, score, seeds, end word)."""
-        keys = np.array(sorted(self.seeds), U)
-        short = sorted({len(w) for w in self.words if 0 < len(w) < self.size})
-        sizes = [self.size, *short]
-        bits = np.zeros(1 << _FILTER_BITS, bool)
-        bits[(keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
+        indexes = []
+        for size, seeds in self.seeds.items():
+            keys = np.array(sorted(seeds), U)
+            bits = np.zeros(1 << _FILTER_BITS, bool)
+            bits[(keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
+            indexes.append((size, seeds, keys, bits))
+        pairs = [_shingles(w, 2) for w in self.words]
 
         def run(texts: list[bytes]) -> Iterator[tuple[int, int, float, int, int]]:
             for block in blocks([t.translate(FOLD) for t in texts]):
                 h, bounds = word_hashes(block)
                 found: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for size in sizes if len(keys) else []:
+                for size, seeds, keys, bits in indexes:
                     g = _shingles(h, size)
                     at = np.flatnonzero(bits[(g >> U(64 - _FILTER_BITS)).astype(np.int64)])
                     near = np.searchsorted(keys, g[at])
@@ -106,16 +126,20 @@ class Items:
                     text = np.searchsorted(bounds, at, side="right") - 1
                     inside = at + size <= bounds[text + 1]
                     for p, t in zip(at[inside].tolist(), text[inside].tolist()):
-                        for k, q in self.seeds[int(g[p])]:
-                            if size == self.size or len(self.words[k]) == size:
-                                found[t, k].append(p - q)
+                        for k, q in seeds[int(g[p])]:
+                            found[t, k].append(p - q)
+                two = _shingles(h, 2) if found else h
                 for (t, k), starts in sorted(found.items()):
                     item, best, end = self.words[k], 0, 0
                     lo, hi = int(bounds[t]), int(bounds[t + 1])
-                    pad = max(4, len(item) // 2)
+                    # An accepted alignment has no more errors than this, so it lies within the reach of its seed.
+                    pad = max(4, len(item) - math.ceil(threshold * len(item)))
                     for a, b in _runs(sorted(starts), len(item) + pad):
-                        first = max(lo, a - pad)
-                        s, e = align(h[first : min(hi, b + len(item) + pad)], item)
+                        first, last = max(lo, a - pad), min(hi, b + len(item) + pad)
+                        # Each error breaks one word pair at most: a copy keeps all but one of its score.
+                        if np.isin(pairs[k], two[first : last - 1]).sum() + 1 < threshold * len(item):
+                            continue
+                        s, e = align(h[first:last], item)
                         if s > best:
                             best, end = s, first + e - lo
                     if best >= threshold * len(item):
@@ -135,7 +159,7 @@ def _runs(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def item_blocks(benchmark: DataFrame, words: int, most_items: int, block_items: int) -> list[Items]:
+def item_blocks(benchmark: DataFrame, words: int, threshold: float, block_items: int) -> list[Items]:
     """Indexes of at most ``block_items`` items each; items without words are left out."""
     rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
     rows = rows.orderBy("item_id", "text")
@@ -143,27 +167,27 @@ def item_blocks(benchmark: DataFrame, words: int, most_items: int, block_items:
     for r in rows.toLocalIterator():  # one block on the driver at a time; its index stays
         batch.append((r["item_id"], r["text"]))
         if len(batch) == block_items:
-            out.append(Items.build(batch, words, most_items))
+            out.append(Items.build(batch, words, threshold))
             batch = []
     if batch or not out:
-        out.append(Items.build(batch, words, most_items))
+        out.append(Items.build(batch, words, threshold))
     return out
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, most_items: int = 8, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 20_000
 ) -> DataFrame:
     """doc_id, item_id, score, seeds, end_word for every text that holds an item.
 
     Words are runs of letters and digits, A-Z in lower case. ``score`` is the
     best alignment score as a share of the item's words, at least
     ``threshold``. Whole texts are searched. Items without words match
-    nothing; items shorter than five words must occur whole; null and empty
+    nothing; items shorter than ``words`` words must occur whole; null and empty
     texts hold nothing; repeated rows match each; other columns are ignored.
     """
     spark = docs.sparkSession
     parts = []
-    for items in item_blocks(benchmark, words, most_items, block_items):
+    for items in item_blocks(benchmark, words, threshold, block_items):
         shipped = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -184,11 +208,11 @@ def contaminated(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, most_items: int = 8, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 20_000
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item."""
     spark = docs.sparkSession
-    for items in item_blocks(benchmark, words, most_items, block_items):
+    for items in item_blocks(benchmark, words, threshold, block_items):
         shipped = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
