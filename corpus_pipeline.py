@@ -6,15 +6,17 @@ Parquet and reread as the next stage's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import toxicity as tox
 from textloom.llm._util import Workspace
 from textloom.llm.decontaminate import drop_contaminated
-from textloom.llm.mixing import fair_mix
+from textloom.llm.mixing import fair_mix, word_count
 from textloom.llm.near_dedup import near_duplicates
-from textloom.llm.sharding import shard
+from textloom.llm.sharding import shard, text_crc32, text_size
 
 #: The learned stages and the graph stages have no SQL; tests/llm compares them with plain Python.
 ORACLE_SQL = None
@@ -38,19 +40,32 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _row_by_row(rows: DataFrame, facts: DataFrame, key: list[str], row_order: Column, fact_order: Column, add: list[str]) -> DataFrame:
+    """``rows`` with columns ``add`` of ``facts``: the n-th row of each key has the n-th fact of that key; nulls are equal."""
+    nth = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by)).alias("_nth")
+    left = rows.select("*", nth(row_order))
+    right = facts.select(*key, *[c for c in add if c not in key], nth(fact_order))
+    on = [*key, "_nth"]
+    right = right.select(*[F.col(c).alias(f"_fact_{c}") for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_fact_{c}")) for c in on])
+    return left.join(right, same).drop(*[c for c in on if c not in rows.columns]).withColumnsRenamed({f"_fact_{c}": c for c in add if c not in key})
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it (0 to 2 times); doc_id is unique here."""
-    mix = fair_mix(docs).filter("repeats > 0").select("doc_id", "repeats")
-    times = docs.join(mix, "doc_id").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    return times.select(*docs.columns)
+    """Each row stands as often as the mix takes it (0 to 2 times), also without doc_id or with a repeated one."""
+    mix = fair_mix(docs).select("doc_id", "source", F.col("size").alias("_words"), F.col("repeats").alias("_repeats"))
+    # Rows of one doc_id, source and size weigh the same in the mix; they are told apart by their texts' hashes.
+    rows = docs.withColumn("_words", word_count(F.col("text")))
+    times = _row_by_row(rows, mix, ["doc_id", "source", "_words"], F.xxhash64("text"), F.desc("_repeats"), ["_repeats"])
+    return times.filter("_repeats > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents with shard and slot; copies of a doc_id get slots of their own."""
-    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))
-    placed = shard(docs).select("doc_id", "size", "text_crc32", "shard", "slot").withColumn("_nth", nth("slot"))
-    rows = docs.withColumn("_nth", nth("doc_id"))
-    return rows.join(placed, ["doc_id", "_nth"]).select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    """Columns of documents with shard and slot; every row has a slot of its own, also without doc_id or with a repeated one."""
+    placed = shard(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+    rows = docs.withColumn("size", text_size(F.col("text"))).withColumn("text_crc32", text_crc32(F.col("text")))
+    out = _row_by_row(rows, placed, ["doc_id", "size", "text_crc32"], F.col("text_crc32"), F.struct("shard", "slot"), ["shard", "slot"])
+    return out.select(*docs.columns, "size", "text_crc32", "shard", "slot")
 
 
 STAGES = [

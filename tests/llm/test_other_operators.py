@@ -204,6 +204,30 @@ def test_sql(spark, name):
 
 
 @data
+def test_stages_keep_rows_without_doc_id_and_repeated_ones(spark):
+    r = random.Random(11)
+    ids = [None] * 40 + [7] * 20 + [8] * 6 + list(range(100, 160))
+    pairs = [(i, None if n % 20 == 3 else " ".join(words(r.randrange(1, 12), n)), r.choice(["a", "b", None])) for n, i in enumerate(ids)]
+    pairs += [(None, "same text", "a")] * 5 + [(7, "same text", "a")] * 5
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA).drop("size", "repeats", "shard")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing"](spark, docs, "")
+    size = lambda t: len((t or "").split())
+    taken, mix = Counter(), Counter()
+    for x in mixed.collect():
+        taken[x.doc_id, x.source, size(x.text)] += 1
+    for x in fair_mix(docs).collect():
+        mix[x.doc_id, x.source, x.size] += x.repeats
+    assert taken == +mix and any(i is None for i, _, _ in taken)
+    rows = Counter(pairs)
+    times = Counter((x.doc_id, x.text, x.source) for x in mixed.collect())
+    assert mixed.columns == docs.columns and all(n <= 2 * rows[p] for p, n in times.items())
+    out = stages["sharding"](spark, docs, "").collect()
+    assert Counter((x.doc_id, x.text, x.source) for x in out) == rows
+    assert len({(x.shard, x.slot) for x in out}) == len(pairs)
+    assert all(x.size == len((x.text or "").encode()) + 1 and x.text_crc32 == zlib.crc32((x.text or "").encode()) for x in out)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from textloom.llm._util import WORD, Workspace, rows_per_bucket, running_total, spread
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float], budget_share: float, max_repeats: int
 ) -> DataFrame:
@@ -69,7 +73,7 @@ def fair_mix(
     """
     ws = Workspace(docs.sparkSession, "mix")
     if size is None:
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+        size = word_count(F.col("text"))
     base = ws.put(
         docs.select("doc_id", "source", size.cast("long").alias("size")).withColumn(
             "h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))

@@ -24,6 +24,14 @@ def _share_of(salt: str, *cols: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(2**31)) / F.lit(float(2**31))
 
 
+def text_size(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def text_crc32(text: Column) -> Column:
+    return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
+
+
 def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
@@ -94,8 +102,8 @@ def shard(
     by = F.col("text") if link is None else link
     base = docs.select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        text_size(F.col("text")).alias("size"),
+        text_crc32(F.col("text")).alias("text_crc32"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"),
         F.when(by.isNotNull(), F.xxhash64(by)).alias("link1"),
         F.when(by.isNotNull(), F.xxhash64(F.lit(7919), by)).alias("link2"),
