@@ -17,7 +17,7 @@ from textloom.llm import quality, queries, toxicity
 from textloom.llm.ann import nearest
 from textloom.llm.license_scan import scan_licences
 from textloom.llm.mixing import fair_mix
-from textloom.llm.sharding import shard
+from textloom.llm.sharding import places, shard
 
 SF = "/root/testdata/sf0.01"
 data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -105,6 +105,21 @@ def test_sharding(spark, none):
     assert shard(none).count() == 0
 
 
+def test_groups_larger_than_a_shard(spark):
+    assert places([100, 80], 240, 8) == [[(0, 30), (1, 30), (2, 30), (5, 10)], [(3, 30), (4, 30), (5, 20)]]
+    assert places([], 5, 8) == [] and places([9], 9, 8) == [[(s, 1 + (s == 0)) for s in range(8)]]
+    pairs = [(i, "hot" if i % 3 == 0 else f"text {i // 6}" if i % 3 == 1 else f"own {i}", "a") for i in range(900)]
+    got = shard(spark.createDataFrame(rows_of(pairs), SCHEMA), 8).collect()
+    sizes, hot, homes = Counter(r.shard for r in got), Counter(r.shard for r in got if r.doc_id % 3 == 0), defaultdict(set)
+    assert sum(sizes.values()) == 900 and max(sizes.values()) - min(sizes.values()) <= 1
+    # Spread over all shards, an eighth of the pairs meets; at best 2 * (113 / 300)^2 + (74 / 300)^2.
+    assert sum(k * (k - 1) for k in hot.values()) / (300 * 299) > 0.28
+    for r in got:
+        if r.doc_id % 3 == 1:
+            homes[r.doc_id // 6].add(r.shard)
+    assert sum(len(h) == 1 for h in homes.values()) > 75
+
+
 def test_mixing(spark, none):
     r = random.Random(7)
     pairs = EDGE[:-2] + [(100 + i, " ".join(words(r.randrange(1, 30), i)), r.choice("aaaabc")) for i in range(600)]

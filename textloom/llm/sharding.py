@@ -5,7 +5,9 @@ shard while shards hold the same number of rows, at most one apart. Every
 document starts in a shard given by its digest. In each round, Spark joins
 tell every document in which shard most of its linked documents are; documents
 that want from shard s to t and from t to s are swapped in equal numbers, so
-sizes stay even (the capacity quota). A last step moves the few surplus
+sizes stay even (the capacity quota). Groups larger than a shard are dealt
+first: each fills whole shards, its rest the room that fits it, and unlinked
+documents give way. A last step moves the few surplus
 documents, unlinked ones first, to bring counts within one, and numbers the
 slots. All of it is DataFrame code over narrow rows; groups of any size are
 only ever counted, and ranks come from bucketed running totals.
@@ -36,8 +38,8 @@ def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
     A group's preferred shard is the one that holds most of it, ties broken by a
-    new hash in each round so that wishes balance, except that a group larger than a shard's
-    capacity keeps its spread.
+    new hash in each round so that wishes balance. A group larger than a shard's capacity
+    has been dealt out (``deal_large``) and stays.
     Of the d(s, t) documents that want from s to t, min(d(s, t), d(t, s)) move
     in expectation, chosen by digest.
     """
@@ -60,21 +62,61 @@ def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
     return moved.withColumn("shard", F.when(go, F.col("goal")).otherwise(F.col("shard"))).drop("goal", "all", "share")
 
 
+def _goals(n: int, n_shards: int) -> dict[int, int]:
+    return {s: n // n_shards + (s < n % n_shards) for s in range(n_shards)}
+
+
+def places(sizes: list[int], n: int, n_shards: int) -> list[list[tuple[int, int]]]:
+    """(shard, rows) for groups of these sizes: whole shards, then each rest, largest first, in the tightest room or, if none
+    holds it, in the roomiest ones."""
+    room, out = _goals(n, n_shards), [[] for _ in sizes]
+    left = list(sizes)
+
+    def put(g: int, s: int) -> None:
+        take = min(left[g], room[s])
+        out[g].append((s, take))
+        left[g] -= take
+        room[s] -= take
+
+    for whole in (True, False):
+        for g in sorted(range(len(sizes)), key=lambda g: -left[g]):
+            while left[g]:
+                empty = [s for s, r in room.items() if left[g] >= r == n // n_shards + (s < n % n_shards)]
+                fits = [s for s, r in room.items() if r >= left[g]]
+                if whole and not empty:
+                    break
+                put(g, empty[0] if whole else min(fits, key=lambda s: (room[s], s)) if fits else max(room, key=lambda s: (room[s], -s)))
+    return out
+
+
+def deal_large(rows: DataFrame, large: list, n_shards: int, n: int) -> DataFrame:
+    """Rows of the groups ``large`` (link1, link2, n), which shards cannot hold, by hash to the shards of ``places``."""
+    to, u = F.col("shard"), _share_of("large", "h", "doc_id")
+    for group, parts in zip(large, places([g["n"] for g in large], n, n_shards)):
+        home, upto = F.lit(parts[-1][0]), group["n"] - parts[-1][1]
+        for s, k in reversed(parts[:-1]):
+            home = F.when(u < upto / group["n"], F.lit(s)).otherwise(home)
+            upto -= k
+        to = F.when((F.col("link1") == group["link1"]) & (F.col("link2") == group["link2"]), home).otherwise(to)
+    return rows.withColumn("shard", to.cast("int"))
+
+
 def even_out(rows: DataFrame, ws: Workspace, n_shards: int, n: int) -> DataFrame:
     """Move surplus rows so that counts differ by one at most.
 
-    Surplus rows are ranked within their shard, unlinked rows first, and given
-    to the shards that lack rows in the order of that rank.
+    Surplus rows are ranked within their shard, unlinked rows first and those of
+    groups larger than a shard last, and given to the shards that lack rows in the order of that rank.
     """
     sizes = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_shards rows
-    goal = {s: n // n_shards + (s < n % n_shards) for s in range(n_shards)}
+    goal = _goals(n, n_shards)
     surplus = {s: max(0, sizes.get(s, 0) - goal[s]) for s in goal}
     lacking = [(s, goal[s] - sizes.get(s, 0)) for s in goal if goal[s] > sizes.get(s, 0)]
     if not lacking:
         return rows
     over = F.element_at(F.array(*[F.lit(surplus[s]) for s in range(n_shards)]), F.col("shard") + 1)
     buckets = rows_per_bucket(n)
-    keyed = rows.withColumn("bucket", spread(F.col("h"), buckets) + F.when(F.col("linked"), buckets).otherwise(0))
+    late = F.when(F.col("large"), 2 * buckets).when(F.col("linked"), buckets).otherwise(0)
+    keyed = rows.withColumn("bucket", spread(F.col("h"), buckets) + late)
     ranked = running_total(keyed.withColumn("one", F.lit(1)), ["shard"], "bucket", [F.col("h"), F.col("doc_id")], "one", "rank")
     before, offset = {}, 0
     for s in range(n_shards):
@@ -111,10 +153,16 @@ def shard(
     base = ws.put(base)
     n = base.count()
     groups = base.filter("link1 is not null").groupBy("link1", "link2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select("link1", "link2", F.lit(True).alias("linked"))
-    rows = base.join(groups, ["link1", "link2"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    # Unlinked rows need no join in the rounds.
+    groups = groups.select("link1", "link2", F.lit(True).alias("linked"), (F.col("n") > -(-n // n_shards)).alias("large"), "n")
+    groups = ws.put(groups)
+    rows = base.join(groups.drop("n"), ["link1", "link2"], "left")
+    rows = rows.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("large", F.coalesce("large", F.lit(False)))
     rows = ws.put(rows.withColumn("capacity", F.lit(-(-n // n_shards) if n else 0)))
+    large = groups.filter("large").orderBy(F.desc("n"), "link1", "link2").collect()  # fewer than n_shards rows
+    if large:
+        columns = rows.columns
+        rows = ws.put(even_out(ws.put(deal_large(rows, large, n_shards, n)), ws, n_shards, n).select(*columns))
+    # Unlinked rows need no join in the rounds.
     alone, linked = rows.filter("not linked"), rows.filter("linked")
     for i in range(rounds):
         linked = ws.put(propagate_once(linked, n_shards, f"{seed}:{i}").select(*rows.columns))
