@@ -6,66 +6,76 @@ Parquet and reread as the next stage's docs.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import toxicity as tox
-from textloom.llm._util import Workspace
+from textloom.llm._util import Workspace, numbered
 from textloom.llm.decontaminate import drop_contaminated
-from textloom.llm.mixing import fair_mix, word_count
+from textloom.llm.mixing import fair_mix
 from textloom.llm.near_dedup import near_duplicates
-from textloom.llm.sharding import shard, text_crc32, text_size
+from textloom.llm.sharding import shard
 
 #: The learned stages and the graph stages have no SQL; tests/llm compares them with plain Python.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Rows whose text scores 0.5 or more go.
+
+    Every row is judged by its text alone: rows without doc_id, repeated rows
+    and columns of any name pass through; a null or empty text has no evidence
+    and gets the score that stands for none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return tox.drop_toxic(docs, tox.fit(docs, labels), 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays; so do rows without doc_id."""
-    kept = near_duplicates(docs, percent=85).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near copies stays: the smallest doc_id (null last), then the first row of the input.
 
+    Rows are compared by their texts, whatever their doc_ids: copies under one
+    doc_id or without one are one group; different texts under one doc_id are
+    not. Rows without words (null, empty or blank text) are linked with nothing
+    and all stay.
+    """
+    ws = Workspace(spark, "dedup")
+    rows, row = numbered(docs, ws)
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=85).select(F.col("doc_id").alias(row), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).getField(row)
+    kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(least.alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text holds a benchmark passage go.
 
-def _row_by_row(rows: DataFrame, facts: DataFrame, key: list[str], row_order: Column, fact_order: Column, add: list[str]) -> DataFrame:
-    """``rows`` with columns ``add`` of ``facts``: the n-th row of each key has the n-th fact of that key; nulls are equal."""
-    nth = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by)).alias("_nth")
-    left = rows.select("*", nth(row_order))
-    right = facts.select(*key, *[c for c in add if c not in key], nth(fact_order))
-    on = [*key, "_nth"]
-    right = right.select(*[F.col(c).alias(f"_fact_{c}") for c in right.columns])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_fact_{c}")) for c in on])
-    return left.join(right, same).drop(*[c for c in on if c not in rows.columns]).withColumnsRenamed({f"_fact_{c}": c for c in add if c not in key})
+    Every row is judged by its text alone: rows without doc_id, repeated rows
+    and columns of any name pass through; null and empty texts hold nothing.
+    """
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row stands as often as the mix takes it (0 to 2 times), also without doc_id or with a repeated one."""
-    mix = fair_mix(docs).select("doc_id", "source", F.col("size").alias("_words"), F.col("repeats").alias("_repeats"))
-    # Rows of one doc_id, source and size weigh the same in the mix; they are told apart by their texts' hashes.
-    rows = docs.withColumn("_words", word_count(F.col("text")))
-    times = _row_by_row(rows, mix, ["doc_id", "source", "_words"], F.xxhash64("text"), F.desc("_repeats"), ["_repeats"])
-    return times.filter("_repeats > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    """Each row stands as often as the mix takes it, 0 to 2 times.
+
+    Rows are counted one by one, also without doc_id or with a repeated one;
+    rows without words are taken 0 times; a null source is a source.
+    """
+    rows, row = numbered(docs, Workspace(spark, "mixing"))
+    taken = fair_mix(rows, carry=[row]).filter("repeats > 0").select(row, F.explode(F.sequence(F.lit(1), "repeats")).alias(f"{row}turn"))
+    return rows.join(taken, row).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Columns of documents with shard and slot; every row has a slot of its own, also without doc_id or with a repeated one."""
-    placed = shard(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
-    rows = docs.withColumn("size", text_size(F.col("text"))).withColumn("text_crc32", text_crc32(F.col("text")))
-    out = _row_by_row(rows, placed, ["doc_id", "size", "text_crc32"], F.col("text_crc32"), F.struct("shard", "slot"), ["shard", "slot"])
-    return out.select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    """Columns of documents with size, text_crc32, shard and slot; columns of ``docs`` that have these names give way.
+
+    Every row has a slot of its own, also without doc_id or with a repeated one; a null text has size 1.
+    """
+    rows, row = numbered(docs, Workspace(spark, "sharding"))
+    made = ["size", "text_crc32", "shard", "slot"]
+    placed = shard(rows, carry=[row]).select(row, *made)
+    return rows.drop(*made).join(placed, row).select(*[c for c in docs.columns if c not in made], *made)
 
 
 STAGES = [

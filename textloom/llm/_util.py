@@ -34,9 +34,10 @@ class Workspace:
         self.n += 1
         return f"{self.base}/{self.n}"
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """``by`` names a column of few values; readers that filter on it read only their part."""
         path = self.path()
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._textloom_path = path
         return out
@@ -47,6 +48,17 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, str]:
+    """The rows, written, with a number of their own, and the name of that column, which ``docs`` does not have.
+
+    The numbers are part of the written table, so they stay the same if executors are lost.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return ws.put(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def rows_per_bucket(n_rows: int, per_bucket: int = 5_000, least: int = 8) -> int:
     """Number of order buckets so that each holds about ``per_bucket`` rows."""
     return max(least, -(-n_rows // per_bucket))

@@ -6,7 +6,8 @@ weight. A global range sort by finish time, cut at the total budget, is the
 mix: at any virtual time every source has received words in proportion to its
 weight, and a source that has run out (after ``max_repeats`` passes) leaves its
 share to the others. Everything is DataFrame code; no group, however large, is
-held by one task (see ``running_total``).
+held by one task: queues are summed by buckets of digests (``running_total``),
+the global order by ranges whose bounds are sampled quantiles (``in_order``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._util import WORD, Workspace, rows_per_bucket, running_total, spread
+from textloom.operators.corpus import in_order
 
 
 def word_count(text: Column) -> Column:
@@ -51,8 +53,7 @@ def source_targets(
         "time", F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "src", "level"))).over(whole)["level"]
     )
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("time") * F.col("weight"), F.col("cap").cast("double")))
-    last = F.max(F.col("cap") / F.col("weight")).over(whole)
-    return out.select("source", "src", "weight", "source_size", target.alias("target"), "budget", last.alias("last"))
+    return out.select("source", "src", "weight", "source_size", target.alias("target"), "budget")
 
 
 def fair_mix(
@@ -62,21 +63,26 @@ def fair_mix(
     max_repeats: int = 2,
     seed: str = "mix",
     size: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, repeats for every row.
 
-    ``docs`` needs doc_id, text and source; other columns are ignored. Null
-    texts and texts without words have size 0 and are taken 0 words; a null
-    source is a source of its own, ordered last; repeated rows are separate
-    documents; an empty table gives an empty result. The order is a digest of
-    doc_id, so reruns agree.
+    ``docs`` needs doc_id, text and source; other columns are ignored, but for
+    those named in ``carry``, which come back with their row. Null texts and
+    texts without words have size 0 and are taken 0 words; a null source is a
+    source of its own, ordered last; repeated rows are separate documents; an
+    empty table gives an empty result. The order is a digest of doc_id (of the
+    text, where doc_id is null), so reruns agree.
     """
     ws = Workspace(docs.sparkSession, "mix")
     if size is None:
         size = word_count(F.col("text"))
+    kept = [f"carry{i}" for i in range(len(carry))]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
     base = ws.put(
-        docs.select("doc_id", "source", size.cast("long").alias("size")).withColumn(
-            "h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        docs.select(
+            "doc_id", "source", size.cast("long").alias("size"), F.md5(F.concat(F.lit(seed + ":"), name)).alias("h"),
+            F.xxhash64("text").alias("t"), *[F.col(c).alias(k) for c, k in zip(carry, kept)],
         )
     )
     n = base.count()
@@ -84,27 +90,23 @@ def fair_mix(
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = ws.put(source_targets(totals, weights, budget_share, max_repeats))
     keyed = base.join(targets, base.source.eqNullSafe(targets.source)).select(
-        "doc_id", base.source, "size", "h", "src", "weight", "source_size", "target", "budget", "last"
+        "doc_id", base.source, "size", "h", "t", "src", "weight", "source_size", "target", "budget", *kept
     )
     keyed = keyed.withColumn("bucket", spread(F.col("h"), buckets))
-    order = [F.col("h"), F.col("doc_id"), F.col("size")]
-    queued = ws.put(running_total(keyed, ["src"], "bucket", order, "size", "cum").drop("bucket"))
+    order = [F.col("h"), F.col("doc_id"), F.col("size"), F.col("t")]
+    queued = ws.put(running_total(keyed, ["src"], "bucket", order, "size", "cum").drop("bucket", "t"))
     passes = queued.filter("size > 0").select(
-        "doc_id", "src", "h", "size", "cum", "budget", "weight", "source_size", "last",
+        "doc_id", "src", "h", "size", "cum", "budget", "weight", "source_size",
         F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("turn"),
     ).withColumn("finish", (F.col("cum") + F.col("turn") * F.col("source_size")) / F.col("weight"))
-    # Finish times of a source are spread evenly; buckets of equal width up to
-    # the largest finish time are the ranges of the global sort.
-    wide = 4 * buckets
-    bucket = F.least(F.floor(F.col("finish") / F.col("last") * wide), F.lit(wide - 1)).cast("long")
-    passes = passes.withColumn("bucket", bucket).withColumn("all", F.lit(0))
-    order = [F.col("finish"), F.col("src"), F.col("h"), F.col("doc_id"), F.col("turn")]
-    in_order = running_total(passes, ["all"], "bucket", order, "size", "spent")
+    order = [F.col("finish"), F.col("src"), F.col("h"), F.col("doc_id"), F.col("turn"), F.col("cum")]
+    ordered = in_order(passes.select(*order, "size", "budget"), order, {"spent": F.col("size")})
     # Rows with words differ in (src, cum), so repeated rows stay apart.
-    taken = in_order.filter(F.col("spent") <= F.col("budget")).groupBy("src", "cum").agg(F.count(F.lit(1)).alias("turns"))
+    taken = ordered.filter(F.col("spent") <= F.col("budget")).groupBy("src", "cum").agg(F.count(F.lit(1)).alias("turns"))
     out = queued.join(taken, ["src", "cum"], "left")
     repeats = F.when(F.col("size") > 0, F.coalesce("turns", F.lit(0))).otherwise(F.lit(0))
     return out.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"),
+        *[F.col(k).alias(c) for c, k in zip(carry, kept)],
     )

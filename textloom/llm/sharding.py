@@ -15,6 +15,8 @@ only ever counted, and ranks come from bucketed running totals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,22 +133,28 @@ def even_out(rows: DataFrame, ws: Workspace, n_shards: int, n: int) -> DataFrame
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 8, rounds: int = 5, seed: str = "shard", link: Column | None = None
+    docs: DataFrame, n_shards: int = 8, rounds: int = 5, seed: str = "shard", link: Column | None = None, carry: Sequence[str] = ()
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked for every row.
 
-    ``docs`` needs doc_id and text; other columns are ignored. Law ``rows``:
-    shard counts differ by one at most. Null texts have size 1 and are linked
-    with nothing, unless ``link`` gives another key; repeated rows are rows of
-    their own; an empty table gives an empty result.
+    ``docs`` needs doc_id and text; other columns are ignored, but for those
+    named in ``carry``, which come back with their row. Law ``rows``: shard
+    counts differ by one at most. Null texts have size 1 and are linked with
+    nothing, unless ``link`` gives another key; repeated rows are rows of their
+    own; an empty table gives an empty result. Rows without doc_id are told
+    apart by their place in the input, so their shards may differ between reruns.
     """
     ws = Workspace(docs.sparkSession, "shard")
     by = F.col("text") if link is None else link
+    kept = [f"carry{i}" for i in range(len(carry))]
+    # Without doc_id all rows would have one digest, so one bucket of every order.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row:"), F.monotonically_increasing_id().cast("string")))
     base = docs.select(
         "doc_id",
         text_size(F.col("text")).alias("size"),
         text_crc32(F.col("text")).alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))).alias("h"),
+        *[F.col(c).alias(k) for c, k in zip(carry, kept)],
+        F.md5(F.concat_ws(":", F.lit(seed), name)).alias("h"),
         F.when(by.isNotNull(), F.xxhash64(by)).alias("link1"),
         F.when(by.isNotNull(), F.xxhash64(F.lit(7919), by)).alias("link2"),
     ).withColumn("shard", spread(F.col("h"), n_shards).cast("int"))
@@ -175,4 +183,5 @@ def shard(
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("slot") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked",
+        *[F.col(k).alias(c) for c, k in zip(carry, kept)],
     )
