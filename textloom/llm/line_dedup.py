@@ -89,7 +89,7 @@ class LineRuns:
 
 
 def drop_frequent_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 6, fanout: int = 3
 ) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped for every row.
 
@@ -98,41 +98,47 @@ def drop_frequent_lines(
     and text; other columns are ignored. A null or empty text is one empty
     line and stays; lines of blanks have the empty key and stay; rows with
     equal doc_id are separate documents; an empty table gives an empty result.
+    Work is linear in the lines of a text.
+
+    Batches are hash ranges of the documents. With more batches than
+    ``fanout``, keys that reach the threshold early are settled by a merge, and
+    later batches lose them by an anti-join before they make runs.
     """
     ws = Workspace(docs.sparkSession, "lines")
     runs = LineRuns(ws, min_docs, fanout)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    # Rows with equal doc_id and text lose the same lines, so two hashes may stand for a row.
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(7919), "doc_id", "text").alias("r2"))
     keys = F.transform(lines_of(F.col("text")), line_key)
-    if min_chars > 0:
-        keys = F.filter(keys, lambda k: F.length(k) >= min_chars)
-    hashed = F.array_distinct(F.transform(keys, key_hash))
-    batch = F.pmod(F.shiftright("row", 17), F.lit(batches)).cast("int")
+    long_enough = (lambda a: F.filter(a, lambda k: F.length(k) >= min_chars)) if min_chars > 0 else (lambda a: a)
+    # Strings are told apart by a hash set, which structs are not.
+    hashed = F.transform(F.array_distinct(long_enough(keys)), key_hash)
+    batch = F.pmod(F.shiftright("r1", 17), F.lit(batches)).cast("int")
     # One scan counts every batch; each is then a part of the written table.
-    counted = (
+    counted = ws.put(
         rows.select(batch.alias("batch"), F.explode(hashed).alias("k"))
         .groupBy("batch", "k.k1", "k.k2")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "batch",
     )
-    counted = ws.put(counted)
     for b in range(batches):
-        runs.add(counted.filter(F.col("batch") == b))
+        runs.add(counted.filter(F.col("batch") == b).select(*KEY, "n"))
     frequent = runs.frequent()
-    # Rows that have frequent lines, with the hashes they lose. Rows with equal
-    # doc_id and text lose the same lines, so the row hash may stand for them.
+    # The places of the lines that each row loses, in their order.
+    at = rows.select("r1", "r2", F.posexplode(keys).alias("at", "key")).filter(F.length("key") >= min_chars)
     lost = (
-        rows.select("row", F.explode(hashed).alias("k"))
-        .select("row", "k.k1", "k.k2")
+        at.select("r1", "r2", "at", key_hash(F.col("key")).alias("k")).select("r1", "r2", "at", "k.k1", "k.k2")
         .join(frequent, KEY, "left_semi")
-        .groupBy("row")
-        .agg(F.collect_set(F.struct(*KEY)).alias("lost"))
-    )
-    joined = rows.join(lost, "row", "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.array_contains(F.col("lost"), key_hash(line_key(x))))
+        .groupBy("r1", "r2")
+        # A set, as repeated rows name each place as often as they stand.
+        .agg(F.sort_array(F.collect_set("at")).alias("lost"))
     )
-    out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"),
+    split = rows.select("doc_id", "r1", "r2", lines_of(F.col("text")).alias("lines"))
+    joined = split.join(lost, ["r1", "r2"], "left").select("doc_id", "lines", F.coalesce("lost", F.array().cast("array<int>")).alias("lost"))
+    # What lies between two lost lines stays: one slice each, so no line is looked up.
+    before = F.concat(F.array(F.lit(-1)), F.col("lost"))
+    after = F.concat(F.col("lost"), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
+    return joined.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("lost").cast("long").alias("n_dropped"),
+        F.array_join(kept, "\n").alias("kept_text"),
     )
