@@ -18,7 +18,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(text, label) of at most ``limit`` labelled documents, the first by hash of doc_id.
 
     Labels of one doc_id that contradict each other are left out, as are null
-    labels and labels other than 0 and 1.
+    labels and labels other than 0 and 1. Of several rows with one doc_id the
+    text of the least hash is taken, so the bound holds for repeated rows too.
     """
     picked = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -30,8 +31,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .limit(limit)
         .select("doc_id", "label")
     )
-    # At most ``limit`` narrow rows, so the text side needs no shuffle. Written, as it is read several times.
-    return Workspace(docs.sparkSession, "sample").put(docs.select("doc_id", n_text).join(F.broadcast(picked), "doc_id").select(n_text, "label"))
+    # At most ``limit`` narrow rows, so the text side meets them without a shuffle. Written, as it is read several times.
+    found = docs.select("doc_id", n_text).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label")
+    return Workspace(docs.sparkSession, "sample").put(found.agg(F.min_by(n_text, F.xxhash64(n_text)).alias(n_text)).select(n_text, "label"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -> tuple[float, float]:

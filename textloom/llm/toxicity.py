@@ -68,26 +68,29 @@ def maximal_segments(hits: Iterable[tuple[int, float]], drop: float) -> list[tup
     ``hits`` are (position, positive score); every other token scores -drop.
     A stack holds candidate segments with the running total before and after
     each; a new one is merged with the latest candidate that starts lower, as
-    long as it ends higher than that candidate.
+    long as it ends higher than that candidate. Each candidate keeps the place
+    of the latest one before it that starts lower: what lies between starts no
+    lower than it, so a search follows these links and all of them take time
+    linear in the number of hits.
     """
-    out: list[tuple[int, int, float, float]] = []
+    out: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for at, score in hits:
         total -= drop * (at - last - 1)
         first, low = at, total
         total += score
-        high = total
+        k = len(out) - 1
         while True:
-            k = len(out) - 1
             while k >= 0 and out[k][2] >= low:
-                k -= 1
-            if k < 0 or out[k][3] >= high:
+                k = out[k][4]
+            if k < 0 or out[k][3] >= total:
                 break
-            first, low = out[k][0], out[k][2]
+            first, _, low, _, lower = out[k]
             del out[k:]
-        out.append((first, at, low, high))
+            k = lower
+        out.append((first, at, low, total, k))
         last = at
-    return [(a, b, high - low) for a, b, low, high in out]
+    return [(a, b, high - low) for a, b, low, high, _ in out]
 
 
 def segments_of(text: bytes, model: Model) -> tuple[list[tuple[int, int, float]], int]:
@@ -124,10 +127,10 @@ def count_tokens(sample: DataFrame) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 12_000, max_tokens: int = 20_000,
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = 12_000,
     prior: float = 0.5, z: float = 2.7, least_odds: float = 3.0, drop: float = 0.1,
 ) -> Model:
-    """Learn from at most ``limit`` labelled rows and keep at most ``max_tokens`` tokens.
+    """Learn from at most ``limit`` labelled rows; every token of theirs that is significant scores.
 
     A token needs log-odds of ``z`` standard errors and, less one standard
     error, of ``least_odds``: mere topic words add up in long texts.
@@ -148,9 +151,8 @@ def fit(
         counts.filter((F.col("token") != F.lit(b"")) & (F.col("toxic") >= 3) & (F.col("toxic") < n1))
         .select("token", "other", odds.alias("odds"), error.alias("error"), F.sqrt(1 / a1).alias("one"))
         .filter((F.col("odds") / F.col("error") >= z) & (F.col("odds") - F.col("one") >= least_odds))
-        .orderBy(F.desc(F.col("odds") / F.col("error")), "token")
-        .limit(max_tokens)
-        .collect()
+        .orderBy("token")
+        .collect()  # tokens of at most ``limit`` texts
     )
     model.scores = {bytes(r["token"]): r["odds"] - r["one"] for r in scored}
     model.heads = frozenset(k.rstrip(b"*")[:4] for k in model.scores)
@@ -196,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     score of no evidence; repeated rows are scored each; other columns are
     ignored. ``segments`` holds first token, last token (from 0) and score.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most ``max_tokens`` tokens
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # tokens of at most ``limit`` labelled texts
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
