@@ -99,8 +99,12 @@ class Items:
         for k, (x, (n, least)) in enumerate(zip(grams, kept)):
             # Rarest first; any copy holds ``least`` of the shingles, so one of these.
             rare = sorted(range(len(x)), key=lambda q: (shared[n, x[q]], q))
+            places: dict[int, list[int]] = {}
             for q in sorted(rare[: len(x) - least + 1]):
-                seeds[n][x[q]].append((k, q))
+                places.setdefault(x[q], []).append(q)
+            # The first and last place of a repeated seed: places between them would only lie within the same run (see ``_runs``).
+            for g, at in places.items():
+                seeds[n][g] += [(k, q) for q in sorted({at[0], at[-1]})]
         return cls(ids, words, {n: dict(x) for n, x in sorted(seeds.items())})
 
     def matcher(self, threshold: float) -> Callable[[list[bytes]], Iterator[tuple[int, int, float, int, int]]]:
@@ -179,6 +183,8 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, score, seeds, end_word for every text that holds an item.
 
+    ``seeds`` counts the places of the text at which a seed of the item begins,
+    a seed that the item repeats by its first and last place in it.
     Words are runs of letters and digits, A-Z in lower case. ``score`` is the
     best alignment score as a share of the item's words, at least
     ``threshold``. Whole texts are searched. Items without words match
