@@ -1,13 +1,14 @@
 """Approximate nearest neighbours over robust-pruned directed graphs.
 
-Equal vectors are collapsed first. Distinct vectors are dealt to shards of
-bounded size by hash; each shard builds its own graph: points enter in random
+Equal vectors are collapsed first. Distinct vectors are dealt to a bounded
+number of cells by the nearest centre and, inside a cell, to shards of bounded
+size by hash; each shard builds its own graph: points enter in random
 batches, a greedy beam search from the medoid proposes neighbours, and a
 relaxed pruning keeps an edge only if no kept neighbour is closer to the
 target by the factor alpha, so edges stay diverse and few. Queries are beam
-searched in every shard, and the best of all shards are ranked by the exact
-distance. Graphs are built once and written; a task holds one shard and one
-block of queries. Searches of many points advance in lockstep, so numpy does the work.
+searched in every shard of their nearest cells, and the best of these shards
+are ranked by the exact distance. Graphs are built once and written; a task
+holds one shard and one block of queries. Searches of many points advance in lockstep, so numpy does the work.
 """
 
 from __future__ import annotations
@@ -171,46 +172,114 @@ def build_shards(points: DataFrame, degree: int, beam: int, alpha: float) -> Dat
     return points.select("shard", "rep", "v", "dim").groupBy("shard").applyInPandas(build, "shard long, dim int, reps binary, vectors binary, graph binary, starts binary")
 
 
+def fit_centres(V: np.ndarray, cells: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
+    """Centres of at most ``cells`` cells by k-means over a sample."""
+    rng = np.random.default_rng(seed)
+    C = V[rng.choice(len(V), min(cells, len(V)), replace=False)]
+    for _ in range(rounds if len(C) > 1 else 0):
+        near = _nearest_centres(V, C, 1)[:, 0]
+        total, held = np.zeros_like(C), np.bincount(near, minlength=len(C))
+        np.add.at(total, near, V)
+        C = np.where(held[:, None] > 0, total / np.maximum(held, 1)[:, None], C)
+    return C
+
+
+def _nearest_centres(V: np.ndarray, C: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centres of each vector, in any order."""
+    out = []
+    for lo in range(0, len(V), 4096):
+        d = (C * C).sum(1)[None] - 2 * V[lo : lo + 4096] @ C.T
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(C) else np.tile(np.arange(len(C)), (len(d), 1)))
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
+
+
+def cells_to_search(V: np.ndarray, C: np.ndarray, k: int, covered: float, asked: int = 512) -> int:
+    """How many nearest cells of a query hold the share ``covered`` of its k nearest vectors, by exact search in a sample.
+
+    Neighbours in a sample lie farther off than those in all vectors, so this errs on the safe side.
+    """
+    Q = V[:asked]
+    order = np.argsort((C * C).sum(1)[None] - 2 * Q @ C.T, axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(C))[None], axis=1)
+    d = (V * V).sum(1)[None] - 2 * Q @ V.T
+    d[np.arange(len(Q)), np.arange(len(Q))] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(V) - 1)]
+    if not near.size:
+        return len(C)
+    ranks = np.take_along_axis(place, _nearest_centres(V, C, 1)[:, 0][near], axis=1)
+    return int(np.quantile(ranks, covered, method="higher")) + 1
+
+
+def in_cells(rows: DataFrame, vector: str, centres: dict[int, np.ndarray], k: dict[int, int] | None = None) -> DataFrame:
+    """The rows, each with ``cells``: the k (one without ``k``) nearest of the centres of its dimension; 0 if there are none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cells = pd.Series([[0]] * len(b), index=b.index, dtype=object)
+            for dim, part in b.groupby(b[vector].map(len)):
+                C = centres.get(int(dim))
+                if C is not None:
+                    near = _nearest_centres(np.stack(part[vector].to_numpy()), C, k[int(dim)] if k else 1)
+                    cells.loc[part.index] = pd.Series(list(near), index=part.index, dtype=object)
+            yield b.assign(cells=cells)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cells array<long>"
+    return rows.mapInPandas(run, schema)
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, degree: int = 32,
-    beam: int = 96, alpha: float = 1.2, block_queries: int = 4096,
+    beam: int = 96, alpha: float = 1.2, block_queries: int = 4096, most_cells: int = 1024, covered: float = 0.97, sample: int = 16_384,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every query.
 
     ``vectors`` and ``queries`` need vec_id and embedding; other columns are
     ignored. A query's own row (equal vec_id) is no candidate. Vectors that are
     null, empty, zero or not finite take no part; nor do vectors of another
-    length than the query's. Equal vectors stand in the graph once and come
-    back as their k + 1 smallest ids, so ties go to smaller ids. The score is
-    the Euclidean distance in double precision. Fewer candidates than k give
-    fewer rows; empty tables give an empty result.
+    length than the query's. Repeated rows are one: vec_id names a vector, and
+    of several vectors under one vec_id the least in order of components is
+    taken. Equal vectors stand in the graph once and come back as their k + 1
+    smallest ids, so ties go to smaller ids. The score is the Euclidean
+    distance in double precision. Fewer candidates than k give fewer rows;
+    empty tables give an empty result.
+
+    Vectors are dealt to at most ``most_cells`` cells by the nearest centre;
+    centres are fitted on at most ``sample`` vectors, the first by hash. Cells
+    of more than ``shard_rows`` vectors are parted by hash into several shards.
+    A query searches every shard of its nearest cells: as many as hold the
+    share ``covered`` of the nearest vectors in the sample, so few where
+    vectors form clusters and nearly all where they don't.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
-    clean = vectors.filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    clean = clean.select(
-        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.xxhash64(F.transform("embedding", lambda x: x + F.lit(0.0))).alias("h")
-    )
-    clean = ws.put(clean.select("vec_id", "v", "h", F.size("v").alias("dim")))
+    named = lambda df: df.filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min(F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
+    clean = ws.put(named(vectors).select("vec_id", "v", F.xxhash64("v").alias("h"), F.size("v").alias("dim")))
     # The k + 1 smallest ids of each vector; Spark limits groups before the shuffle.
     first = F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))
     members = ws.put(clean.withColumn("r", first).filter(F.col("r") <= k + 1))
     distinct = members.filter("r = 1").select(F.col("vec_id").alias("rep"), "v", "h", "dim")
     distinct = ws.put(distinct)
     n = distinct.count()
-    shards = max(1, -(-n // shard_rows))
-    points = distinct.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(5)), F.lit(shards)))
-    asked = queries.filter(valid(F.col("embedding")) & F.col("vec_id").isNotNull())
-    asked = ws.put(asked.select(
-        F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("qv")
-    ))
+    cells = max(1, min(most_cells, -(-n // shard_rows)))
+    seen = distinct.orderBy(F.xxhash64("h", F.lit(3)), "rep").limit(sample).select("v").toPandas().v  # at most ``sample`` vectors
+    # A dimension has cells by its share of the sample; one that is not in it has cell 0.
+    centres = {int(d): fit_centres(np.stack(part.to_numpy()), max(1, round(cells * len(part) / len(seen)))) for d, part in seen.groupby(seen.map(len))}
+    probes = {int(d): cells_to_search(np.stack(part.to_numpy()), centres[int(d)], k, covered) for d, part in seen.groupby(seen.map(len))}
+    placed = ws.put(in_cells(distinct.select("rep", "v", "h", "dim"), "v", centres).withColumn("cell", F.element_at("cells", 1)).drop("cells"))
+    # At most ``most_cells`` rows for each dimension.
+    shards = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
+    first_shard = F.sum("parts").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("parts")
+    shards = ws.put(shards.withColumn("first", first_shard))
+    points = placed.join(F.broadcast(shards), ["dim", "cell"]).withColumn("shard", F.col("first") + F.pmod(F.xxhash64("h", F.lit(5)), F.col("parts")))
     index = ws.put(build_shards(points, degree, beam, alpha))
-    n_asked = asked.count()
-    parts = max(1, -(-n_asked // block_queries))
-    # Every block of the stated queries is searched in every shard.
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    asked = ws.put(in_cells(named(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "qv", centres, probes))
+    # Queries go to every shard of their cells, in blocks that a task can hold.
+    sent = asked.select("query_id", "qv", F.size("qv").alias("dim"), F.explode("cells").alias("cell")).join(F.broadcast(shards), ["dim", "cell"])
+    sent = sent.select("query_id", "qv", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("shard"))
+    many = ws.put(sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("blocks")))
+    blocks = sent.join(many, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).drop("blocks")
+    copies = index.join(many, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     keep = k + 1
 
     def search(key, graphs: pd.DataFrame, qs: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -240,7 +309,7 @@ def nearest(
         .select("query_id", "h", F.col("v").alias("hv"))
         .join(members.select("vec_id", "v", "h"), "h")
         .filter(F.col("v") == F.col("hv"))
-        .join(asked, "query_id")
+        .join(asked.drop("cells"), "query_id")
         .filter("vec_id <> query_id")
     )
     square = F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
