@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import corpus_pipeline
 from tests.llm.conftest import EDGE, SCHEMA, rows_of, words
 from tests.llm.test_text_operators import brute_components
 from textloom.llm import quality, queries, toxicity
+from textloom.llm._labelled import training_sample
 from textloom.llm.ann import nearest
 from textloom.llm.license_scan import scan_licences
 from textloom.llm.mixing import fair_mix
@@ -85,6 +87,26 @@ def test_segments_are_maximal():
         assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, brute_segments(scores)))
 
 
+def test_segments_of_many_hits_take_linear_time():
+    r = random.Random(16)
+    # Rising, falling and level totals: each kind made the search for a lower start long.
+    for gap in (3, 15, 30):
+        hits = [(i * gap, 1.0 + r.random()) for i in range(200_000)]
+        begin = time.perf_counter()
+        assert toxicity.maximal_segments(hits, 0.1)
+        assert time.perf_counter() - begin < 5
+
+
+def test_the_sample_is_bounded_also_for_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 5 + 1, f"text {i}") for i in range(50)] + [(9, None), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)] + [(2, 1)], "doc_id long, toxic int")
+    got = training_sample(docs, labels, "toxic", 3).collect()
+    assert len(got) <= 3
+    every = training_sample(docs, labels, "toxic", 100).collect()
+    learnt = {i for i in (1, 3, 4, 5, 9) if zlib.crc32(str(i).encode()) % 5}
+    assert len(every) == len(learnt) and sorted(map(str, every)) == sorted(map(str, training_sample(docs, labels, "toxic", 100).collect()))
+
+
 def test_sharding(spark, none):
     pairs = EDGE + [(100 + i, f"text {i // 3}", "a") for i in range(300)] + [(500 + i, "hot", "b") for i in range(150)]
     got = shard(spark.createDataFrame(rows_of(pairs), SCHEMA), 8).collect()
@@ -152,6 +174,27 @@ def test_mixing(spark, none):
     assert fair_mix(none).count() == 0
 
 
+def test_mixing_of_tiny_documents(spark):
+    """Ranges of the global order follow the data: many one-word documents do not meet in one of them."""
+    pairs = [(i, " ".join(["w"] * 400), "long") for i in range(30)] + [(1000 + i, "w", "tiny") for i in range(3000)]
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA)
+    got = fair_mix(docs, carry=["lang"]).collect()
+    assert all(x.lang == "en" for x in got) and len(got) == len(pairs)
+    taken = Counter()
+    for x in got:
+        taken[x.source] += x.taken
+    target = {x.source: x.target for x in got}
+    assert all(abs(taken[s] - target[s]) <= 400 for s in target)
+
+
+def test_mixing_of_rows_without_doc_id(spark):
+    rows = [(None, f"word {i} and more", "a") for i in range(60)] + [(3, f"text {i} x", "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = fair_mix(docs, carry=["text"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, fair_mix(docs.repartition(7), carry=["text"]).collect()), key=str)
+    assert {x.text for x in got} == {t for _, t, _ in rows}
+
+
 def test_licences(spark):
     rows = [
         ("p/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("p/q/a", "code", False), ("p/q/r/b", None, False), ("p/q/r/LICENSE", "Released under the MIT License.\nmore", True),
@@ -189,6 +232,41 @@ def test_nearest(spark):
     assert sorted(r.vec_id for r in nearest(df.filter("vec_id < 3"), df.filter("vec_id = 0"), 10).collect()) == [1, 2]
 
 
+def brute_nearest(V, q, k):
+    d = np.sqrt(((V - V[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(V)), d))[:k]
+
+
+def test_nearest_with_repeated_rows(spark):
+    r = np.random.default_rng(9)
+    V = r.normal(size=(60, 4))
+    V[6] = V[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(V)] + [(5, V[5].tolist())] * 15 + [(7, (V[7] + 9).tolist())] * 3
+    V[7] = min(V[7].tolist(), (V[7] + 9).tolist())  # of several vectors under one id the least one is taken
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for x in sorted(nearest(df, df, 10).collect(), key=lambda x: x.rank):
+        got[x.query_id].append(x.vec_id)
+    assert got == {q: brute_nearest(V, q, 10).tolist() for q in range(60)}
+    assert got[5][0] == 6 and got[6][0] == 5
+
+
+def test_recall_over_many_shards(spark):
+    """Queries search as many cells as the sample tells."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet") if os.path.isdir("/root/testdata/sf0.1") else None
+    if e is None:
+        pytest.skip("no test data")
+    got = nearest(e, e.filter("vec_id % 20 = 0"), 10, shard_rows=50).collect()
+    rows = e.orderBy("vec_id").collect()
+    V, ids = np.array([x.embedding for x in rows], float), np.array([x.vec_id for x in rows])
+    found = defaultdict(set)
+    for x in got:
+        found[x.query_id].add(x.vec_id)
+    hits = sum(len(found[ids[q]] & set(ids[brute_nearest(V, q, 10)].tolist())) for q in range(len(ids)) if ids[q] % 20 == 0)
+    assert hits >= 0.9 * 10 * sum(ids % 20 == 0)
+
+
 @data
 def test_recall_on_the_fixture(spark):
     got = queries.op10_nearest(spark, SF).collect()
@@ -224,7 +302,7 @@ def test_stages_keep_rows_without_doc_id_and_repeated_ones(spark):
     ids = [None] * 40 + [7] * 20 + [8] * 6 + list(range(100, 160))
     pairs = [(i, None if n % 20 == 3 else " ".join(words(r.randrange(1, 12), n)), r.choice(["a", "b", None])) for n, i in enumerate(ids)]
     pairs += [(None, "same text", "a")] * 5 + [(7, "same text", "a")] * 5
-    docs = spark.createDataFrame(rows_of(pairs), SCHEMA).drop("size", "repeats", "shard")
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA)
     stages = dict(corpus_pipeline.STAGES)
     mixed = stages["mixing"](spark, docs, "")
     size = lambda t: len((t or "").split())
@@ -237,12 +315,42 @@ def test_stages_keep_rows_without_doc_id_and_repeated_ones(spark):
     rows = Counter(pairs)
     times = Counter((x.doc_id, x.text, x.source) for x in mixed.collect())
     assert mixed.columns == docs.columns and all(n <= 2 * rows[p] for p, n in times.items())
-    out = stages["sharding"](spark, docs, "").collect()
+    out = stages["sharding"](spark, docs, "")
+    assert [c for c in out.columns if c not in docs.columns] == ["size", "text_crc32", "slot"]
+    out = out.collect()
     assert Counter((x.doc_id, x.text, x.source) for x in out) == rows
     assert len({(x.shard, x.slot) for x in out}) == len(pairs)
     assert all(x.size == len((x.text or "").encode()) + 1 and x.text_crc32 == zlib.crc32((x.text or "").encode()) for x in out)
 
 
+CLASHING = SCHEMA + ", repeats int, size long, text_crc32 long, slot long, _row long, component_id long, turn int"
+
+
+@data
+@pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_edge_cases(spark, stage):
+    """Clashing names, nulls, empty and long texts, repeated rows and ids, empty tables."""
+    more = [(None, "z y x w v u", "a"), (None, "z y x w v u", "a"), (4, "other text under four, of eight words", "b"), (None, None, None), (None, "", "b")]
+    pairs = EDGE + more
+    docs = spark.createDataFrame([(*r, 5, 6, 7, 8, 9, 10, 11) for r in rows_of(pairs)], CLASHING)
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, SF)
+    if stage == "sharding":
+        assert set(docs.columns) <= set(out.columns) and out.count() == len(pairs)
+    else:
+        assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    if stage == "mixing":
+        assert all(0 < n <= 2 * Counter(pairs)[p] and p[1].split() for p, n in got.items())
+    elif stage == "near_dedup":
+        # One of each group: (4, 5), (6, 7, 7), (12, 13) and the two rows without doc_id; rows without words stay.
+        gone = [(5, "One  TWO", "b"), (7, "ONE two three four five", "c"), (7, "ONE two three four five", "c"), (13, EDGE[-1][1], "b"), more[0]]
+        assert got == Counter(pairs) - Counter(gone)
+    else:
+        assert got == Counter(pairs)
+    assert run(spark, docs.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -103,6 +104,37 @@ def test_line_dedup(spark):
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()) == brute_lines(pairs)
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    many = "\n".join(f"line {i}" for i in range(80_000))
+    pairs = [(i, many, "a") for i in range(10)] + [(20, many + "\nown", "a"), (21, "line 7\nx\nLINE 79999", "b")] + [(30, many, "a")] * 3
+    begin = time.perf_counter()
+    got = drop_frequent_lines(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect()
+    assert time.perf_counter() - begin < 60
+    want = {21: (3, 2, "x"), 20: (80_001, 80_000, "own")}
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == Counter((i, *want.get(i, (80_000, 80_000, ""))) for i, _, _ in pairs)
+
+
+def test_later_batches_lose_settled_keys(spark, monkeypatch):
+    """The query itself anti-joins batches with runs that hold keys."""
+    seen = []
+    add = LineRuns.add
+
+    def watched(self, counts):
+        settled = sum(s.count() for s in self.settled)
+        before = counts.count()
+        add(self, counts)
+        seen.append((settled, before))
+
+    monkeypatch.setattr(LineRuns, "add", watched)
+    written = []
+    run = LineRuns._run
+    monkeypatch.setattr(LineRuns, "_run", lambda self, c: written.append(run(self, c)) or written[-1])
+    pairs = [(i, f"same\nown {i}", "a") for i in range(200)]
+    got = drop_frequent_lines(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == brute_lines(pairs)
+    assert [s for s, _ in seen] == [0, 0, 0, 1, 1, 1]
+
+
 def test_line_dedup_of_nothing(none):
     assert drop_frequent_lines(none).count() == 0
 
@@ -212,6 +244,15 @@ def test_decontamination_of_edits_in_every_part(spark):
     assert {r.doc_id for r in drop_contaminated(frame, bench).collect()} == set(docs) - {d for d, _ in want}
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Work stays in proportion to the text, not to its product with the item."""
+    bench = spark.createDataFrame([(1, "again " * 400), (2, "a b " * 100)], "item_id long, text string")
+    docs = spark.createDataFrame(rows_of([(1, "again " * 20_000, "a"), (2, "again " * 200, "a"), (3, "x a b a b y " * 4000, "a")]), SCHEMA)
+    got = contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2)} - ({(3, 2)} if smith_waterman(["x", "a", "b", "a", "b", "y"] * 60, ["a", "b"] * 100) < 120 else set())
+    assert all(r.seeds <= 2 * 24_000 for r in got)
+
+
 def test_decontamination_of_nothing(spark, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(none, bench).count() == 0
