@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import toxicity as tox
-from textloom.llm._util import Workspace, numbered
+from textloom.llm._util import Workspace, with_place
 from textloom.llm.decontaminate import drop_contaminated
 from textloom.llm.mixing import fair_mix
 from textloom.llm.near_dedup import near_duplicates
@@ -39,12 +39,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     not. Rows without words (null, empty or blank text) are linked with nothing
     and all stay.
     """
-    ws = Workspace(spark, "dedup")
-    rows, row = numbered(docs, ws)
-    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=85).select(F.col("doc_id").alias(row), "component_id")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).getField(row)
-    kept = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(least.alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    rows, at = with_place(docs, Workspace(spark, "dedup"))
+    given = f"{at[0]}id"
+    named = rows.withColumn(given, F.col("doc_id")).withColumn("doc_id", F.xxhash64(*at))
+    groups = near_duplicates(named, percent=85, carry=[given, *at])
+    least = F.min(F.struct(F.col(given).isNull(), given, *at))
+    kept = groups.filter("node is not null").groupBy("node").agg(least.alias("least")).select("least.*")
+    kept = kept.select(*at).union(groups.filter("node is null").select(*at))
+    return rows.join(kept, at, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,9 +64,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are counted one by one, also without doc_id or with a repeated one;
     rows without words are taken 0 times; a null source is a source.
     """
-    rows, row = numbered(docs, Workspace(spark, "mixing"))
-    taken = fair_mix(rows, carry=[row]).filter("repeats > 0").select(row, F.explode(F.sequence(F.lit(1), "repeats")).alias(f"{row}turn"))
-    return rows.join(taken, row).select(*docs.columns)
+    rows, at = with_place(docs, Workspace(spark, "mixing"))
+    taken = fair_mix(rows, carry=at).filter("repeats > 0").select(*at, F.explode(F.sequence(F.lit(1), "repeats")).alias(f"{at[0]}turn"))
+    return rows.join(taken, at).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,10 +74,10 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row has a slot of its own, also without doc_id or with a repeated one; a null text has size 1.
     """
-    rows, row = numbered(docs, Workspace(spark, "sharding"))
+    rows, at = with_place(docs, Workspace(spark, "sharding"))
     made = ["size", "text_crc32", "shard", "slot"]
-    placed = shard(rows, carry=[row]).select(row, *made)
-    return rows.drop(*made).join(placed, row).select(*[c for c in docs.columns if c not in made], *made)
+    placed = shard(rows, carry=at).select(*at, *made)
+    return rows.drop(*made).join(placed, at).select(*[c for c in docs.columns if c not in made], *made)
 
 
 STAGES = [

@@ -351,6 +351,18 @@ def test_stages_on_edge_cases(spark, stage):
     assert run(spark, docs.limit(0), SF).count() == 0
 
 
+def test_rows_are_told_apart(spark, tmp_path):
+    """By file and place where the frame is a scan, else by a written number."""
+    from textloom.llm._util import Workspace, with_place
+
+    docs = spark.range(50).selectExpr("id % 3 as doc_id", "'t' as text", "1 as _file")
+    docs.repartition(4).write.parquet(f"{tmp_path}/d")
+    scan = spark.read.parquet(f"{tmp_path}/d")
+    for frame, n in ((docs, 50), (scan, 50), (scan.filter("doc_id = 1"), 17), (scan.union(scan), 100), (scan.selectExpr("doc_id", "text", "explode(array(1, 2)) as _file"), 100)):
+        rows, at = with_place(frame, Workspace(spark, "test"))
+        assert rows.columns == [*frame.columns, *at] and rows.select(*at).distinct().count() == n
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

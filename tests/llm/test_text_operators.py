@@ -65,6 +65,16 @@ def test_near_duplicates(spark, pairs):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_texts_under_one_doc_id_have_links_of_their_own(spark):
+    a, b, c = (" ".join(words(60, 700 + i, 10**6)) for i in range(3))
+    pairs = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (3, b + " more", "x"), (4, c, "x"), (None, c, "x"), (None, a, "x"), (5, c, "x")]
+    got = N.near_duplicates(spark.createDataFrame(rows_of(pairs), SCHEMA), carry=["text"]).collect()
+    assert Counter((r.doc_id, r.text, r.component_id, r.kept) for r in got) == Counter(
+        [(1, a, 1, True), (1, b, 1, True), (2, a + " more", 1, False), (3, b + " more", 1, False), (4, c, 4, True), (None, c, None, True), (None, a, None, True), (5, c, 4, False)])
+    node = {r.text: r.node for r in got if r.doc_id is not None}
+    assert node[a] == node[a + " more"] != node[b] == node[b + " more"] and all(r.node is None for r in got if r.doc_id is None)
+
+
 def test_near_duplicates_of_nothing(none):
     assert N.near_duplicates(none).count() == 0
 

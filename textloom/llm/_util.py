@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +23,14 @@ class Workspace:
 
     ``put`` writes a frame as Parquet below the shared folder and returns it
     reread, so a lost executor never recomputes what came before; ``drop``
-    frees a table that nothing reads any more.
+    frees a table that nothing reads any more, ``keep`` all but those named.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def path(self) -> str:
         self.n += 1
@@ -40,23 +42,45 @@ class Workspace:
         (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._textloom_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._textloom_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = [t for t in self.tables if t is not df]
 
+    def keep(self, *held: DataFrame) -> None:
+        for t in list(self.tables):
+            if not any(t is h for h in held):
+                self.drop(t)
 
-def numbered(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, str]:
-    """The rows, written, with a number of their own, and the name of that column, which ``docs`` does not have.
 
-    The numbers are part of the written table, so they stay the same if executors are lost.
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether the frame is a scan, filtered or projected at most, so that each row is one of a file's."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_place(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, list[str]]:
+    """The rows with two numbers that tell each row from all others, and the names of these columns, which ``docs`` does not have.
+
+    Rows of files are known by a hash of the file's path and their place in it;
+    both stay the same however files are split and whatever executors are lost.
+    Rows of other frames are written first, with a number of their own.
     """
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    return ws.put(docs.withColumn(name, F.monotonically_increasing_id())), name
+    at = ["_file", "_place"]
+    while set(at) & set(docs.columns):
+        at = [f"{c}_" for c in at]
+    try:
+        if _rows_of_files(docs):
+            return docs.withColumns({at[0]: F.xxhash64(F.col("_metadata.file_path")), at[1]: F.col("_metadata.row_index")}), at
+    except AnalysisException:  # a source that does not tell
+        pass
+    return ws.put(docs.withColumns({at[0]: F.lit(0).cast("long"), at[1]: F.monotonically_increasing_id()})), at
 
 
 def rows_per_bucket(n_rows: int, per_bucket: int = 5_000, least: int = 8) -> int:

@@ -304,6 +304,7 @@ def nearest(
     found = copies.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(search, "query_id long, rep long, d double")
     near = Window.partitionBy("query_id").orderBy("d", "rep")
     best = ws.put(found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= keep).drop("r", "d"))
+    ws.keep(members, asked, best)
     exact = (
         best.join(members.withColumnRenamed("r", "copy"), (F.col("rep") == F.col("vec_id")) & (F.col("copy") == 1))
         .select("query_id", "h", F.col("v").alias("hv"))

@@ -122,7 +122,8 @@ def drop_frequent_lines(
     )
     for b in range(batches):
         runs.add(counted.filter(F.col("batch") == b).select(*KEY, "n"))
-    frequent = runs.frequent()
+    frequent = ws.put(runs.frequent())
+    ws.keep(frequent)
     # The places of the lines that each row loses, in their order.
     at = rows.select("r1", "r2", F.posexplode(keys).alias("at", "key")).filter(F.length("key") >= min_chars)
     lost = (

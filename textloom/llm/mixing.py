@@ -95,6 +95,7 @@ def fair_mix(
     keyed = keyed.withColumn("bucket", spread(F.col("h"), buckets))
     order = [F.col("h"), F.col("doc_id"), F.col("size"), F.col("t")]
     queued = ws.put(running_total(keyed, ["src"], "bucket", order, "size", "cum").drop("bucket", "t"))
+    ws.keep(queued)
     passes = queued.filter("size > 0").select(
         "doc_id", "src", "h", "size", "cum", "budget", "weight", "source_size",
         F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("turn"),

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,7 +113,8 @@ def shingle_sets(block: Block, words: int) -> Iterator[tuple[np.ndarray, bytes]]
 
 
 def signatures(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """doc_id, n, k1, k2 (identity of the word sequence), bands (null for empty sets)."""
+    """The columns but the text, with n, k1, k2 (identity of the word sequence), bands (null for empty sets)."""
+    given = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = sketch.multipliers()
@@ -127,32 +128,35 @@ def signatures(docs: DataFrame, sketch: Sketch) -> DataFrame:
                     keys.append(np.frombuffer(digest, np.int64))
                     bands.append(sketch.band_keys(sketch.registers(s, mul)) if len(s) else None)
             yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()),
+                {c: batch.column(c) for c in given}
+                | {
+                    "n": pa.array(n, pa.int64()),
                     "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
                     "bands": pa.array(bands, pa.list_(pa.int64())),
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in given)
+    return docs.select(*given, "text").mapInArrow(run, f"{schema}, n long, k1 long, k2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """doc_id, n, registers, shingles (both packed) of each document."""
+    """k1, k2, n, registers, shingles (both packed) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = sketch.multipliers()
         for batch in batches:
-            sets = [s for block in blocks(as_bytes(batch.column("text"))) for s, _ in shingle_sets(block, sketch.words)]
+            found = [x for block in blocks(as_bytes(batch.column("text"))) for x in shingle_sets(block, sketch.words)]
+            sets, keys = [s for s, _ in found], [np.frombuffer(d, np.int64) for _, d in found]
             yield pa.record_batch(
                 {
-                    "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
                     "registers": pa.array([sketch.registers(s, mul).tobytes() for s in sets], pa.binary()),
                     "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, registers binary, shingles binary")
+    return docs.select("text").mapInArrow(run, "k1 long, k2 long, n long, registers binary, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -285,44 +289,56 @@ def unpack(feats: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, sketch: Sketch = Sketch(), slack: float = 0.15, block_rows: int = 256
+    docs: DataFrame, percent: int = 85, sketch: Sketch = Sketch(), slack: float = 0.15, block_rows: int = 256, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, node for every row.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their
     shingle sets. Words part at blanks and A-Z are lower-cased; a text with
     fewer than five words is one shingle; a text without words (null, empty,
     blank) has none and is linked with nothing, as is a row without doc_id.
-    ``component_id`` is the smallest doc_id reachable. doc_id (integer) names a
-    document: repeated rows agree. Other columns are ignored; an empty table
-    gives an empty result. Estimates more than ``slack`` under the threshold
-    (over six standard errors) are not verified.
+    ``component_id`` is the smallest doc_id reachable, ``node`` a number of the
+    component (null where nothing can be linked). Texts are what is linked:
+    repeated rows agree, and of several texts under one doc_id each has links
+    of its own. Other columns are ignored, but for those named in ``carry``,
+    which come back with their row; an empty table gives an empty result.
+    Estimates more than ``slack`` under the threshold (over six standard
+    errors) are not verified.
     """
     ws = Workspace(docs.sparkSession, "near")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = [f"carry{i}" for i in range(len(carry))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(h) for c, h in zip(carry, held)])
     screen = percent / 100 - slack
     sig = ws.put(signatures(docs, sketch))
-    reps = sig.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = ws.put(reps)
-    own = sig.join(reps.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    # One node for each distinct word sequence, numbered in the written table.
+    texts = sig.filter("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    texts = ws.put(texts.withColumn("node", F.monotonically_increasing_id()))
+    own = sig.join(texts.withColumnRenamed("rep", "doc_id"), ["doc_id", "k1", "k2"]).select(F.col("node").alias("doc_id"), "bands").dropDuplicates(["doc_id"])
     banded = ws.put(own.select("doc_id", F.posexplode("bands").alias("at", "band")))
     hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     buckets = ws.put(banded.join(hubs, "band"))
     ws.drop(banded)
     pairs = ws.put(buckets.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = ws.put(texts.join(ids, "node", "left_semi"))
     # A merge join at every size: a broadcast of few ids would only hide what many cost.
-    near = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    feats = ws.put(full_sets(near, sketch).dropDuplicates(["doc_id"]))
+    near = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    found = full_sets(near, sketch).dropDuplicates(["k1", "k2"]).join(needed.drop("rep").hint("merge"), ["k1", "k2"])
+    feats = ws.put(found.select(F.col("node").alias("doc_id"), "n", "registers", "shingles"))
     side = lambda x: feats.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "registers", "shingles")])
     links = ws.put(verify(pairs.join(side("a"), "a").join(side("b"), "b"), sketch, percent, screen))
     roots = ws.put(components(links, ws))
     more = ws.put(remaining_links(buckets, feats, roots, ws, sketch, percent, screen, block_rows))
     roots = ws.put(components(links.unionByName(more), ws))
-    named = reps.join(roots, reps.rep == roots.node, "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
-    out = sig.drop("bands").join(named, ["k1", "k2"], "left")
+    # The smallest doc_id of each component of several texts.
+    named = texts.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
+    named = ws.put(roots.join(named, "root").select("node", "root", "least"))
+    ws.keep(sig, texts, named)
+    of_text = texts.join(named, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("node"), F.coalesce("least", "rep").alias("component"))
+    out = sig.drop("bands").join(of_text, ["k1", "k2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(~alone, F.col("node")).alias("node"), *[F.col(h).alias(c) for c, h in zip(carry, held)],
     )

@@ -28,7 +28,7 @@ def _scored(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_read(spark, sf_dir, "documents"), percent=85).drop("node")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

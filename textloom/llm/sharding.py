@@ -175,6 +175,7 @@ def shard(
     for i in range(rounds):
         linked = ws.put(propagate_once(linked, n_shards, f"{seed}:{i}").select(*rows.columns))
     even = ws.put(even_out(alone.unionByName(linked), ws, n_shards, n))
+    ws.keep(even)
     buckets = rows_per_bucket(n)
     slots = running_total(
         even.withColumn("bucket", spread(F.col("h"), buckets)).withColumn("one", F.lit(1)),
