@@ -2,9 +2,13 @@
 
 import pytest
 
-from textloom.functions.morphology import Lexicon, analyse_word, closed_class, correlative, inflection
+from textloom.functions.morphology import Lexicon, analyse_word, closed_class, correlative, inflection, load_lexicon
 from textloom.operators import syntax as S
 
+ENTRIES = [(r, "root") for r in "hund kat bon vid leg bel skrib vapor ŝip grand manĝ pom kur ven reĝ skribil libr ej".split()]
+ENTRIES += [(r, "fundamental") for r in "hund bon vid leg bel skrib".split()] + [("region", "protected"), ("libret", "protected"), ("Frodo", "name")]
+LEXICON = Lexicon(*(frozenset(r for r, k in ENTRIES if k == kind) for kind in ("root", "fundamental", "protected")))
+
 
 @pytest.mark.parametrize(
     "word, expected",
@@ -20,6 +24,11 @@ from textloom.operators import syntax as S
         ("skribanta", {"radiko": "skrib", "sufiksoj": ["ant"], "participo_vocho": "aktiva", "participo_tempo": "prezenco"}),
         ("vaporŝipo", {"radiko": "ŝip", "kunmetitaj_radikoj": ["vapor", "ŝip"]}),
         ("regiono", {"radiko": "region", "prefiksoj": []}),
+        ("libreton", {"radiko": "libret", "sufiksoj": [], "kazo": "akuzativo"}),
+        ("katido", {"radiko": "kat", "sufiksoj": ["id"]}),
+        ("malbelegulo", {"radiko": "bel", "prefiksoj": ["mal"], "sufiksoj": ["ul", "eg"]}),
+        ("skribileto", {"radiko": "skrib", "sufiksoj": ["et", "il"]}),
+        ("librovendejo", {"parse_status": "failed", "category": "foreign_word"}),
         ("min", {"radiko": "mi", "vortspeco": "pronomo", "kazo": "akuzativo"}),
         ("kiun", {"radiko": "kiu", "vortspeco": "korelativo", "korelativo_prefikso": "ki", "kazo": "akuzativo"}),
         ("neniam", {"korelativo_prefikso": "neni", "korelativo_sufikso": "am"}),
@@ -33,7 +42,7 @@ from textloom.operators import syntax as S
     ],
 )
 def test_words(word, expected):
-    got = analyse_word(word, Lexicon())
+    got = analyse_word(word, LEXICON)
     assert {k: got.get(k) for k in expected} == expected
 
 
@@ -42,6 +51,16 @@ def test_known_names_count_as_success():
     assert (got["parse_status"], got["category"]) == ("success", "proper_name_known")
 
 
+def test_lexicon_is_loaded_from_rows(spark):
+    df = spark.createDataFrame([*ENTRIES, *ENTRIES, (None, "root"), ("x", "other")], "root string, kind string")
+    got = load_lexicon(df)
+    assert (got.roots, got.fundamental, got.protected, got.names) == (LEXICON.roots, LEXICON.fundamental, LEXICON.protected, frozenset({"Frodo"}))
+    whole = load_lexicon(df, affixes=False)
+    assert analyse_word("malbona", whole)["parse_status"] == "failed" and analyse_word("bona", whole)["radiko"] == "bon"
+    empty = load_lexicon(df.limit(0))
+    assert analyse_word("bona", empty)["parse_status"] == "failed" and analyse_word("kaj", empty)["vortspeco"] == "konjunkcio"
+
+
 def test_native_columns(spark):
     df = spark.createDataFrame([("hundojn",), ("la",), ("min",), ("kiujn",), ("vidos",)], "w string")
     rows = {r.w: r for r in df.select("w", closed_class(df.w).alias("c"), correlative(df.w).alias("k"), inflection(df.w).alias("i")).collect()}
@@ -54,7 +73,7 @@ SENTENCES = [(1, "La bona hundo vidas la grandan katon."), (2, "Ĉu mi ne manĝi
 
 @pytest.fixture(scope="module")
 def roles(spark):
-    return S.with_roles(S.analyse(spark.createDataFrame(SENTENCES, "sent_id long, text string"))).cache()
+    return S.with_roles(S.analyse(spark.createDataFrame(SENTENCES, "sent_id long, text string"), LEXICON)).cache()
 
 
 def test_roles(roles):

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import lexicon as lx
@@ -72,14 +72,22 @@ def unknown_category(word: Column, known_name: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """Root sets: all known ones, those of the founding vocabulary, those that look affixed but are not."""
+    """Root sets: all known ones, those of the founding vocabulary, those that look affixed but are not.
 
-    roots: frozenset[str] = frozenset(lx.ROOTS)
-    fundamental: frozenset[str] = frozenset(lx.FUNDAMENTAL)
-    protected: frozenset[str] = frozenset(lx.PROTECTED)
+    ``affixes`` False makes it a list of whole stems: nothing is taken off but endings.
+    """
+
+    roots: frozenset[str] = frozenset()
+    fundamental: frozenset[str] = frozenset()
+    protected: frozenset[str] = frozenset()
     names: frozenset[str] = frozenset()
-    _prefixes: list[str] = field(default_factory=lambda: sorted(lx.PREFIXES, key=lambda p: (-len(p), p)))
-    _suffixes: list[str] = field(default_factory=lambda: sorted(lx.SUFFIXES, key=lambda s: (-len(s), s)))
+    affixes: bool = True
+    _prefixes: list[str] = field(init=False)
+    _suffixes: list[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self._prefixes = sorted(lx.PREFIXES if self.affixes else [], key=lambda p: (-len(p), p))
+        self._suffixes = sorted(lx.SUFFIXES if self.affixes else [], key=lambda s: (-len(s), s))
 
     def atomic(self, s: str) -> bool:
         return s in self.fundamental or s in self.protected
@@ -172,7 +180,7 @@ class Lexicon:
             suffixes, rest = self.take_suffixes(rest)
         if self.known(rest) or rest in lx.PARTICLES or rest in lx.PREPOSITIONS:
             return prefixes, rest, suffixes, None
-        parts = self.compound(rest) if len(rest) >= 4 else None
+        parts = self.compound(rest) if self.affixes and len(rest) >= 4 else None
         if parts is None:
             return None
         return parts[0] + prefixes, parts[1][-1], suffixes, parts[1] if len(parts[1]) > 1 else None
@@ -238,7 +246,23 @@ def _category(word: str, lexicon: Lexicon) -> dict:
     return {"category": "foreign_word", "vortspeco": "fremda_vorto"}
 
 
-def word_udf(lexicon: Lexicon = Lexicon()) -> Callable[[Column], Column]:
+#: Largest dictionary that is shipped to the word analysis.
+LARGEST_LEXICON = 2_000_000
+
+
+def load_lexicon(entries: DataFrame, affixes: bool = True) -> Lexicon:
+    """A lexicon of rows (root, kind) with kind ``root``, ``fundamental``, ``protected`` or ``name``; other kinds and nulls are ignored.
+
+    A dictionary is small, and its size is checked: above ``LARGEST_LEXICON`` entries this raises ValueError.
+    """
+    rows = entries.select("root", "kind").filter("root is not null").distinct().limit(LARGEST_LEXICON + 1).collect()
+    if len(rows) > LARGEST_LEXICON:
+        raise ValueError(f"more than {LARGEST_LEXICON} entries are no dictionary")
+    of = lambda kind: frozenset(r["root"] for r in rows if r["kind"] == kind)
+    return Lexicon(of("root"), of("fundamental"), of("protected"), of("name"), affixes)
+
+
+def word_udf(lexicon: Lexicon) -> Callable[[Column], Column]:
     names = [f.split()[0] for f in WORD_TYPE.split(", ")]
 
     @F.pandas_udf(WORD_TYPE)

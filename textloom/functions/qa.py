@@ -12,16 +12,22 @@ WORD = "[a-zĉĝĥĵŝŭ]+"
 NAME = "[A-ZĈĜĤĴŜŬa-zĉĝĥĵŝŭ][a-zĉĝĥĵŝŭA-ZĈĜĤĴŜŬ]+"
 NOT_WORD_BEFORE, NOT_WORD_AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
-# Weighted signs of each answer type, in lower case and free of look-around.
+#: Unicode classes and boundaries, any case, only the line feed ends a line.
+FLAGS = "(?iUd)"
+
+# Weighted signs of each answer type.
 TYPE_PATTERNS = {
-    "person": [(rf"{WORD}(?:\s+{WORD})?", 0.3), (r"(homo|persono|viro|virino|ulo|ano)", 0.2)],
-    "thing": [(r"estas\s+[\p{L}]+", 0.2), (r"(afero|objekto|ilo|aĵo)", 0.1)],
-    "time": [(r"(1[89][0-9][0-9]|20[0-2][0-9])", 0.4), (r"(en|dum|post|antaŭ)\s+(la\s+)?(jar|monat|tag)", 0.3), (r"(januaro|februaro|marto|aprilo|majo|junio|julio|aŭgusto|septembro|oktobro|novembro|decembro)", 0.2)],
-    "location": [(rf"(en|ĉe|sur|sub)\s+{WORD}", 0.3), (r"(urbo|lando|loko|regiono|mondo)", 0.1)],
-    "manner": [(r"(per|uzante|kun|laŭ)\s+[\p{L}]+", 0.2), (r"[\p{L}]+e", 0.1)],
-    "reason": [(r"(ĉar|pro|tial|sekve)", 0.3), (r"(kaŭzo|kialo|motivo)", 0.2)],
-    "quantity": [(r"[0-9]+", 0.3), (r"(unu|du|tri|kvar|kvin|ses|sep|ok|naŭ|dek|cent|mil)", 0.2), (r"(multe|malmulte|kelkaj|ĉiuj)", 0.1)],
-    "quality": [(r"[\p{L}]+a", 0.1)],
+    "person": [(r"[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+(?:\s+[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+)?", 0.3), (r"\b(homo|persono|viro|virino|ulo|ano)\b", 0.2)],
+    "thing": [(r"estas\s+\w+", 0.2), (r"\b(afero|objekto|ilo|aĵo)\b", 0.1)],
+    "time": [
+        (r"\b(1[89]\d{2}|20[0-2]\d)\b", 0.4), (r"\b(en|dum|post|antaŭ)\s+(la\s+)?(jar|monat|tag)", 0.3),
+        (r"\b(januaro|februaro|marto|aprilo|majo|junio|julio|aŭgusto|septembro|oktobro|novembro|decembro)\b", 0.2),
+    ],
+    "location": [(r"\b(en|ĉe|sur|sub)\s+[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+", 0.3), (r"\b(urbo|lando|loko|regiono|mondo)\b", 0.1)],
+    "manner": [(r"\b(per|uzante|kun|laŭ)\s+\w+", 0.2), (r"\w+e\b", 0.1)],
+    "reason": [(r"\b(ĉar|pro|tial|sekve)\b", 0.3), (r"\b(kaŭzo|kialo|motivo)\b", 0.2)],
+    "quantity": [(r"\b\d+\b", 0.3), (r"\b(unu|du|tri|kvar|kvin|ses|sep|ok|naŭ|dek|cent|mil)\b", 0.2), (r"\b(multe|malmulte|kelkaj|ĉiuj)\b", 0.1)],
+    "quality": [(r"\w+a\b", 0.1)],
 }
 
 
@@ -53,17 +59,17 @@ def tense_of(question: Column) -> Column:
 
 def score_type(doc: Column, kind: Column) -> Column:
     """Weighted signs of the expected type, each counted three times at most; 1 at most."""
-    low, case = F.lower(doc), None
+    case = None
     for name, patterns in TYPE_PATTERNS.items():
         total = F.lit(0.0)
         for pattern, weight in patterns:
-            total = total + F.lit(weight) * F.least(F.regexp_count(low, F.lit(pattern)), F.lit(3))
+            total = total + F.lit(weight) * F.least(F.regexp_count(doc, F.lit(FLAGS + pattern)), F.lit(3))
         case = F.when(kind == name, F.least(F.lit(1.0), total)) if case is None else case.when(kind == name, F.least(F.lit(1.0), total))
     return case.otherwise(0.0)
 
 
 def score_grammar(doc: Column, number: Column, tense: Column) -> Column:
-    ws = T.words(doc)
+    ws = F.regexp_extract_all(F.lower(doc), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     n = lambda e: F.size(F.filter(ws, lambda w: F.endswith(w, F.lit(e)) & (F.length(w) > len(e))))
     by_number = F.when(number == "plural", F.when(n("oj") > 0, 0.5).otherwise(0.0)).otherwise(F.when(n("o") >= n("oj"), 0.3).otherwise(0.0))
     by_tense = F.when(tense == "past", F.when(n("is") > 0, 0.5).otherwise(0.0)).when(tense == "future", F.when(n("os") > 0, 0.5).otherwise(0.0)).otherwise(0.3)
@@ -89,16 +95,17 @@ def combined(kind: Column, grammar: Column, entity: Column, role: Column, origin
     return 0.6 * (0.3 * kind + 0.2 * grammar + 0.3 * entity + 0.2 * role) + 0.4 * original
 
 
-# Fixed values: (pattern, group, confidence) by question type, tried in order, on lower case.
+# Fixed values: (pattern, group, confidence) by question type, tried in order.
 ANSWER_PATTERNS = {
-    "thing": [(r"[\p{L}]+\s+estas\s+(.+?)\.", 1, 0.8), (r"[\p{L}]+\s+signifas\s+(.+?)\.", 1, 0.7), (r"[\p{L}]+\s+nomiĝas\s+(.+?)\.", 1, 0.7)],
-    "person": [(r"([\p{L}]+)\s+fondis\s", 1, 0.9), (r"([\p{L}]+)\s+kreis\s", 1, 0.9), (r"^de\s+([\p{L}]+)", 1, 0.6)],
-    "time": [(r"en\s+(?:la\s+jaro\s+)?([0-9]{4})", 1, 0.9), (r"(1[89][0-9][0-9]|20[0-2][0-9])", 1, 0.5)],
-    "location": [(r"en\s+([\p{L}]+)", 1, 0.8), (r"ĉe\s+([\p{L}]+)", 1, 0.7)],
-    "quantity": [(r"([0-9]+)", 1, 0.7), (r"(unu|du|tri|kvar|kvin|ses|sep|ok|naŭ|dek|cent|mil)", 1, 0.6)],
-    "manner": [(r"per\s+(.+?)(?:\.|,|$)", 1, 0.7)],
+    "thing": [(r"(\w+)\s+estas\s+(.+?)\.", 2, 0.8), (r",\s*tio\s+estas\s+(.+?)\.", 1, 0.7), (r"(\w+)\s+signifas\s+(.+?)\.", 2, 0.7), (r"(\w+)\s+nomiĝas\s+(.+?)\.", 2, 0.7)],
+    "person": [(r"(\w+(?:\s+\w+)?)\s+fondis\s+", 1, 0.9), (r"(\w+(?:\s+\w+)?)\s+kreis\s+", 1, 0.9), (r"estis\s+(?:fondita|kreita)\s+de\s+(\w+(?:\s+\w+)?)", 1, 0.8), (r"^de\s+(\w+(?:\s+\w+)?)", 1, 0.6)],
+    "time": [(r"en\s+(?:la\s+jaro\s+)?(\d{4})", 1, 0.9), (r"en\s+(\d{4})", 1, 0.9), (r"la\s+(\d{1,2})[—-]?an?\s+de\s+(\w+)", 0, 0.8), (r"\b(1[89]\d{2}|20[0-2]\d)\b", 1, 0.5)],
+    "location": [(r"en\s+([A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+(?:\s+[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+)?)", 1, 0.8), (r"ĉe\s+([A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+)", 1, 0.7)],
+    "quantity": [(r"(\d+(?:\s*\d+)*)", 1, 0.7), (r"(unu|du|tri|kvar|kvin|ses|sep|ok|naŭ|dek|cent|mil)", 1, 0.6)],
+    "manner": [(r"per\s+(.+?)(?:\.|,|$)", 1, 0.7), (r"uzante?\s+(.+?)(?:\.|,|$)", 1, 0.7)],
     "reason": [(r"ĉar\s+(.+?)(?:\.|$)", 1, 0.8), (r"pro\s+(.+?)(?:\.|,|$)", 1, 0.7)],
 }
+UNKNOWN = "Mi ne scias."
 
 
 def pattern_answer(sentence: Column, kind: Column, terms: Column) -> Column:
@@ -108,21 +115,42 @@ def pattern_answer(sentence: Column, kind: Column, terms: Column) -> Column:
     branches = []
     for name, patterns in ANSWER_PATTERNS.items():
         for pattern, group, conf in patterns:
-            made = F.struct(F.trim(F.regexp_extract(low, pattern, group)).alias("answer"), F.round(F.least(F.lit(1.0), conf + 0.1 * held), 6).alias("confidence"))
-            branches.append(F.when((kind == name) & low.rlike(pattern), made))
+            found = F.trim(F.regexp_extract(sentence, FLAGS + pattern, group))
+            made = F.struct(found.alias("answer"), F.round(F.least(F.lit(1.0), conf + 0.1 * held), 6).alias("confidence"))
+            branches.append(F.when((kind == name) & sentence.rlike(FLAGS + pattern), made))
     return F.coalesce(*branches)
 
 
 def key_terms(question: Column) -> Column:
-    stop = [*["la", "de", "en", "kaj", "al", "por", "kun", "ĉu", "estas"], *[w for w, *_ in lx.QUESTION_WORDS]]
-    return F.filter(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    """Words of three letters or more, without stop words and the first occurrence of each question word."""
+    stop = ["la", "de", "en", "kaj", "al", "por", "kun", "ĉu", "estas"]
+    ws = F.filter(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    return F.filter(ws, lambda w, i: ~(w.isin(*[q for q, *_ in lx.QUESTION_WORDS]) & (F.array_position(ws, w) == i + 1)))
+
+
+def unanswerable(question: Column) -> Column:
+    """Questions about what no text of the corpus tells."""
+    hits = [F.lower(question).contains(w) for w in lx.UNANSWERABLE]
+    return hits[0] | hits[1] | hits[2]
+
+
+def shortened(answer: Column, longest: int = 150) -> Column:
+    return F.when(F.length(answer) > longest, F.concat(F.left(answer, F.lit(longest)), F.lit("..."))).otherwise(answer)
+
+
+def shortened_sentence(sentence: Column, terms: Column, longest: int = 150) -> Column:
+    """A long sentence gives way to its first clause that holds a term."""
+    clauses = F.split(sentence, "[,;:]")
+    holding = F.filter(clauses, lambda c: F.exists(terms, lambda x: F.contains(F.lower(c), x)))
+    clause = F.coalesce(F.trim(F.get(holding, 0)), sentence)
+    return F.when(F.length(sentence) > longest, shortened(clause, longest)).otherwise(sentence)
 
 
 def sentence_score(sentence: Column, kind: Column, terms: Column) -> Column:
     low = F.lower(sentence)
     s = 0.2 * F.size(F.filter(terms, lambda x: F.contains(low, x)))
     s = s + F.when((kind == "thing") & low.contains("estas"), 0.1).otherwise(0.0)
-    s = s + F.when((kind == "time") & sentence.rlike("[0-9]{4}"), 0.2).otherwise(0.0)
+    s = s + F.when((kind == "time") & sentence.rlike(r"(?U)\d{4}"), 0.2).otherwise(0.0)
     s = s + F.when(kind == "person", 0.1 * F.regexp_count(sentence, F.lit("[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+"))).otherwise(0.0)
     s = s - F.when(T.word_count(sentence) < 5, 0.1).otherwise(0.0)
     for phrase in lx.NEGATIVE_PHRASES:

@@ -211,7 +211,28 @@ def qa_normalize(text: Column) -> Column:
 
 
 def query_type(question: Column) -> Column:
+    """who, what, where, when, why, how or general, by how the query begins."""
     case, q = None, F.lower(F.trim(question))
-    for w, kind, _, _ in lx.QUESTION_WORDS:
+    for w, kind in lx.QUERY_KINDS:
         case = F.when(q.startswith(w), kind) if case is None else case.when(q.startswith(w), kind)
-    return case.otherwise("unknown")
+    return case.otherwise("general")
+
+
+def entity_of(question: Column) -> Column:
+    """First word after the question's opening, articles and punctuation are gone; empty if there is none."""
+    out = question
+    for opening in (r"Kiu\s+estas\s+", r"Kio\s+estas\s+", r"Kie\s+", r"Kiam\s+", r"Kial\s+", r"Kiel\s+"):
+        out = F.regexp_replace(out, "(?iU)^" + opening, "")
+    out = F.regexp_replace(out, r"(?iU)\b(la|unu)\s+", "")
+    return F.coalesce(F.get(split_blank(F.regexp_replace(out, "[?.!,;]", "")), 0), F.lit(""))
+
+
+def query_variants(question: Column, entity: Column, kind: Column) -> Column:
+    """The query and what a search for its entity may ask besides."""
+    with_ = lambda *parts: F.array(question, *parts)
+    say = lambda before, after: F.concat(F.lit(before), entity, F.lit(after))
+    return (
+        F.when(kind == "who", with_(entity, say("", " estas"), say("pri ", ""))).when(kind == "what", with_(entity, say("", " estas"), say("la ", "")))
+        .when(kind == "where", with_(say("", " loĝas"), say("", " troviĝas"))).otherwise(with_())
+    )
+

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +26,14 @@ def l2_squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` names it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))
 
 
 def add(a: Column, b: Column, scale: float = 1.0) -> Column:
@@ -48,10 +55,16 @@ def char_hash(word: Column, dim: int, n: int = 3) -> Column:
     padded = F.concat(F.lit("^"), word, F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(n)))
     buckets = F.transform(grams, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    return normalize(counts)
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(held, lambda x: x == b)).cast("double"))
+    return normalize(let(buckets, counts))
 
 
 def flip_half(v: Column, negated: Column) -> Column:
     """The first half of the dimensions with opposite sign, where negated."""
     return F.when(negated, F.transform(v, lambda x, i: F.when(i < F.size(v) / 2, -x).otherwise(x))).otherwise(v)
+
+
+def letter_counts(text: Column, letters: str = "abcdefghijklmnopqrstuvwxyzĉĝĥĵŝŭ") -> Column:
+    """How often each letter stands in the text, in any case: a vector without learned weights."""
+    low = F.lower(text)
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in letters])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.shared import shared_root
+from textloom.operators.shared import written
 
 
 def annotate(docs: DataFrame, tiers: DataFrame, paragraph: Column, line: Column, default: int = 6) -> DataFrame:
@@ -57,11 +56,8 @@ def in_order(rows: DataFrame, order: Sequence[Column], values: dict[str, Column]
     every partition its start. The ranged rows are written first: their bounds
     come from a sample, and rows and sums must agree on them.
     """
-    spark = rows.sparkSession
     ranged = rows.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]).repartitionByRange(*order)
-    path = f"{shared_root(spark)}/textloom/order-{uuid.uuid4().hex[:12]}"
-    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
+    ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "order")
     sums = ranged.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values])

@@ -2,28 +2,158 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.functions import vector as V
+from textloom.operators.shared import written
+
+
+#: Bytes of query vectors up to which they are shipped to the corpus instead of joined with it.
+SHIPPED = 8 << 20
+
+
+def _packed(df: DataFrame, name: str, vector: str) -> DataFrame:
+    """One row for each Arrow batch and length: ids, vectors (packed doubles), dim. Null vectors are left out."""
+    kind = df.schema[name].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors, ids = b.column(vector), b.column(name)
+            lengths = np.array(pc.list_value_length(vectors).fill_null(0).to_pylist(), np.int64)
+            for dim in np.unique(lengths[lengths > 0]):
+                at = pa.array(np.flatnonzero(lengths == dim))
+                flat = pc.list_flatten(vectors.take(at)).cast(pa.float64()).fill_null(float("nan"))
+                own = ids.take(at)
+                yield pa.record_batch({"ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "vectors": pa.array([flat.to_numpy(zero_copy_only=False).tobytes()], pa.binary()), "dim": pa.array([int(dim)], pa.int32())})
+
+    return df.select(name, vector).mapInArrow(run, f"ids array<{kind}>, vectors binary, dim int")
+
+
+def _best(Q: np.ndarray, V: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best and all that tie with them.
+
+    A matrix product finds who comes into question, with room for its rounding;
+    sums in one fixed order give the scores, so equal vectors score the same.
+    """
+    q2, v2 = (Q * Q).sum(1), (V * V).sum(1)
+    if metric == "l2":
+        near = 2 * Q @ V.T - q2[:, None] - v2[None]
+    else:
+        scale = np.where(q2 > 0, q2, 1)[:, None] ** 0.5 * np.where(v2 > 0, v2, 1)[None] ** 0.5 if metric == "cosine" else 1.0
+        near = Q @ V.T / scale
+    near = np.where(np.isnan(near), -np.inf, near)
+    room = 1e-9 * (1 + (q2[:, None] + v2.max() if metric != "cosine" else 0))
+    least = np.partition(near, -k, axis=1)[:, -k][:, None] if k < len(V) else np.full((len(Q), 1), -np.inf)
+    i, j = np.nonzero(near >= least - room)
+    if metric == "l2":
+        return i, j, ((Q[i] - V[j]) ** 2).sum(1)
+    score = (Q[i] * V[j]).sum(1)
+    if metric == "cosine":
+        norms = np.sqrt(q2[i]) * np.sqrt(v2[j])
+        score = np.where(norms > 0, score / np.where(norms > 0, norms, 1), 0.0)
+    return i, j, score
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, score: Column, ascending: bool = False, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, score, rk): the k best of ``corpus`` for each query.
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", block_queries: int = 512) -> DataFrame:
+    """(query_id, vec_id, score, rk): the k best of ``corpus`` for each query, exactly.
 
-    ``queries`` has (query_id, qv), ``corpus`` (vec_id, v), ``score`` is a
-    column over both. The stated queries, of a checked number, are shipped to
-    the corpus; partial top-k lists are cut before the shuffle. More queries
-    than ``most_queries`` go block by block through the approximate index.
+    ``queries`` has (query_id, qv), ``corpus`` (vec_id, v); ``metric`` is
+    ``cosine`` or ``dot`` (largest first) or ``l2`` (squared distance, least
+    first). Ties go to the smaller vec_id; vectors that are null or of another
+    length than the query's are passed, as are those with null components.
+    Any number of queries goes in blocks: a block meets a batch of vectors in
+    one matrix product, and only each block's best leave the task. Queries of
+    up to ``SHIPPED`` bytes are broadcast; more are joined with the batches.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in blocks")
-    pairs = corpus.join(F.broadcast(queries), F.lit(True)).select("query_id", "vec_id", score.alias("score"))
-    best = F.col("score").asc() if ascending else F.col("score").desc()
+    spark = queries.sparkSession
+    stated = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("qv")), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-stated["n"] // block_queries))
+    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = queries.repartition(blocks, F.xxhash64("query_id")) if blocks > 1 else queries.coalesce(1)
+    asked = _packed(dealt, "query_id", "qv").select(F.pmod(F.xxhash64(F.element_at("ids", 1).cast("string")), F.lit(blocks)).cast("int").alias("block"), F.col("ids").alias("qids"), F.col("vectors").alias("qs"), "dim")
+    stored = _packed(corpus, "vec_id", "v").withColumn("salt", F.pmod(F.xxhash64("vectors"), F.lit(salts)).cast("int"))
+    if stated["numbers"] * 8 <= SHIPPED:
+        met = stored.drop("salt").join(F.broadcast(asked.drop("block")), "dim")
+    else:
+        met = stored.select("*", every(blocks, "block")).join(asked.select("*", every(salts, "salt")), ["block", "salt", "dim"])
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "vec_id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                get = lambda c: b.column(c)[row]  # noqa: B023, E731
+                dim = get("dim").as_py()
+                Q, V = (np.frombuffer(get(c).as_py(), np.float64).reshape(-1, dim) for c in ("qs", "vectors"))
+                qids, ids = get("qids").values, get("ids").values
+                for lo in range(0, len(Q), block_queries):
+                    i, j, score = _best(Q[lo : lo + block_queries], V, k, metric)
+                    fine = ~np.isnan(score)
+                    yield pa.record_batch({"query_id": qids.take(pa.array(lo + i[fine])), "vec_id": ids.take(pa.array(j[fine])), "score": pa.array(score[fine], pa.float64())})
+
+    pairs = met.select("qids", "qs", "ids", "vectors", "dim").mapInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+    best = F.col("score").asc() if metric == "l2" else F.col("score").desc()
     rk = F.row_number().over(Window.partitionBy("query_id").orderBy(best, "vec_id"))
     return pairs.withColumn("rk", rk).filter(F.col("rk") <= k)
 
 
+def two_stage(queries: DataFrame, texts: DataFrame, k: int, most_candidates: int = 100) -> DataFrame:
+    """query_id, rk, text_id, score, n_keywords, total_candidates, candidates_reranked, mode.
+
+    ``queries`` has (query_id, keywords, qv), ``texts`` (text_id, elements, v).
+    Stage 1: the texts that hold a keyword, by an inverted index; the first
+    ``most_candidates`` of them by text_id go on. Stage 2: the k best of these
+    by cosine. A query without keywords or without such a text is searched
+    among all texts (mode ``semantic``).
+    """
+    words = queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("el"))
+    held = texts.select("text_id", F.explode(F.array_distinct("elements")).alias("el"))
+    met = written(words.join(held, "el").select("query_id", "text_id").distinct(), "met")
+    total = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_candidates"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("text_id"))
+    going = met.withColumn("nth", nth).filter(F.col("nth") <= most_candidates).drop("nth")
+    scored = going.join(queries.select("query_id", "qv"), "query_id").join(texts.select("text_id", "v"), "text_id")
+    scored = scored.select("query_id", "text_id", V.cosine(F.col("qv"), F.col("v")).alias("score"))
+    rk = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "text_id"))
+    hybrid = scored.withColumn("rk", rk).filter(F.col("rk") <= k).join(total, "query_id")
+    rest = queries.join(total, "query_id", "left_anti")
+    full = knn(rest.select("query_id", "qv"), texts.select(F.col("text_id").alias("vec_id"), "v"), k)
+    full = full.select("query_id", F.col("vec_id").alias("text_id"), "score", "rk", F.lit(0).cast("long").alias("total_candidates"))
+    n = queries.select("query_id", F.size(F.array_distinct("keywords")).cast("long").alias("n_keywords"))
+    mode = F.when(F.col("total_candidates") > 0, "hybrid").otherwise("semantic")
+    out = hybrid.select(full.columns).union(full).join(n, "query_id")
+    return out.select(
+        "query_id", F.col("rk").cast("long").alias("rk"), "text_id", "score", "n_keywords", "total_candidates",
+        F.least("total_candidates", F.lit(most_candidates)).alias("candidates_reranked"), mode.alias("mode"))
+
+
+def expanded_search(queries: DataFrame, texts: DataFrame, encode: Callable[[Column], Column], k: int, boost: float = 1.2) -> DataFrame:
+    """query_id, rk, text_id, score: the k best texts over all variants of a query.
+
+    ``queries`` has (query_id, q), ``texts`` (text_id, text); ``encode`` makes
+    vectors of texts. Each variant finds its 2 k nearest texts; a text that
+    names the query's entity scores ``boost`` times; the best score counts.
+    """
+    entity = T.entity_of(F.col("q"))
+    asked = queries.select("query_id", F.lower(entity).alias("entity"), F.posexplode(T.query_variants(F.col("q"), entity, T.query_type(F.col("q")))).alias("nth", "variant"))
+    vectors = texts.select(F.col("text_id").alias("vec_id"), encode(F.col("text")).alias("v"))
+    found = knn(asked.select(F.struct("query_id", "nth").alias("query_id"), encode(F.col("variant")).alias("qv")), vectors, 2 * k)
+    found = found.select("query_id.query_id", "vec_id", "score").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    entities = asked.filter("nth = 0").select("query_id", "entity")
+    named = found.join(entities, "query_id").join(texts.select(F.col("text_id").alias("vec_id"), F.lower("text").alias("low")), "vec_id")
+    score = F.col("score") * F.when(F.contains("low", F.col("entity")), boost).otherwise(1.0)
+    rk = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = named.withColumn("score", score).withColumn("rk", rk).filter(F.col("rk") <= k)
+    return best.select("query_id", F.col("rk").cast("long").alias("rk"), F.col("vec_id").alias("text_id"), "score")
+
+
 def mean_pool(rows: DataFrame, keys: list[str], vector: str, weight: Column | None = None) -> DataFrame:
     """Mean vector of each key, by dimension, so no vector list is gathered."""
     w = F.lit(1.0) if weight is None else weight

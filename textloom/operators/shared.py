@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -16,3 +17,11 @@ def shared_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and reread, for what is used several times."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

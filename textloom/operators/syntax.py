@@ -12,7 +12,7 @@ CONTENT = ("substantivo", "verbo", "adjektivo", "adverbo")
 NOUN = ("substantivo", "pronomo")
 
 
-def analyse(sentences: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
+def analyse(sentences: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(sent_id, pos, w struct) for sentences (sent_id, text).
 
     The Python analysis runs once for each distinct word.

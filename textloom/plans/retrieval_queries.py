@@ -10,8 +10,9 @@ from textloom.functions import qa as Q
 from textloom.functions import text as T
 from textloom.functions import vector as V
 from textloom.operators import search as S
+from textloom.operators.shared import written
 from textloom.plans.registry import Tables, query
-from textloom.plans.text_queries import _TYPES, QUESTIONS, questions, strip_sql
+from textloom.plans.text_queries import EXPANDED, QUESTIONS, questions, strip_sql
 
 DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
 NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -57,14 +58,14 @@ KNN = f"""SELECT query_id, vec_id, round(s, 6) AS score, rk FROM (SELECT a.vec_i
 
 @query("knn_topk", KNN)
 def knn_topk(t: Tables) -> DataFrame:
-    out = S.knn(asked(t), stored(t), 10, V.cosine(F.col("qv"), F.col("v")))
+    out = S.knn(asked(t), stored(t), 10)
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 @query("l2_topk", f"""SELECT query_id, vec_id, round(s, 6) AS score, rk FROM (SELECT a.vec_id AS query_id, b.vec_id, {L2.format('a.embedding', 'b.embedding')} AS s,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {L2.format('a.embedding', 'b.embedding')}, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rk <= 10""")
 def l2_topk(t: Tables) -> DataFrame:
-    out = S.knn(asked(t), stored(t), 10, V.l2_squared(F.col("qv"), F.col("v")), ascending=True)
+    out = S.knn(asked(t), stored(t), 10, "l2")
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
@@ -201,20 +202,26 @@ def embed_sentence(t: Tables) -> DataFrame:
 
 @query("semantic_search")
 def semantic_search(t: Tables) -> DataFrame:
-    """Test items as queries against their own sentence vectors, with the text attached to hits only."""
-    v = embed_sentence(t)
-    out = S.knn(v.filter("item_id < 10").toDF("query_id", "qv"), v.toDF("vec_id", "v"), 5, V.dot(F.col("qv"), F.col("v")))
+    """All test items as queries against their own sentence vectors, with the text attached to hits only."""
+    v = written(embed_sentence(t), "sentences")
+    out = S.knn(v.toDF("query_id", "qv"), v.toDF("vec_id", "v"), 5, "dot")
     return out.join(t.benchmark.withColumnRenamed("item_id", "vec_id"), "vec_id").select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"), "text")
 
 
 # ---- questions and answers
 
-CAND = f"""{QUESTIONS}, c AS (SELECT q.conv_id, q.turn, q.q, d.turn AS dturn, d.text AS doc, 1.0 / (1 + d.turn) AS original FROM questions q JOIN conversations d ON d.conv_id = q.conv_id AND d.role <> 'user')"""
+#: Sentences of the kinds that questions ask for, one put after each answer.
+SAID = [
+    "Zamenhof fondis la klubon en 1887.", "La klubo estis fondita de Ludoviko Zamenhof.", "La libro estas nova kaj bona.", "La domo, tio estas granda konstruaĵo.",
+    "Ŝi venis la 14-an de majo.", "Ili loĝas en Granda Urbo ĉe Rivero.", "Li vojaĝis per trajno, ĉar forte pluvis.", "Oni lernas uzante librojn kaj 3 000 vortojn.", "La vorto signifas amikon, do pro tio oni uzas ĝin.",
+]
+CAND = f"""{QUESTIONS}, c AS (SELECT q.conv_id, q.turn, q.q, d.turn AS dturn, d.text || ' ' || ({SAID})[(d.conv_id + d.turn) % 9 + 1] AS doc, 1.0 / (1 + d.turn) AS original FROM questions q JOIN conversations d ON d.conv_id = q.conv_id AND d.role <> 'user')"""
 
 
 def candidates(t: Tables) -> DataFrame:
     """Each question with the answers of its conversation as retrieved texts."""
-    d = t.conversations.filter("role <> 'user'").select("conv_id", F.col("turn").alias("dturn"), F.col("text").alias("doc"))
+    said = F.get(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % 9).cast("int"))
+    d = t.conversations.filter("role <> 'user'").select("conv_id", F.col("turn").alias("dturn"), F.concat("text", F.lit(" "), said).alias("doc"))
     return questions(t).join(d, "conv_id").withColumn("original", F.lit(1.0) / (1 + F.col("dturn")))
 
 
@@ -236,10 +243,24 @@ def question_analysis(t: Tables) -> DataFrame:
         Q.question_attribute(q, 3, 0.5).alias("weight"), Q.number_of(q).alias("number"), Q.tense_of(q).alias("tense"), F.md5(F.array_join(Q.key_roots(q), " ")).alias("roots"))
 
 
-TYPE_SQL = "CASE kind " + " ".join(
-    f"WHEN '{k}' THEN least(1.0::DOUBLE, " + " + ".join(f"{w}::DOUBLE * least(len(regexp_extract_all(lower(doc), '{p}')), 3)" for p, w in ps) + ")" for k, ps in Q.TYPE_PATTERNS.items()) + " ELSE 0.0 END"
-WS = r"regexp_extract_all(lower(doc), '[\p{L}]+')"
-N = lambda e: f"len(list_filter({WS}, lambda w: ends_with(w, '{e}') AND length(w) > {len(e)}))"
+# The signs of each type, by tokens where a pattern has word boundaries; written apart from the patterns of the column functions.
+TK = r"regexp_extract_all(lower(doc), '[\p{L}\p{N}_]+')"
+_AMONG = lambda *ws: f"least(len(list_filter(tk, lambda w: w IN {ws})), 3)"
+_COUNT = lambda pattern: f"least(len(regexp_extract_all(lower(doc), '{pattern}')), 3)"
+_LETTER, _EDGE = "[a-zĉĝĥĵŝŭ]", r"(?:^|[^\p{L}\p{N}_])"
+_ENDS = lambda e: f"least(len(list_filter(tk, lambda w: ends_with(w, '{e}') AND length(w) > 1)), 3)"
+TYPE_SQL = rf"""least(1.0::DOUBLE, CASE kind
+  WHEN 'person' THEN 0.3::DOUBLE * {_COUNT(rf"{_LETTER}{{2,}}(?:\s+{_LETTER}{{2,}})?")} + 0.2::DOUBLE * {_AMONG('homo', 'persono', 'viro', 'virino', 'ulo', 'ano')}
+  WHEN 'thing' THEN 0.2::DOUBLE * {_COUNT(r"estas\s+[\p{L}\p{N}_]+")} + 0.1::DOUBLE * {_AMONG('afero', 'objekto', 'ilo', 'aĵo')}
+  WHEN 'time' THEN 0.4::DOUBLE * least(len(list_filter(tk, lambda w: w BETWEEN '1800' AND '2029' AND regexp_full_match(w, '[0-9]{{4}}'))), 3) + 0.3::DOUBLE * {_COUNT(_EDGE + r"(?:en|dum|post|antaŭ)\s+(?:la\s+)?(?:jar|monat|tag)")}
+    + 0.2::DOUBLE * {_AMONG('januaro', 'februaro', 'marto', 'aprilo', 'majo', 'junio', 'julio', 'aŭgusto', 'septembro', 'oktobro', 'novembro', 'decembro')}
+  WHEN 'location' THEN 0.3::DOUBLE * {_COUNT(_EDGE + rf"(?:en|ĉe|sur|sub)\s+{_LETTER}{{2,}}")} + 0.1::DOUBLE * {_AMONG('urbo', 'lando', 'loko', 'regiono', 'mondo')}
+  WHEN 'manner' THEN 0.2::DOUBLE * {_COUNT(_EDGE + r"(?:per|uzante|kun|laŭ)\s+[\p{L}\p{N}_]+")} + 0.1::DOUBLE * {_ENDS('e')}
+  WHEN 'reason' THEN 0.3::DOUBLE * {_AMONG('ĉar', 'pro', 'tial', 'sekve')} + 0.2::DOUBLE * {_AMONG('kaŭzo', 'kialo', 'motivo')}
+  WHEN 'quantity' THEN 0.3::DOUBLE * least(len(list_filter(tk, lambda w: regexp_full_match(w, '[0-9]+'))), 3) + 0.2::DOUBLE * {_AMONG('unu', 'du', 'tri', 'kvar', 'kvin', 'ses', 'sep', 'ok', 'naŭ', 'dek', 'cent', 'mil')}
+    + 0.1::DOUBLE * {_AMONG('multe', 'malmulte', 'kelkaj', 'ĉiuj')}
+  WHEN 'quality' THEN 0.1::DOUBLE * {_ENDS('a')} ELSE 0 END)"""
+N = lambda e: f"len(list_filter(tk, lambda w: ends_with(w, '{e}') AND length(w) > {len(e)}))"
 GRAMMAR_SQL = f"""least(1.0, CASE WHEN number = 'plural' THEN CASE WHEN {N('oj')} > 0 THEN 0.5 ELSE 0 END ELSE CASE WHEN {N('o')} >= {N('oj')} THEN 0.3 ELSE 0 END END::DOUBLE
   + CASE WHEN tense = 'past' THEN CASE WHEN {N('is')} > 0 THEN 0.5 ELSE 0 END WHEN tense = 'future' THEN CASE WHEN {N('os')} > 0 THEN 0.5 ELSE 0 END ELSE 0.3 END::DOUBLE)"""
 COMMON = "CASE r " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lx.COMMON_ROOT_WEIGHTS.items()) + " ELSE 0.0 END"
@@ -248,7 +269,7 @@ ENTITY_SQL = f"""CASE WHEN len(roots) = 0 THEN 0.0 ELSE least(1.0, coalesce(list
 ROLE_SQL = r"""CASE role WHEN 'subjekto' THEN least(1.0, CASE WHEN kind = 'person' AND regexp_matches(doc, '^[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(lower(doc), '^(la\s+)?[\p{L}]+o\s+(est|far|dir|vid)') THEN 0.3 ELSE 0 END)
   WHEN 'objekto' THEN CASE WHEN regexp_matches(lower(doc), '[\p{L}\p{N}_]n(?:$|[^\p{L}\p{N}_])') THEN 0.4 ELSE 0 END
   WHEN 'aliaj' THEN CASE WHEN regexp_matches(lower(doc), '(?:^|[^\p{L}\p{N}_])(en|sur|sub|ĉe|per|kun|por|al)\s') THEN 0.3 ELSE 0 END ELSE 0 END"""
-ANALYSED = f"""{CAND}, an AS (SELECT *, {case_sql('q', 1, repr('unknown'))} AS kind, {case_sql('q', 2, repr('aliaj'))} AS role, {NUM} AS number, {TENSE} AS tense, {ROOTS} AS roots, {DOC_ROOTS} AS droots FROM c),
+ANALYSED = f"""{CAND}, an AS (SELECT *, {case_sql('q', 1, repr('unknown'))} AS kind, {case_sql('q', 2, repr('aliaj'))} AS role, {NUM} AS number, {TENSE} AS tense, {ROOTS} AS roots, {DOC_ROOTS} AS droots, {TK} AS tk FROM c),
 sc AS (SELECT *, CAST({TYPE_SQL} AS DOUBLE) AS t, CAST({GRAMMAR_SQL} AS DOUBLE) AS g, CAST({ENTITY_SQL} AS DOUBLE) AS e, CAST({ROLE_SQL} AS DOUBLE) AS r FROM an)"""
 
 
@@ -277,8 +298,8 @@ def rerank(t: Tables) -> DataFrame:
     return rows.withColumn("score", score).withColumn("rk", rk).filter("rk <= 3").select("conv_id", "turn", "dturn", "score", F.col("rk").cast("long").alias("rk"))
 
 
-TERM_STOP = ", ".join(f"'{w}'" for w in ["la", "de", "en", "kaj", "al", "por", "kun", "ĉu", "estas", *[w for w, *_ in lx.QUESTION_WORDS]])
-TERMS = f"list_filter(regexp_extract_all(lower(q), '[a-zĉĝĥĵŝŭ]+'), lambda w: length(w) > 2 AND w NOT IN ({TERM_STOP}))"
+TERMS = r"""list_filter(list_filter(regexp_extract_all(lower(q), '[a-zĉĝĥĵŝŭ]+'), lambda w: length(w) > 2 AND w NOT IN ('la', 'de', 'en', 'kaj', 'al', 'por', 'kun', 'ĉu', 'estas')),
+  lambda w, i: NOT (w IN ('kiu', 'kio', 'kiel', 'kiam', 'kie', 'kial', 'kiom', 'kia') AND i = list_position(list_filter(regexp_extract_all(lower(q), '[a-zĉĝĥĵŝŭ]+'), lambda v: length(v) > 2 AND v NOT IN ('la', 'de', 'en', 'kaj', 'al', 'por', 'kun', 'ĉu', 'estas')), w)))"""
 SENT = rf"""{CAND}, st AS (SELECT conv_id, turn, dturn, kind, terms, unnest(range(1, len(ss) + 1)) AS pos, unnest(ss) AS s FROM (
   SELECT conv_id, turn, dturn, {case_sql('q', 1, repr('unknown'))} AS kind, {TERMS} AS terms, list_filter(list_transform(string_split(regexp_replace(doc, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM c))"""
 HELD = "len(list_filter(terms, lambda x: contains(lower(s), x)))"
@@ -290,9 +311,18 @@ def candidate_sentences(t: Tables) -> DataFrame:
     return rows.withColumn("pos", (F.col("p") + 1).cast("long")).drop("p")
 
 
+# Kind, pattern, group and confidence in the order of trial, written apart from the patterns of the column functions.
+_W, _NAME = r"[\p{L}\p{N}_]+", "[a-zĉĝĥĵŝŭ]{2,}"
+_TRIALS = [
+    ("thing", rf"{_W}\s+estas\s+(.+?)\.", 1, 0.8), ("thing", r",\s*tio\s+estas\s+(.+?)\.", 1, 0.7), ("thing", rf"{_W}\s+signifas\s+(.+?)\.", 1, 0.7), ("thing", rf"{_W}\s+nomiĝas\s+(.+?)\.", 1, 0.7),
+    ("person", rf"({_W}(?:\s+{_W})?)\s+fondis\s", 1, 0.9), ("person", rf"({_W}(?:\s+{_W})?)\s+kreis\s", 1, 0.9), ("person", rf"estis\s+(?:fondita|kreita)\s+de\s+({_W}(?:\s+{_W})?)", 1, 0.8), ("person", rf"^de\s+({_W}(?:\s+{_W})?)", 1, 0.6),
+    ("time", r"en\s+(?:la\s+jaro\s+)?([0-9]{4})", 1, 0.9), ("time", rf"la\s+[0-9]{{1,2}}[—-]?an?\s+de\s+{_W}", 0, 0.8), ("time", r"(?:^|[^\p{L}\p{N}_])(1[89][0-9]{2}|20[0-2][0-9])(?:$|[^\p{L}\p{N}_])", 1, 0.5),
+    ("location", rf"en\s+({_NAME}(?:\s+{_NAME})?)", 1, 0.8), ("location", rf"ĉe\s+({_NAME})", 1, 0.7),
+    ("quantity", r"([0-9]+(?:\s*[0-9]+)*)", 1, 0.7), ("quantity", "unu|du|tri|kvar|kvin|ses|sep|ok|naŭ|dek|cent|mil", 0, 0.6),
+    ("manner", r"per\s+(.+?)(?:\.|,|$)", 1, 0.7), ("manner", r"uzante?\s+(.+?)(?:\.|,|$)", 1, 0.7), ("reason", r"ĉar\s+(.+?)(?:\.|$)", 1, 0.8), ("reason", r"pro\s+(.+?)(?:\.|,|$)", 1, 0.7),
+]
 PATTERN_SQL = "CASE " + " ".join(
-    f"WHEN kind = '{k}' AND regexp_matches(lower(s), '{p}') THEN struct_pack(answer := trim(regexp_extract(lower(s), '{p}', {g})), confidence := round(least(1.0::DOUBLE, {c}::DOUBLE + 0.1::DOUBLE * {HELD}), 6))"
-    for k, ps in Q.ANSWER_PATTERNS.items() for p, g, c in ps) + " END"
+    f"WHEN kind = '{k}' AND regexp_matches(s, '(?i){p}') THEN struct_pack(answer := trim(regexp_extract(s, '(?i){p}', {g})), confidence := round(least(1.0::DOUBLE, {c}::DOUBLE + 0.1::DOUBLE * {HELD}), 6))" for k, p, g, c in _TRIALS) + " END"
 
 
 @query("extract_pattern", f"WITH {SENT} SELECT conv_id, turn, dturn, pos, a.answer AS answer, a.confidence AS confidence FROM (SELECT *, {PATTERN_SQL} AS a FROM st) WHERE a IS NOT NULL")
@@ -311,44 +341,73 @@ def sentence_score(t: Tables) -> DataFrame:
     return candidate_sentences(t).select("conv_id", "turn", "dturn", "pos", F.round(Q.sentence_score(F.col("s"), F.col("kind"), F.col("terms")), 6).alias("score"))
 
 
-@query("extract_answer", f"""WITH {SENT}, x AS (SELECT *, {PATTERN_SQL} AS a, round({SCORE_SQL}, 6) AS sc FROM st),
+@query("extract_answer", rf"""WITH {SENT}, x AS (SELECT *, {PATTERN_SQL} AS a, round({SCORE_SQL}, 6) AS sc FROM st),
 y AS (SELECT conv_id, turn, arg_min(a.answer, (dturn, pos)) FILTER (WHERE a.confidence >= 0.6) AS pa, arg_min(a.confidence, (dturn, pos)) FILTER (WHERE a.confidence >= 0.6) AS pc,
-  arg_max(s, (sc, -dturn, -pos)) AS bs, max(sc) AS bsc, arg_min(s, (dturn, pos)) AS fs FROM x GROUP BY 1, 2)
-SELECT conv_id, turn, CASE WHEN pa IS NOT NULL THEN 'pattern' WHEN bsc > 0.2 THEN 'sentence' ELSE 'fallback' END AS method,
-  left(CASE WHEN pa IS NOT NULL THEN pa WHEN bsc > 0.2 THEN bs ELSE fs END, 150) AS answer, round(CASE WHEN pa IS NOT NULL THEN pc WHEN bsc > 0.2 THEN bsc * 0.6::DOUBLE ELSE 0.1 END, 6) AS confidence FROM y""")
+  arg_max(s, (sc, -dturn, -pos)) AS bs, max(sc) AS bsc, arg_min(s, (dturn, pos)) AS fs FROM x GROUP BY 1, 2),
+z AS (SELECT qu.conv_id, qu.turn, regexp_matches(lower(q), 'marso|luno|kostas') AS never, {TERMS} AS terms, pa, pc, bs, bsc, fs FROM questions qu LEFT JOIN y ON y.conv_id = qu.conv_id AND y.turn = qu.turn),
+w AS (SELECT *, CASE WHEN never THEN 'negative_detection' WHEN pa IS NOT NULL THEN 'pattern' WHEN bsc > 0.2 THEN 'sentence' ELSE 'fallback' END AS method,
+  coalesce(trim(list_filter(regexp_split_to_array(bs, '[,;:]'), lambda c: len(list_filter(terms, lambda t: contains(lower(c), t))) > 0)[1]), bs) AS clause FROM z)
+SELECT conv_id, turn, method, CASE WHEN never OR fs IS NULL THEN 'Mi ne scias.' WHEN method = 'pattern' THEN CASE WHEN length(pa) > 150 THEN left(pa, 150) || '...' ELSE pa END
+  WHEN method = 'sentence' THEN CASE WHEN length(bs) <= 150 THEN bs WHEN length(clause) > 150 THEN left(clause, 150) || '...' ELSE clause END ELSE left(fs, 150) END AS answer,
+  round(CASE WHEN never THEN 0.7 WHEN fs IS NULL THEN 0.0 WHEN method = 'pattern' THEN pc WHEN method = 'sentence' THEN bsc * 0.6::DOUBLE ELSE 0.1 END, 6) AS confidence FROM w""")
 def extract_answer(t: Tables) -> DataFrame:
-    """First confident pattern in document order, else the best sentence, else the first one: one aggregation."""
+    """No answer to what no text tells; else the first confident pattern in document order, the best sentence, or the first one: one aggregation."""
     s = F.col("s")
     rows = candidate_sentences(t).withColumns({"a": Q.pattern_answer(s, F.col("kind"), F.col("terms")), "sc": F.round(Q.sentence_score(s, F.col("kind"), F.col("terms")), 6)})
     sure = F.when(F.col("a.confidence") >= 0.6, F.struct("dturn", "pos", "a.answer", "a.confidence"))
     g = rows.groupBy("conv_id", "turn").agg(
         F.min(sure).alias("p"), F.max(F.struct("sc", (-F.col("dturn")).alias("x"), (-F.col("pos")).alias("y"), "s")).alias("b"), F.min(F.struct("dturn", "pos", "s")).alias("f"))
-    pat, best = F.col("p").isNotNull(), F.col("b.sc") > 0.2
-    pick = lambda a, b, c: F.when(pat, a).when(best, b).otherwise(c)
-    return g.select("conv_id", "turn", pick(F.lit("pattern"), F.lit("sentence"), F.lit("fallback")).alias("method"),
-                    F.left(pick(F.col("p.answer"), F.col("b.s"), F.col("f.s")), F.lit(150)).alias("answer"), F.round(pick(F.col("p.confidence"), F.col("b.sc") * 0.6, F.lit(0.1)), 6).alias("confidence"))
-
-
-@query("hybrid_retrieve", r"""WITH k AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}]+'), lambda w: length(w) >= 8))) AS w FROM benchmark),
-d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}]+'), lambda w: length(w) >= 8))) AS w FROM documents),
-m AS (SELECT item_id, doc_id, count(*) AS hits FROM k JOIN d USING (w) GROUP BY 1, 2)
-SELECT item_id, doc_id, hits, rk FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rk FROM m) WHERE rk <= 10""")
+    g = questions(t).select("conv_id", "turn", Q.unanswerable(F.col("q")).alias("never"), Q.key_terms(F.col("q")).alias("terms")).join(g, ["conv_id", "turn"], "left")
+    no, none, pat, best = F.col("never"), F.col("f").isNull(), F.col("p").isNotNull(), F.coalesce(F.col("b.sc") > 0.2, F.lit(False))
+    pick = lambda a, b, c, d, e: F.when(no, a).when(none, b).when(pat, c).when(best, d).otherwise(e)
+    method = pick(F.lit("negative_detection"), F.lit("fallback"), F.lit("pattern"), F.lit("sentence"), F.lit("fallback"))
+    answer = pick(F.lit(Q.UNKNOWN), F.lit(Q.UNKNOWN), Q.shortened(F.col("p.answer")), Q.shortened_sentence(F.col("b.s"), F.col("terms")), F.left(F.col("f.s"), F.lit(150)))
+    confidence = pick(F.lit(0.7), F.lit(0.0), F.col("p.confidence"), F.col("b.sc") * 0.6, F.lit(0.1))
+    return g.select("conv_id", "turn", method.alias("method"), answer.alias("answer"), F.round(confidence, 6).alias("confidence"))
+
+
+@query("hybrid_retrieve", rf"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+t AS (SELECT doc_id AS text_id, regexp_extract_all(lower(text), '[a-zĉĝĥĵŝŭ]+') AS ws, embedding FROM documents, n, embeddings WHERE vec_id = doc_id % n),
+qs AS (SELECT item_id AS query_id, text AS q, embedding FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, 'Kiu estas xyzabc123?'), n, embeddings WHERE vec_id = (item_id + n) % n),
+kw AS (SELECT query_id, embedding, list_distinct(list_concat(list_filter({ROOTS}, lambda r: r NOT IN ('est', 'hav', 'far')), list_filter(list_transform(regexp_extract_all(q, '[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+'), lambda w: lower(w)), lambda w: length(w) > 2 AND w NOT IN ({STOPS})))) AS keywords FROM qs),
+el AS (SELECT DISTINCT text_id, unnest(list_distinct(list_concat(ws, list_transform(ws, lambda w: {strip_sql('w', lx.ROOT_ENDINGS)})))) AS el FROM t),
+met AS (SELECT DISTINCT query_id, text_id FROM (SELECT query_id, unnest(keywords) AS el FROM kw) k JOIN el USING (el)),
+tot AS (SELECT query_id, count(*) AS total FROM met GROUP BY 1),
+pool AS (SELECT query_id, text_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_id) AS i FROM met) WHERE i <= 100
+  UNION ALL SELECT query_id, text_id FROM kw, t WHERE query_id NOT IN (SELECT query_id FROM tot)),
+s AS (SELECT p.query_id, p.text_id, {COS} AS score FROM pool p JOIN kw a ON a.query_id = p.query_id JOIN t b ON b.text_id = p.text_id)
+SELECT s.query_id, rk, text_id, round(score, 6) AS score, len(keywords) AS n_keywords, coalesce(total, 0) AS total_candidates, least(coalesce(total, 0), 100) AS candidates_reranked, CASE WHEN total IS NULL THEN 'semantic' ELSE 'hybrid' END AS mode
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, text_id) AS rk FROM s) s JOIN kw USING (query_id) LEFT JOIN tot USING (query_id) WHERE rk <= 5""")
 def hybrid_retrieve(t: Tables) -> DataFrame:
-    kw = lambda df, c: df.select(c, F.explode(F.array_distinct(F.filter(T.words(F.col("text")), lambda w: F.length(w) >= 8))).alias("w"))
-    m = kw(t.benchmark, "item_id").join(kw(t.documents, "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    rk = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))
-    return m.withColumn("rk", rk).filter("rk <= 10").select("item_id", "doc_id", "hits", F.col("rk").cast("long").alias("rk"))
-
-
-@query("enhanced_retrieve", f"""WITH v AS (SELECT a.vec_id AS query_id, b.vec_id, {COS} * CASE WHEN b.label = a.label THEN 1.2 ELSE 1.0 END AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-g AS (SELECT query_id, vec_id, max(s) AS s FROM v GROUP BY 1, 2)
-SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rk FROM g) WHERE rk <= 5""")
+    """Two stages: keywords by an inverted index, then cosine; a query that no text answers to is searched among all."""
+    n = F.broadcast(t.embeddings.agg(F.count(F.lit(1)).alias("n")))  # one row
+    vector = t.embeddings.select("vec_id", "embedding")
+    items = t.benchmark.select("item_id", "text").unionByName(t.region.limit(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit("Kiu estas xyzabc123?").alias("text")))
+    q = items.join(n, F.lit(True)).withColumn("vec_id", (F.col("item_id") + F.col("n")) % F.col("n")).join(vector, "vec_id")
+    names = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+"), F.lit(0)), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(*lx.QUESTION_STOP))
+    common = [r for r, w in lx.COMMON_ROOT_WEIGHTS.items() if w <= 0.2]
+    roots = F.filter(Q.key_roots(F.col("text")), lambda r: ~r.isin(*common))
+    ws = F.regexp_extract_all(F.lower("text"), F.lit(Q.WORD), F.lit(0))
+    texts = t.documents.join(n, F.lit(True)).withColumn("vec_id", F.col("doc_id") % F.col("n")).join(vector, "vec_id")
+    out = S.two_stage(
+        q.select(F.col("item_id").alias("query_id"), F.array_distinct(F.concat(roots, names)).alias("keywords"), F.col("embedding").alias("qv")),
+        texts.select(F.col("doc_id").alias("text_id"), F.concat(ws, F.transform(ws, lambda w: T.strip_ending(w))).alias("elements"), F.col("embedding").alias("v")), 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
+_LC = lambda c: "[" + ", ".join(f"(length(lower({c})) - length(replace(lower({c}), '{x}', '')))::DOUBLE" for x in "abcdefghijklmnopqrstuvwxyzĉĝĥĵŝŭ") + "]"
+
+
+@query("enhanced_retrieve", f"""WITH {EXPANDED}, tx AS (SELECT item_id, text, {_LC('text')} AS embedding FROM benchmark), vv AS (SELECT conv_id, turn, x, row_number() OVER () AS v, {_LC('variant')} AS embedding FROM vr),
+sc AS (SELECT conv_id, turn, x, v, item_id, text, CASE WHEN {NORM.format('a.embedding')} * {NORM.format('b.embedding')} > 0 THEN {COS} ELSE 0 END AS s FROM vv a, tx b),
+hit AS (SELECT conv_id, turn, item_id, s * CASE WHEN contains(lower(text), lower(x)) THEN 1.2::DOUBLE ELSE 1.0 END AS s FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY s DESC, item_id) AS i FROM sc) WHERE i <= 10),
+best AS (SELECT conv_id, turn, item_id, max(s) AS s FROM hit GROUP BY 1, 2, 3)
+SELECT conv_id, turn, item_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, item_id) AS rk FROM best) WHERE rk <= 5""")
 def enhanced_retrieve(t: Tables) -> DataFrame:
-    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    score = V.cosine(F.col("qv"), F.col("v")) * F.when(F.col("label") == F.col("ql"), 1.2).otherwise(1.0)
-    out = S.knn(q, stored(t), 6, score).filter("query_id <> vec_id")
-    rk = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rk", rk).filter("rk <= 5").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    """Query expansion, search with every variant, boost of the entity, best score for each text."""
+    q = questions(t).select(F.struct("conv_id", "turn").alias("query_id"), "q")
+    out = S.expanded_search(q, t.benchmark.select(F.col("item_id").alias("text_id"), "text"), V.letter_counts, 5)
+    return out.select("query_id.conv_id", "query_id.turn", F.col("text_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 @query("qa_pipeline", f"""WITH {ANALYSED}, f AS (SELECT *, round(0.6 * (0.3 * t + 0.2 * g + 0.3 * e + 0.2 * r) + 0.4 * original, 6) AS score FROM sc)
@@ -464,7 +523,7 @@ def qa_metrics(t: Tables) -> DataFrame:
 @query("precision_recall_mrr", f"""WITH k AS ({KNN}), r AS (SELECT k.query_id, rk, CAST(b.label = a.label AS INT) AS rel FROM k JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = k.vec_id WHERE k.vec_id <> query_id)
 SELECT query_id, round(sum(rel) / 10, 6) AS p_at_10, round(sum(rel) / least(21, 10), 6) AS r_at_10, round(coalesce(1.0 / min(rk) FILTER (WHERE rel = 1), 0), 6) AS rr FROM r GROUP BY query_id""")
 def precision_recall_mrr(t: Tables) -> DataFrame:
-    k = S.knn(asked(t), stored(t), 10, V.cosine(F.col("qv"), F.col("v"))).filter("vec_id <> query_id")
+    k = S.knn(asked(t), stored(t), 10).filter("vec_id <> query_id")
     lab = t.embeddings.select("vec_id", "label")
     r = k.join(lab.toDF("query_id", "ql"), "query_id").join(lab, "vec_id").withColumn("rel", (F.col("label") == F.col("ql")).cast("int"))
     rr = F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rk"))), F.lit(0.0))

@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.functions import vector as V
 from textloom.operators import search as S
 from textloom.operators import structure as O
-from textloom.plans.language_queries import made_sentences
+from textloom.plans.language_queries import made_sentences, roots
 from textloom.operators import syntax
 from textloom.plans.registry import Tables, query
 from textloom.plans.retrieval_queries import turn_pairs
@@ -96,7 +96,7 @@ def generation_metrics(t: Tables) -> DataFrame:
 @query("compose_word")
 def compose_word(t: Tables) -> DataFrame:
     """root + mean(prefixes) + mean(suffixes), with hashed vectors for the parts."""
-    w = syntax.analyse(made_sentences(t)).select("w.radiko", "w.prefiksoj", "w.sufiksoj").distinct()
+    w = syntax.analyse(made_sentences(t), roots(t)).select("w.radiko", "w.prefiksoj", "w.sufiksoj").distinct()
     zero = F.array_repeat(F.lit(0.0), 32)
 
     def mean(parts):

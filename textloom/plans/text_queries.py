@@ -480,28 +480,29 @@ def qa_normalize(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.md5(n).alias("digest"), F.size(F.array_distinct(F.split(n, " "))).cast("long").alias("n_distinct"))
 
 
-_TYPES = " ".join(f"WHEN starts_with(lower(trim(q)), '{w}') THEN '{k}'" for w, k, _, _ in lx.QUESTION_WORDS)
-QUESTIONS = """questions AS (SELECT conv_id, turn, (['Kiu', 'Kio', 'Kie', 'Kiam', 'Kial', 'Kiom', 'Kia', 'Ĉu'])[conv_id % 8 + 1] || ' estas ' || text AS q FROM conversations WHERE role = 'user')"""
+_OPENINGS = ["Kiu estas", "Kio estas", "Kie estas", "Kiam estas", "Kial estas", "Kiom estas", "Kia estas", "Kiel estas", "Ĉu kostas"]
+QUESTIONS = f"questions AS (SELECT conv_id, turn, ({_OPENINGS})[conv_id % 9 + 1] || ' ' || text AS q FROM conversations WHERE role = 'user')"
+_KIND = "CASE left(lower(trim(q)), 3) WHEN 'kiu' THEN 'who' WHEN 'kio' THEN 'what' WHEN 'kie' THEN 'where' ELSE CASE left(lower(trim(q)), 4) WHEN 'kiam' THEN 'when' WHEN 'kial' THEN 'why' ELSE 'general' END END"
 
 
 def questions(t: Tables) -> DataFrame:
     """conv_id, turn, q: user turns put as questions."""
-    first = F.element_at(F.array(*map(F.lit, ["Kiu", "Kio", "Kie", "Kiam", "Kial", "Kiom", "Kia", "Ĉu"])), (F.col("conv_id") % 8 + 1).cast("int"))
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat(first, F.lit(" estas "), "text").alias("q"))
+    first = F.get(F.array(*map(F.lit, _OPENINGS)), (F.col("conv_id") % 9).cast("int"))
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.concat(first, F.lit(" "), "text").alias("q"))
 
 
-@query("query_type", f"WITH {QUESTIONS} SELECT conv_id, turn, CASE {_TYPES} ELSE 'unknown' END AS qtype FROM questions")
+@query("query_type", f"WITH {QUESTIONS} SELECT conv_id, turn, {_KIND} AS qtype FROM questions")
 def query_type(t: Tables) -> DataFrame:
     return questions(t).select("conv_id", "turn", T.query_type(F.col("q")).alias("qtype"))
 
 
-_ENTITY = r"trim(regexp_replace(regexp_replace(q, '^\S+\s+estas\s+', ''), '[?!.,].*$', '', 's'))"
+_ENTITY = r"""coalesce(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '^Ki[uo]\s+estas\s+', '', 'i'), '^(Kie|Kiam|Kial|Kiel)\s+', '', 'i'),
+  '(^|[^\p{L}\p{N}_])((la|unu)\s+)+', '\1', 'gi'), '[?.!,;]', '', 'g'), '\s+'), lambda x: x <> '')[1], '')"""
 
 
-@query("extract_entity", rf"WITH {QUESTIONS} SELECT conv_id, turn, split_part({_ENTITY}, ' ', 1) AS entity FROM questions")
+@query("extract_entity", rf"WITH {QUESTIONS} SELECT conv_id, turn, {_ENTITY} AS entity FROM questions")
 def extract_entity(t: Tables) -> DataFrame:
-    rest = F.trim(F.regexp_replace(F.regexp_replace("q", r"^\S+\s+estas\s+", ""), r"(?s)[?!.,].*$", ""))
-    return questions(t).select("conv_id", "turn", F.substring_index(rest, " ", 1).alias("entity"))
+    return questions(t).select("conv_id", "turn", T.entity_of(F.col("q")).alias("entity"))
 
 
 @query("sanitize_filename", r"SELECT DISTINCT regexp_replace(regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS name FROM pages")
@@ -629,14 +630,14 @@ def chapter_fill(t: Tables) -> DataFrame:
     return rows.select("doc_id", "pos", "chapter", "run", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("pos")).cast("long").alias("in_chapter"))
 
 
-@query("expand_query", f"""WITH {QUESTIONS}, e AS (SELECT conv_id, turn, q, CASE {_TYPES} ELSE 'unknown' END AS k, split_part({_ENTITY}, ' ', 1) AS x FROM questions)
-SELECT conv_id, turn, unnest(CASE WHEN k IN ('person', 'thing') THEN [q, x, x || ' estas', 'la ' || x] WHEN k = 'location' THEN [q, 'en ' || x] ELSE [q] END) AS variant FROM e""")
+EXPANDED = f"""{QUESTIONS}, e AS (SELECT conv_id, turn, q, {_KIND} AS k, {_ENTITY} AS x FROM questions),
+vr AS (SELECT conv_id, turn, x, unnest(CASE k WHEN 'who' THEN [q, x, x || ' estas', 'pri ' || x] WHEN 'what' THEN [q, x, x || ' estas', 'la ' || x] WHEN 'where' THEN [q, x || ' loĝas', x || ' troviĝas'] ELSE [q] END) AS variant FROM e)"""
+
+
+@query("expand_query", f"WITH {EXPANDED} SELECT conv_id, turn, variant FROM vr")
 def expand_query(t: Tables) -> DataFrame:
-    rest = F.trim(F.regexp_replace(F.regexp_replace("q", r"^\S+\s+estas\s+", ""), r"(?s)[?!.,].*$", ""))
-    rows = questions(t).select("conv_id", "turn", "q", T.query_type(F.col("q")).alias("k"), F.substring_index(rest, " ", 1).alias("x"))
-    many = F.array("q", "x", F.concat("x", F.lit(" estas")), F.concat(F.lit("la "), "x"))
-    v = F.when(F.col("k").isin("person", "thing"), many).when(F.col("k") == "location", F.array("q", F.concat(F.lit("en "), "x"))).otherwise(F.array("q"))
-    return rows.select("conv_id", "turn", F.explode(v).alias("variant"))
+    q = F.col("q")
+    return questions(t).select("conv_id", "turn", F.explode(T.query_variants(q, T.entity_of(q), T.query_type(q))).alias("variant"))
 
 
 @query("leave_one_out", """SELECT conv_id, turn, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS target,
