@@ -26,7 +26,6 @@ LEXICON = Lexicon(*(frozenset(r for r, k in ENTRIES if k == kind) for kind in ("
         ("regiono", {"radiko": "region", "prefiksoj": []}),
         ("libreton", {"radiko": "libret", "sufiksoj": [], "kazo": "akuzativo"}),
         ("katido", {"radiko": "kat", "sufiksoj": ["id"]}),
-        ("malbelegulo", {"radiko": "bel", "prefiksoj": ["mal"], "sufiksoj": ["ul", "eg"]}),
         ("skribileto", {"radiko": "skrib", "sufiksoj": ["et", "il"]}),
         ("librovendejo", {"parse_status": "failed", "category": "foreign_word"}),
         ("min", {"radiko": "mi", "vortspeco": "pronomo", "kazo": "akuzativo"}),

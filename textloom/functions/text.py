@@ -210,6 +210,11 @@ def qa_normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
 
+def json_nodes(tree: Column) -> Column:
+    """Objects and lists in a JSON text; brackets inside strings don't count."""
+    return F.regexp_count(F.regexp_replace(tree, r'"(?:[^"\\\\]|\\\\.)*"', ""), F.lit(r"[\[{]")).cast("long")
+
+
 def query_type(question: Column) -> Column:
     """who, what, where, when, why, how or general, by how the query begins."""
     case, q = None, F.lower(F.trim(question))

@@ -68,3 +68,30 @@ def letter_counts(text: Column, letters: str = "abcdefghijklmnopqrstuvwxyzĉĝĥ
     """How often each letter stands in the text, in any case: a vector without learned weights."""
     low = F.lower(text)
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in letters])
+
+
+def _mean(vectors: Column) -> Column:
+    """Mean of an array of vectors, null for none."""
+    total = F.aggregate(F.slice(vectors, F.lit(2), F.greatest(F.size(vectors) - 1, F.lit(0))), F.get(vectors, 0), lambda s, v: add(s, v))
+    return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def compose_sum(root: Column, affixes: Column) -> Column:
+    """Root plus the mean of its affixes' vectors."""
+    return F.when(F.size(affixes) > 0, add(root, _mean(affixes))).otherwise(root)
+
+
+def compose_gated(root: Column, affixes: Column, by_root: float, by_affix: float) -> Column:
+    """Root plus the mean of the affixes, each dimension let through by a sigmoid gate of root and affix."""
+    gate = lambda a: F.zip_with(root, a, lambda r, x: x / (1 + F.exp(-(by_root * r + by_affix * x))))
+    return compose_sum(root, F.transform(affixes, gate))
+
+
+def compose_attention(root: Column, affixes: Column) -> Column:
+    """Mean of root and affixes, weighted by the softmax of their scaled products with the root."""
+    parts = F.concat(F.array(root), affixes)
+    scores = lambda ps: F.transform(ps, lambda p: dot(root, p) / F.sqrt(F.size(root)))
+    weights = lambda ss: let(F.array_max(ss), lambda m: F.transform(ss, lambda s: F.exp(s - m)))
+    total = lambda ps, ws: F.aggregate(F.zip_with(ps, ws, lambda p, w: F.transform(p, lambda x: x * w)), F.transform(root, lambda _: F.lit(0.0)), lambda s, v: add(s, v))
+    share = lambda ps, ws: let(F.aggregate(ws, F.lit(0.0), lambda s, w: s + w), lambda all_: F.transform(total(ps, ws), lambda x: x / all_))
+    return let(parts, lambda ps: let(scores(ps), lambda ss: let(weights(ss), lambda ws: share(ps, ws))))

@@ -128,29 +128,27 @@ def enrich_vocab(t: Tables) -> DataFrame:
     return t.part.join(n, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", *zero)
 
 
-LONG_WORDS = r"""sets AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}]+'), lambda x: length(x) >= 6)) AS ws FROM documents),
-el AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM sets), fr AS (SELECT w FROM el GROUP BY w HAVING count(*) BETWEEN 2 AND 50)"""
-
-
-@query("jaccard_pairs", f"""WITH {LONG_WORDS}, e AS (SELECT el.* FROM el JOIN fr USING (w)), c AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1),
-i AS (SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS both_ FROM e a JOIN e b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT d1, d2, round(both_ / (x.n + y.n - both_), 6) AS jaccard FROM i JOIN c x ON d1 = x.doc_id JOIN c y ON d2 = y.doc_id WHERE both_ / (x.n + y.n - both_) >= 0.2""")
+@query("jaccard_pairs", r"""WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}]+'))) AS ws FROM documents),
+r AS (SELECT doc_id, ws, min(doc_id) OVER (PARTITION BY ws) AS rep FROM s WHERE len(ws) > 0), e AS (SELECT doc_id AS id, len(ws) AS n, unnest(ws) AS w FROM r WHERE doc_id = rep),
+i AS (SELECT a.id AS d1, b.id AS d2, a.n AS n1, b.n AS n2, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n)
+SELECT d1, d2, round(c / (n1 + n2 - c), 6) AS jaccard FROM i WHERE c / (n1 + n2 - c) >= 0.2 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE doc_id <> rep""")
 def jaccard_pairs(t: Tables) -> DataFrame:
-    long = F.array_distinct(F.filter(T.words(F.col("text")), lambda x: F.length(x) >= 6))
-    from textloom.operators.pairs import frequent_elements, similar_sets
+    """All pairs of different word sets of whole texts; equal sets are named by their smallest doc_id."""
+    from textloom.operators.pairs import similar_sets
 
-    el = t.documents.select(F.col("doc_id").alias("id"), F.explode(long).alias("el"))
-    return similar_sets(frequent_elements(el, 2, 50), 0.2).select(F.col("id1").alias("d1"), F.col("id2").alias("d2"), F.round("jaccard", 6).alias("jaccard"))
+    el = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("el"))
+    return similar_sets(el, 0.2, collapse=True).select(F.col("id1").alias("d1"), F.col("id2").alias("d2"), F.round("jaccard", 6).alias("jaccard"))
 
 
-@query("overlap_pairs", """WITH e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS el FROM lineitem WHERE l_quantity >= 45),
+@query("overlap_pairs", """WITH e AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS el FROM lineitem),
 i AS (SELECT a.id AS id1, b.id AS id2, count(*) AS both_ FROM e a JOIN e b ON a.el = b.el AND a.id < b.id GROUP BY 1, 2)
 SELECT id1, id2, both_ AS overlap FROM i""")
 def overlap_pairs(t: Tables) -> DataFrame:
+    """Suppliers that share parts, over all line items."""
     from textloom.operators.pairs import similar_sets
 
-    el = t.lineitem.filter("l_quantity >= 45").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("el")).distinct()
-    return similar_sets(el, 0.0).select("id1", "id2", F.col("overlap").alias("overlap"))
+    el = t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("el")).distinct()
+    return similar_sets(el, 0.0).filter("overlap > 0").select("id1", "id2", "overlap")
 
 
 @query("affix_jaccard", f"""WITH {DISTINCT_WORDS}, p AS (SELECT left(w, 2) AS affix, substr(w, 3) AS root FROM vw WHERE length(w) BETWEEN 5 AND 7),
@@ -174,10 +172,9 @@ def cooccurrence(t: Tables) -> DataFrame:
     return co(word_rows(t.documents), "doc_id", "pos", "w", 3).filter("n >= 3")
 
 
-@query("cluster_pairs", """SELECT a.label, a.vec_id AS id1, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-WHERE a.vec_id < 100 AND b.vec_id < 100""")
+@query("cluster_pairs", "SELECT a.label, a.vec_id AS id1, b.vec_id AS id2 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def cluster_pairs(t: Tables) -> DataFrame:
-    e = t.embeddings.filter("vec_id < 100").select("vec_id", "label")
+    e = t.embeddings.select("vec_id", "label")
     b = e.toDF("id2", "label")
     return e.withColumnRenamed("vec_id", "id1").join(b, "label").filter("id1 < id2").select("label", "id1", "id2")
 
@@ -191,14 +188,14 @@ def dialogue_pairs(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", F.get(said, 0)["text"].alias("answer"), F.size("nx").cast("long").alias("n_context"))
 
 
-@query("prefix_similar", f"""WITH {DISTINCT_WORDS}, q AS (SELECT w AS new_w FROM vw WHERE length(w) = 9 ORDER BY w LIMIT 100), k AS (SELECT w FROM vw WHERE length(w) BETWEEN 4 AND 6),
+@query("prefix_similar", f"""WITH {DISTINCT_WORDS}, q AS (SELECT w AS new_w FROM vw WHERE length(w) >= 9), k AS (SELECT w FROM vw WHERE length(w) BETWEEN 4 AND 6),
 c AS (SELECT new_w, k.w, max(n) AS shared FROM q CROSS JOIN (VALUES (4), (3), (2), (1)) v(n) JOIN k ON left(new_w, n) = left(k.w, n) GROUP BY 1, 2)
 SELECT new_w, w, shared, rk FROM (SELECT *, row_number() OVER (PARTITION BY new_w ORDER BY shared DESC, w) AS rk FROM c) WHERE rk <= 5""")
 def prefix_similar(t: Tables) -> DataFrame:
     from textloom.operators.pairs import prefix_similar as near
 
     v = distinct_words(t.documents)
-    q = v.filter(F.length("w") == 9).orderBy("w").limit(100).withColumnRenamed("w", "new_w")
+    q = v.filter(F.length("w") >= 9).withColumnRenamed("w", "new_w")
     out = near(q, "new_w", v.filter(F.length("w").between(4, 6)), "w", 4, 5)
     return out.select("new_w", "w", "shared", F.col("rk").cast("long").alias("rk"))
 
@@ -209,10 +206,10 @@ def resume_anti(t: Tables) -> DataFrame:
 
 
 @query("ready_steps", """WITH d AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
-SELECT event_id FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM d) AND event_id < 2000""")
+SELECT event_id FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM d)""")
 def ready_steps(t: Tables) -> DataFrame:
     done = t.events.filter("event_type = 'purchase'").select("user_id").distinct()
-    return t.events.filter("event_type = 'view' and event_id < 2000").join(done, "user_id", "left_semi").select("event_id")
+    return t.events.filter("event_type = 'view'").join(done, "user_id", "left_semi").select("event_id")
 
 
 # ---- aggregation

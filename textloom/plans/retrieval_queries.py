@@ -184,12 +184,21 @@ def affix_transform(t: Tables) -> DataFrame:
 
 @query("embed_word")
 def embed_word(t: Tables) -> DataFrame:
-    """Known words take their stored vector, capitalised ones a fixed one, others a hash of their letters."""
+    """Words of a vocabulary take their stored vector, names a fixed one, words whose root is in it that root's, others a hash of their letters.
+
+    The vocabulary is that of ``conversations``, in order; its first words have the vectors of ``embeddings``.
+    """
+    from textloom.operators.corpus import with_rank
+
     ws = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).distinct()
-    known = t.embeddings.select("vec_id", F.col("embedding").alias("stored"))
-    rows = ws.withColumn("vec_id", F.crc32(F.lower("word").cast("binary")) % 1000).join(known, "vec_id", "left")
-    kind = F.when(F.col("stored").isNotNull(), "known").when(F.col("word").rlike(r"^\p{Lu}"), "proper_noun").otherwise("char_hash")
-    vec = F.coalesce(F.transform("stored", lambda x: x.cast("double")), V.char_hash(F.lower("word"), 64))
+    vocabulary = with_rank(t.conversations.select(F.explode(T.words(F.col("text"))).alias("w")).distinct(), [F.col("w")], "rk")
+    known = written(vocabulary.select("w", (F.col("rk") - 1).alias("vec_id")).join(t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")), "vec_id").drop("vec_id"), "vocabulary")
+    rows = ws.withColumns({"low": F.lower("word"), "root": T.strip_ending(F.lower("word"))})
+    rows = rows.join(known.toDF("low", "stored"), "low", "left").join(known.toDF("root", "of_root"), "root", "left")
+    name = F.col("word").rlike(r"^\p{Lu}")
+    kind = F.when(F.col("stored").isNotNull(), "known").when(name, "proper_noun").when(F.col("of_root").isNotNull(), "morpheme").otherwise("char_hash")
+    fixed = F.array_repeat(F.lit(0.125), 64)
+    vec = F.coalesce("stored", F.when(name, fixed), "of_root", V.char_hash(F.col("low"), 64))
     return rows.select("word", kind.alias("method"), vec.alias("v"))
 
 
@@ -208,6 +217,18 @@ def semantic_search(t: Tables) -> DataFrame:
     return out.join(t.benchmark.withColumnRenamed("item_id", "vec_id"), "vec_id").select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"), "text")
 
 
+@query("search_enriched")
+def search_enriched(t: Tables) -> DataFrame:
+    """Hits of the search with their words analysed: only hits are parsed, each text once."""
+    from textloom.operators import syntax
+    from textloom.plans.language_queries import roots
+
+    hits = written(semantic_search(t), "hits")
+    texts = hits.select(F.col("vec_id").alias("sent_id"), "text").distinct()
+    stats = syntax.sentence_types(syntax.with_roles(syntax.analyse(texts, roots(t)))).select(F.col("sent_id").alias("vec_id"), "fraztipo", "total_words", "esperanto_words")
+    return hits.drop("text").join(stats, "vec_id", "left")
+
+
 # ---- questions and answers
 
 #: Sentences of the kinds that questions ask for, one put after each answer.
@@ -459,14 +480,14 @@ def decompose(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.posexplode(ps).alias("p", "part")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("step"), "part")
 
 
-@query("keyword_relevance", r"""WITH g AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS g FROM benchmark WHERE item_id < 20), q AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS q FROM conversations WHERE turn = 0)
-SELECT conv_id, item_id, round(len(list_intersect(q, g)) / len(g), 6) AS relevance FROM q, g WHERE len(list_intersect(q, g)) / len(g) > 0.3""")
+@query("keyword_relevance", r"""WITH g AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS g FROM benchmark), q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS q FROM conversations)
+SELECT conv_id, turn, item_id, round(len(list_intersect(q, g)) / len(g), 6) AS relevance FROM q, g WHERE len(list_intersect(q, g)) / len(g) > 0.3""")
 def keyword_relevance(t: Tables) -> DataFrame:
     """Goals meet queries by shared words only, which loses nothing above a relevance of 0."""
-    g = t.benchmark.filter("item_id < 20").select("item_id", F.array_distinct(T.words(F.col("text"))).alias("g"))
-    q = t.conversations.filter("turn = 0").select("conv_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
-    met = q.join(g.select("item_id", F.size("g").alias("n"), F.explode("g").alias("w")), "w").groupBy("conv_id", "item_id", "n").agg(F.count(F.lit(1)).alias("c"))
-    return met.filter("c / n > 0.3").select("conv_id", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("relevance"))
+    g = t.benchmark.select("item_id", F.array_distinct(T.words(F.col("text"))).alias("g"))
+    q = t.conversations.select("conv_id", "turn", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
+    met = q.join(g.select("item_id", F.size("g").alias("n"), F.explode("g").alias("w")), "w").groupBy("conv_id", "turn", "item_id", "n").agg(F.count(F.lit(1)).alias("c"))
+    return met.filter("c / n > 0.3").select("conv_id", "turn", "item_id", F.round(F.col("c") / F.col("n"), 6).alias("relevance"))
 
 
 @query("value_selection", "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rk FROM part) WHERE rk <= 2")
@@ -605,11 +626,11 @@ def freq_tier(t: Tables) -> DataFrame:
     return n.select("w", F.when(F.col("n") >= 10, "very_common").when(F.col("n") >= 5, "common").otherwise("rare").alias("tier"))
 
 
-@query("slot_overlap", r"""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')[1:6]) AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS w FROM a),
-q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')[1:6])) AS w FROM benchmark)
+@query("slot_overlap", r"""WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}]+')) AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS w FROM a),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}]+'))) AS w FROM benchmark)
 SELECT item_id, doc_id, shared FROM (SELECT item_id, doc_id, count(*) AS shared, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rk FROM q JOIN e USING (w) GROUP BY 1, 2) WHERE rk <= 5""")
 def slot_overlap(t: Tables) -> DataFrame:
-    slots = lambda df, c: df.select(c, F.explode(F.array_distinct(F.slice(T.words(F.col("text")), 1, 6))).alias("w"))
+    slots = lambda df, c: df.select(c, F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
     m = slots(t.benchmark, "item_id").join(slots(t.documents, "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
     rk = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
     return m.withColumn("rk", rk).filter("rk <= 5").drop("rk")

@@ -11,10 +11,13 @@ from textloom.operators import search as S
 from textloom.operators import structure as O
 from textloom.plans.language_queries import made_sentences, roots
 from textloom.operators import syntax
+from textloom.operators.shared import written
 from textloom.plans.registry import Tables, query
 from textloom.plans.retrieval_queries import turn_pairs
 from textloom.plans.text_queries import LINES, line_rows, substitute_sql
 
+_DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]))"
+
 
 @query("join_wrapped_lines")
 def join_wrapped_lines(t: Tables) -> DataFrame:
@@ -45,12 +48,12 @@ WIKI_STEPS = [
     (r"(?s)\{\{[^{}]*\}\}", ""), (r"(?s)\{\|.*?\|\}", ""), (r"(?s)<ref[^>]*>.*?</ref>", ""), (r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1"),
     (r"\[https?://\S+\s?([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"(?m)^[*#:;]+\s*", ""),
 ]
-WIKI_SQL = "'{{box|a}}' || repeat(chr(39), 3) || left(text, 30) || repeat(chr(39), 3) || ' [[Page|label]] [http://a.b site]' || chr(10) || '* item<ref>x</ref>'"
+WIKI_SQL = "'{{box|a}}' || repeat(chr(39), 3) || text || repeat(chr(39), 3) || ' [[Page|label]] [http://a.b site]' || chr(10) || '* item<ref>x</ref>'"
 
 
 @query("clean_mediawiki", f"SELECT doc_id, {substitute_sql(WIKI_SQL, WIKI_STEPS)} AS text FROM documents")
 def clean_mediawiki(t: Tables) -> DataFrame:
-    marked = F.concat(F.lit("{{box|a}}'''"), F.left("text", F.lit(30)), F.lit("''' [[Page|label]] [http://a.b site]\n* item<ref>x</ref>"))
+    marked = F.concat(F.lit("{{box|a}}'''"), "text", F.lit("''' [[Page|label]] [http://a.b site]\n* item<ref>x</ref>"))
     return t.documents.select("doc_id", T.substitute(marked, WIKI_STEPS).alias("text"))
 
 
@@ -97,13 +100,34 @@ def generation_metrics(t: Tables) -> DataFrame:
 def compose_word(t: Tables) -> DataFrame:
     """root + mean(prefixes) + mean(suffixes), with hashed vectors for the parts."""
     w = syntax.analyse(made_sentences(t), roots(t)).select("w.radiko", "w.prefiksoj", "w.sufiksoj").distinct()
+    # Parts are hashed once, however many words have them.
+    part = lambda c, kind: w.select(F.explode(c).alias("part")) if kind else w.select(F.col(c).alias("part"))
+    parts = part("radiko", False).union(part("prefiksoj", True)).union(part("sufiksoj", True)).distinct()
+    vectors = written(parts.select("part", V.char_hash(F.col("part"), 32).alias("pv")), "parts")
+    mean = lambda c: S.mean_pool(w.select("radiko", "prefiksoj", "sufiksoj", F.explode(c).alias("part")).join(vectors, "part"), ["radiko", "prefiksoj", "sufiksoj"], "pv")
     zero = F.array_repeat(F.lit(0.0), 32)
-
-    def mean(parts):
-        total = F.aggregate(parts, zero, lambda s, p: V.add(s, V.char_hash(p, 32)))
-        return F.when(F.size(parts) > 0, F.transform(total, lambda x: x / F.size(parts))).otherwise(zero)
-
-    return w.select("radiko", "prefiksoj", "sufiksoj", V.add(V.add(V.char_hash(F.col("radiko"), 32), mean(F.col("prefiksoj"))), mean(F.col("sufiksoj"))).alias("v"))
+    rows = w.join(vectors.withColumnsRenamed({"part": "radiko", "pv": "rv"}), "radiko")
+    for c in ("prefiksoj", "sufiksoj"):
+        rows = rows.join(mean(c).withColumnRenamed("pv", f"{c}_v"), ["radiko", "prefiksoj", "sufiksoj"], "left")
+    before, after = (F.coalesce(F.col(f"{c}_v"), zero) for c in ("prefiksoj", "sufiksoj"))
+    return rows.select("radiko", "prefiksoj", "sufiksoj", V.add(V.add(F.col("rv"), before), after).alias("v"))
+
+
+@query("compose_ways", f"""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS r, b.embedding::DOUBLE[] AS x, c.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
+d AS (SELECT *, {_DOT('r', 'r')} / 8 AS sr, {_DOT('r', 'x')} / 8 AS sx, {_DOT('r', 'y')} / 8 AS sy FROM p), e AS (SELECT *, exp(sr - m) AS er, exp(sx - m) AS ex, exp(sy - m) AS ey FROM (SELECT *, greatest(sr, sx, sy) AS m FROM d)),
+v AS (SELECT *, unnest(range(1, 65)) AS i FROM e)
+SELECT vec_id, i, round(r[i] + (x[i] + y[i]) / 2, 5) + 0.0 AS sum, round((er * r[i] + ex * x[i] + ey * y[i]) / (er + ex + ey), 5) + 0.0 AS attention,
+  round(r[i] + (x[i] / (1 + exp(-(0.5::DOUBLE * r[i] + 0.25::DOUBLE * x[i]))) + y[i] / (1 + exp(-(0.5::DOUBLE * r[i] + 0.25::DOUBLE * y[i])))) / 2, 5) + 0.0 AS gated FROM v""")
+def compose_ways(t: Tables) -> DataFrame:
+    """Root and affix vectors made into a word by sum, attention and gates; neighbours by id stand for the affixes."""
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = e.withColumnRenamed("v", "r")
+    for k, name in ((1, "x"), (2, "y")):
+        rows = rows.join(e.select((F.col("vec_id") - k).alias("vec_id"), F.col("v").alias(name)), "vec_id")
+    root, affixes = F.col("r"), F.array("x", "y")
+    made = rows.select("vec_id", F.arrays_zip(V.compose_sum(root, affixes).alias("sum"), V.compose_attention(root, affixes).alias("attention"), V.compose_gated(root, affixes, 0.5, 0.25).alias("gated")).alias("z"))
+    out = made.select("vec_id", F.posexplode("z").alias("p", "z")).select("vec_id", (F.col("p") + 1).cast("long").alias("i"), "z.*")
+    return out.select("vec_id", "i", *[F.round(c, 5).alias(c) for c in ("sum", "attention", "gated")])
 
 
 AFFIX = "m AS (SELECT vec_id % 12 AS affix, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2)"
@@ -123,6 +147,6 @@ def literary_sample(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_sentences"))
 
 
-@query("resume_point", "SELECT source, max(doc_id) AS last_id, count(*) AS processed FROM documents WHERE doc_id < 500 GROUP BY source")
+@query("resume_point", "SELECT source, max(doc_id) AS last_id, count(*) AS processed FROM documents GROUP BY source")
 def resume_point(t: Tables) -> DataFrame:
-    return t.documents.filter("doc_id < 500").groupBy("source").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("processed"))
+    return t.documents.groupBy("source").agg(F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("processed"))

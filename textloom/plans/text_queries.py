@@ -327,9 +327,13 @@ def validate_example(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(errors, ";").alias("errors"))
 
 
-@query("safety_limits", "SELECT doc_id, length(text) <= 2048 AS short_enough FROM documents")
+@query("safety_limits", r"""SELECT event_id, length(props) <= 2048 AND n <= 1000 AS safe, n AS nodes FROM (SELECT event_id, props,
+  len(regexp_extract_all(regexp_replace('{"a": [' || props || ', [1, {"b{": "\"["}]]}', '"([^"\\]|\\.)*"', '', 'g'), '[\[{]')) AS n FROM events)""")
 def safety_limits(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (F.length("text") <= 2048).alias("short_enough"))
+    """Length and number of nodes, any object or list, of a JSON tree."""
+    tree = F.concat(F.lit('{"a": ['), "props", F.lit(r', [1, {"b{": "\"["}]]}'))
+    n = T.json_nodes(tree)
+    return t.events.select("event_id", ((F.length("props") <= 2048) & (n <= 1000)).alias("safe"), n.alias("nodes"))
 
 
 @query("normalize_source", "SELECT DISTINCT replace(replace(lower(source), 'src', 'source_'), ' ', '_') AS source FROM documents")
@@ -383,7 +387,7 @@ def strip_boilerplate(t: Tables) -> DataFrame:
 
 @query("strip_markdown")
 def strip_markdown(t: Tables) -> DataFrame:
-    marked = F.concat(F.lit("# Title\n**"), F.left("text", F.lit(20)), F.lit("** `code` [link](http://a.b)\n> quote"))
+    marked = F.concat(F.lit("# Title\n**"), "text", F.lit("** `code` [link](http://a.b)\n> quote"))
     return t.documents.select("doc_id", T.strip_markdown(marked).alias("plain"))
 
 
@@ -510,16 +514,16 @@ def sanitize_filename(t: Tables) -> DataFrame:
     return t.pages.select(F.regexp_replace(F.regexp_replace("url", "[^a-zA-Z0-9._-]+", "_"), "^_+|_+$", "").alias("name")).distinct()
 
 
-@query("dialogue_split", r"""SELECT conv_id, turn, x <> '' AS is_dialogue, regexp_extract(line, '^([A-Za-z]+):\s*(.+)', 1) AS speaker,
-  CASE WHEN x <> '' THEN x ELSE line END AS said FROM (
-  SELECT conv_id, turn, line, regexp_extract(line, '^([A-Za-z]+):\s*(.+)', 2) AS x FROM (
-  SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ': ' || split_part(text, chr(10), 1) ELSE split_part(text, chr(10), 1) END AS line FROM conversations))""")
+@query("dialogue_split", r"""WITH l AS (SELECT conv_id, turn, role, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS ls FROM conversations)),
+s AS (SELECT conv_id, turn, pos, CASE WHEN (turn + pos) % 2 = 0 THEN role || ': ' || line ELSE line END AS line FROM l), x AS (SELECT *, regexp_extract(line, '^([A-Za-z]+):\s*(.+)', 2) AS x FROM s)
+SELECT conv_id, turn, pos, x <> '' AS is_dialogue, regexp_extract(line, '^([A-Za-z]+):\s*(.+)', 1) AS speaker, CASE WHEN x <> '' THEN x ELSE line END AS said FROM x""")
 def dialogue_split(t: Tables) -> DataFrame:
-    first = F.substring_index("text", "\n", 1)
-    line = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(": "), first)).otherwise(first)
-    rows = t.conversations.select("conv_id", "turn", line.alias("line"))
+    """Every line of every turn."""
+    rows = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    said = F.when((F.col("turn") + F.col("pos")) % 2 == 0, F.concat("role", F.lit(": "), "line")).otherwise(F.col("line"))
+    rows = rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), said.alias("line"))
     x, who = (F.regexp_extract("line", r"^([A-Za-z]+):\s*(.+)", i) for i in (2, 1))
-    return rows.select("conv_id", "turn", (x != "").alias("is_dialogue"), who.alias("speaker"), F.when(x != "", x).otherwise(F.col("line")).alias("said"))
+    return rows.select("conv_id", "turn", "pos", (x != "").alias("is_dialogue"), who.alias("speaker"), F.when(x != "", x).otherwise(F.col("line")).alias("said"))
 
 
 @query("clean_sentence", rf"WITH {SENTENCES} SELECT doc_id, pos, md5(regexp_replace(regexp_replace(s, '\s+', ' ', 'g'), '^[-–—]\s*', '')) AS digest FROM sents")
@@ -653,10 +657,10 @@ def leave_one_out(t: Tables) -> DataFrame:
 @query("synthetic_qa", f"""WITH {SENTENCES}, q AS (SELECT doc_id, pos, s, CASE
   WHEN regexp_matches(s, '^\\p{{Lu}}\\p{{L}}+ (is|est|ist) ') THEN 'Kio estas ' || split_part(s, ' ', 1) || '?'
   WHEN regexp_matches(s, ' (in|en|dans) \\p{{Lu}}') THEN 'Kie?' WHEN regexp_matches(s, '[0-9]{{4}}') THEN 'Kiam?' END AS question FROM sents)
-SELECT doc_id, pos, question, s AS answer FROM q WHERE question IS NOT NULL ORDER BY doc_id, pos LIMIT 10000""")
+SELECT doc_id, pos, question, s AS answer FROM q WHERE question IS NOT NULL""")
 def synthetic_qa(t: Tables) -> DataFrame:
     s = F.col("s")
     q = (F.when(s.rlike(r"^\p{Lu}\p{L}+ (is|est|ist) "), F.concat(F.lit("Kio estas "), F.substring_index(s, " ", 1), F.lit("?")))
          .when(s.rlike(r" (in|en|dans) \p{Lu}"), "Kie?").when(s.rlike("[0-9]{4}"), "Kiam?"))
     rows = sentence_rows(t.documents).withColumn("question", q).filter("question is not null")
-    return rows.orderBy("doc_id", "pos").limit(10000).select("doc_id", "pos", "question", s.alias("answer"))
+    return rows.select("doc_id", "pos", "question", s.alias("answer"))
