@@ -140,11 +140,11 @@ def clean_root(word: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces that end with . ! or ? before white space."""
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1" + MARK), MARK)
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentences_without_terminator(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?]+\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[.!?]+\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 #: Abbreviations whose full stop ends no sentence.

@@ -54,7 +54,7 @@ def skip_front_matter(lines: DataFrame, within: int = 200, short_run: int = 5, l
 def wiki_articles(text: Column, gap: int = 200) -> Column:
     """Pieces of one long line that stand more than ``gap`` characters apart between category tags."""
     pieces = F.split(text, r"\[\[(?:Kategorio|Category):[^\]]*\]\]")
-    return F.filter(F.transform(pieces, F.trim), lambda p: F.length(p) > gap)
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda p: F.length(p) > gap)
 
 
 def fill_sections(lines: DataFrame, heading: str = r"^(=+)\s*(.+?)\s*=+$") -> DataFrame:

@@ -109,6 +109,123 @@ def dictionary_scan(t: Tables) -> DataFrame:
     return R.read_dictionary(t._spark, path).groupBy("english").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _files(rows: DataFrame, path: str, name: str, text: str) -> None:
+    """One file for each row, ``name`` its folder, ending with the byte 1."""
+    rows.select(F.col(name).cast("string").alias("name"), F.col(text).alias("value")).repartition(F.col("name")).write.partitionBy("name").option("maxRecordsPerFile", 1).option("lineSep", "\u0001").text(path)
+
+
+@query("whole_texts", "SELECT item_id, md5(text) AS digest FROM benchmark")
+def whole_texts(t: Tables) -> DataFrame:
+    """Whole files, one for each item, read as they are."""
+    path = _folder(t._spark, "files")
+    _files(t.benchmark, path, "item_id", "text")
+    rows = R.read_texts(t._spark, path)
+    return rows.select(F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("item_id"), F.md5(F.rtrim(F.regexp_replace("text", "\u0001$", ""))).alias("digest"))
+
+
+@query("texts_ignoring_errors", "SELECT item_id, length(text) AS n FROM benchmark")
+def texts_ignoring_errors(t: Tables) -> DataFrame:
+    """Bytes that are no UTF-8 are left out: every text has two of them put before it."""
+    path = _folder(t._spark, "bytes")
+    broken = F.concat(F.unhex(F.lit("E9DF")), F.encode("text", "UTF-8")).cast("string")
+    _files(t.benchmark.select("item_id", broken.alias("text")), path, "item_id", "text")
+    rows = R.read_texts_ignoring_errors(t._spark, f"{path}/*/*")
+    text = F.regexp_replace("text", "\u0001$", "")
+    return rows.select(F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("item_id"), F.length(text).cast("long").alias("n"))
+
+
+@query("root_map_scan", "SELECT p_type AS root, count(*) AS n FROM part GROUP BY p_type")
+def root_map_scan(t: Tables) -> DataFrame:
+    """A JSON document {"roots": {root: {..}}}; its keys are the distinct types."""
+    path = _folder(t._spark, "map")
+    counts = t.part.groupBy("p_type").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    entry = F.map_from_entries(F.collect_list(F.struct("p_type", F.create_map(F.lit("n"), F.col("n")))))
+    counts.agg(F.to_json(F.struct(entry.alias("roots"))).alias("value")).write.text(path)
+    return R.read_root_map(t._spark, path).select("root", F.col("entry")["n"].cast("long").alias("n"))
+
+
+@query("lexicon_scan", "SELECT root, p_brand AS en FROM (SELECT lower(p_name) AS root, p_brand, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rk FROM part) WHERE rk = 1")
+def lexicon_scan(t: Tables) -> DataFrame:
+    """Lines root|fr|en|de|ru|pl; the first line of a root wins."""
+    path = _folder(t._spark, "lexicon")
+    line = F.concat_ws(" | ", "p_name", F.lit("x"), "p_brand", F.lit("y"), F.lit("z"), F.lit("w"))
+    t.part.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))), lambda x: x["l"]), "\n").alias("value")).write.text(path)
+    return R.read_lexicon(t._spark, path).select("root", F.col("translations")["en"].alias("en"))
+
+
+@query("folder_scan", "SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 5) GROUP BY source")
+def folder_scan(t: Tables) -> DataFrame:
+    """The first files of a folder in the order of their names; the limit is the feature."""
+    path = _folder(t._spark, "folder")
+    jvm = t._spark._jvm.org.apache.hadoop.fs
+    docs = t.documents.select("doc_id", "source")
+    names = [r["source"] for r in docs.select("source").distinct().orderBy("source").limit(6).collect()]
+    for name in names:
+        docs.filter(F.col("source") == name).coalesce(1).write.json(f"{path}-parts/{name}")
+    fs = jvm.Path(path).getFileSystem(t._spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.Path(path))
+    for name in names:
+        part = [f.getPath() for f in fs.globStatus(jvm.Path(f"{path}-parts/{name}/part-*"))]
+        fs.rename(part[0], jvm.Path(f"{path}/{name}.json"))
+    return R.read_folder(t._spark, path, "doc_id long, source string", most_files=5).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("listed_scan", "SELECT 'lang=' || lang AS folder, CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS nth, count(*) AS n FROM documents WHERE lang IN ('fr', 'de') GROUP BY lang")
+def listed_scan(t: Tables) -> DataFrame:
+    """Named sources in the order of the list; the others are not read."""
+    path = _folder(t._spark, "listed")
+    t.documents.select("lang", F.col("doc_id").cast("string").alias("value")).write.partitionBy("lang").text(path)
+    folders = ["lang=fr", "lang=de"]
+    rows = t._spark.read.option("basePath", path).text([f"{path}/{f}" for f in folders]).select("value", F.concat(F.lit("lang="), "lang").alias("folder"))
+    order = F.create_map(*[F.lit(x) for i, n in enumerate(folders) for x in (n, i)])
+    return rows.groupBy("folder", F.try_element_at(order, F.col("folder")).alias("nth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("refuse_overwrite", "SELECT 1 AS refused, count(*) AS n FROM documents")
+def refuse_overwrite(t: Tables) -> DataFrame:
+    """A second write to an output that exists is an error, and the first one stays."""
+    from pyspark.errors import AnalysisException
+
+    path = _folder(t._spark, "refuse")
+    W.write_jsonl(t.documents.select("doc_id"), path)
+    try:
+        W.write_jsonl(t.documents.select("doc_id"), path)
+        refused = 0
+    except AnalysisException:
+        refused = 1
+    return R.read_jsonl(t._spark, path, "doc_id long").agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n"))
+
+
+@query("word_dump", r"SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS w FROM benchmark)")
+def word_dump(t: Tables) -> DataFrame:
+    path = _folder(t._spark, "dump")
+    W.write_words(t.benchmark.select(F.explode(T.words(F.col("text"))).alias("w")).distinct(), path, "w")
+    return t._spark.read.text(path).withColumnRenamed("value", "w")
+
+
+@query("skip_present", "SELECT source, count(*) AS n, CASE source WHEN 'src1' THEN 'old' ELSE 'new' END AS batch FROM documents GROUP BY source")
+def skip_present(t: Tables) -> DataFrame:
+    """Sources that are there are left as they are."""
+    path = _folder(t._spark, "present")
+    W.write_missing_sources(t.documents.filter("source = 'src1'").withColumn("batch", F.lit("old")), path)
+    W.write_missing_sources(t.documents.withColumn("batch", F.lit("new")), path)
+    return t._spark.read.parquet(path).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("memory_lifecycle", "SELECT event_type AS memory_type, count(*) AS n, 0 AS left_ FROM events GROUP BY event_type")
+def memory_lifecycle(t: Tables) -> DataFrame:
+    """A memory table made, filled, counted by its partitions, and emptied."""
+    path = _folder(t._spark, "memory")
+    W.create_memory(t._spark, path)
+    rows = t.events.select(F.concat(F.lit("LTM-"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("entry_id"), F.col("event_type").alias("memory_type"), F.col("ts").alias("timestamp"), F.col("props").alias("text"))
+    W.insert_memory(rows, path)
+    counts = _folder(t._spark, "memory-counts")
+    W.read_memory(t._spark, path).groupBy("memory_type").agg(F.count(F.lit(1)).alias("n")).write.parquet(counts)
+    W.delete_memory(t._spark, path)
+    left = W.read_memory(t._spark, path).agg(F.count(F.lit(1)).cast("int").alias("left_"))
+    return t._spark.read.parquet(counts).join(F.broadcast(left), F.lit(True))  # one row
+
+
 # ---- streams: each equals its batch
 
 

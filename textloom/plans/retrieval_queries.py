@@ -476,7 +476,7 @@ def simple_statement(t: Tables) -> DataFrame:
 
 @query("decompose", "SELECT conv_id, turn, unnest(range(1, len(ps) + 1)) AS step, unnest(ps) AS part FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ' and '), lambda x: trim(x)), lambda x: x <> '') AS ps FROM conversations)")
 def decompose(t: Tables) -> DataFrame:
-    ps = F.filter(F.transform(F.split("text", " and "), F.trim), lambda x: x != "")
+    ps = F.filter(F.transform(F.split("text", " and "), lambda x: F.trim(x)), lambda x: x != "")
     return t.conversations.select("conv_id", "turn", F.posexplode(ps).alias("p", "part")).select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("step"), "part")
 
 

@@ -584,13 +584,13 @@ def sentences_drop_term(t: Tables) -> DataFrame:
 @query("sentences_book")
 def sentences_book(t: Tables) -> DataFrame:
     """A full stop after a digit ends no sentence."""
-    cut = F.filter(F.transform(F.split("text", r"(?<!\d)[.!?]+"), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split("text", r"(?<!\d)[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
     return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "s"))
 
 
 @query("sentences_wiki")
 def sentences_wiki(t: Tables) -> DataFrame:
-    cut = F.filter(F.transform(F.split("text", rf"(?<!\d)[.!?]+(?=\s+[{T.CAPITAL}]|\s*$)"), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split("text", rf"(?<!\d)[.!?]+(?=\s+[{T.CAPITAL}]|\s*$)"), lambda x: F.trim(x)), lambda x: x != "")
     return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "s"))
 
 

@@ -12,8 +12,10 @@ CORPUS_SCHEMA = "text string, sentence string, original_text string, source stri
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
     """Rows of JSON lines; lines that are no JSON are left out. The text field goes by three names."""
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.filter("_corrupt_record is null").drop("_corrupt_record")
+    # Parsed from text lines: the JSON source itself can't be asked for nothing but whether a line is bad, as a count would.
+    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).filter(F.ltrim("value").startswith("{")).select(parsed.alias("row")).filter("row is not null and row._corrupt_record is null")
+    rows = rows.select("row.*").drop("_corrupt_record")
     names = [c for c in ("text", "sentence", "original_text") if c in rows.columns]
     return rows.withColumn("text", F.coalesce(*names)) if names else rows
 
@@ -95,7 +97,7 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     from textloom.operators.corpus import first_of
 
     rows = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    parts = F.transform(F.split("value", r"\|"), F.trim)
+    parts = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
     rows = rows.withColumn("p", parts).filter(F.size("p") >= 5)
     made = rows.select(F.lower(F.get("p", F.lit(0))).alias("root"), F.map_from_arrays(F.array(*map(F.lit, LANGUAGES)), F.slice(F.concat("p", F.array(F.lit(None).cast("string"))), 2, 5)).alias("translations"), "line")
     return first_of(made, ["root"], ["line"])
