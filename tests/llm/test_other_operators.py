@@ -195,17 +195,49 @@ def test_mixing_of_rows_without_doc_id(spark):
     assert {x.text for x in got} == {t for _, t, _ in rows}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Nyone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+HEADER = """#!/usr/bin/env python
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+import os
+""" + "\n".join(f"x{i} = {i} + y{i}" for i in range(300))
+
+
 def test_licences(spark):
+    code = "\n".join(f"line {i} of code" for i in range(60))
     rows = [
-        ("p/LICENSE", "Licensed under the Apache License, Version 2.0.", True), ("p/q/a", "code", False), ("p/q/r/b", None, False), ("p/q/r/LICENSE", "Released under the MIT License.\nmore", True),
-        ("p/q/r/s/c", "", False), ("z/d", "code", False), ("z/e", "x y\nThis work is licensed under the GNU General Public License, version 3.\nz", False), ("top", "the license of the version", False),
+        ("p/LICENSE", "Licensed under the Apache License, Version 2.0.\n" + code), ("p/q/a", "code"), ("p/q/r/b", None), ("p/q/r/COPYING.txt", "Released under the MIT License.\n" + code),
+        ("p/q/r/s/c", ""), ("z/d", "code"), ("z/e", "x y\nThis work is licensed under the GNU General Public License, version 3.\n" + code), ("top", "the license of the version"),
+        ("m/terms", MIT_TEXT), ("m/n/f", "plain"), ("h/head.py", HEADER), ("h/other.py", "y = 2"), ("s/x.c", "// SPDX-License-Identifier: BSD-3-Clause\n" + code), ("s/y.c", "int y;"), (None, MIT_TEXT),
+        ("t/u", "a license of none"), ("t/u", "Released under the MIT License."), ("t/u", "Released under the MIT License."),
     ]
-    got = {r.path: (r.declared, r.licence, r.from_dir) for r in scan_licences(spark.createDataFrame(rows, "path string, text string, is_licence_file boolean")).collect()}
-    assert got == {
-        "p/LICENSE": ("Apache-2.0", "Apache-2.0", None), "p/q/a": (None, "Apache-2.0", "p"), "p/q/r/b": (None, "MIT", "p/q/r"), "p/q/r/LICENSE": ("MIT", "MIT", None),
-        "p/q/r/s/c": (None, "MIT", "p/q/r"), "z/d": (None, None, None), "z/e": ("GPL-3.0", "GPL-3.0", None), "top": (None, None, None),
-    }
-    assert scan_licences(spark.createDataFrame([], "path string, text string, is_licence_file boolean")).count() == 0
+    schema = "path string, text string, licence string, score int, n_words int, hits string"
+    df = spark.createDataFrame([(*r, "x", 1, 2, "y") for r in rows], schema)
+    got = Counter((r.path, r.declared, r.licence, r.from_dir) for r in scan_licences(df).collect())
+    assert got == Counter([
+        ("p/LICENSE", "Apache-2.0", "Apache-2.0", None), ("p/q/a", None, "Apache-2.0", "p"), ("p/q/r/b", None, "MIT", "p/q/r"), ("p/q/r/COPYING.txt", "MIT", "MIT", None),
+        ("p/q/r/s/c", None, "MIT", "p/q/r"), ("z/d", None, None, None), ("z/e", "GPL-3.0", "GPL-3.0", None), ("top", None, None, None),
+        ("m/terms", "MIT", "MIT", None), ("m/n/f", None, "MIT", "m"), ("h/head.py", "Apache-2.0", "Apache-2.0", None), ("h/other.py", None, None, None),
+        ("s/x.c", "BSD-3-Clause", "BSD-3-Clause", None), ("s/y.c", None, None, None), (None, None, None, None), ("t/u", "MIT", "MIT", None), ("t/u", "MIT", "MIT", None), ("t/u", "MIT", "MIT", None),
+    ])
+    assert scan_licences(df.limit(0)).count() == 0
 
 
 def test_nearest(spark):

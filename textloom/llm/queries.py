@@ -9,7 +9,7 @@ from textloom.llm import quality, toxicity
 from textloom.llm.ann import nearest
 from textloom.llm._labelled import held_out
 from textloom.llm.decontaminate import contaminated
-from textloom.llm.license_scan import TEMPLATES, scan_licences
+from textloom.llm.license_scan import TEMPLATES, passages_of, scan_licences
 from textloom.llm.line_dedup import drop_frequent_lines
 from textloom.llm.mixing import fair_mix
 from textloom.llm.near_dedup import near_duplicates
@@ -66,14 +66,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``source/lang/doc_id``.
-
-    A document that is little more than a licence statement (under 400 code
-    points) is a licence file of its directory.
-    """
+    """Documents as files ``source/lang/doc_id``; one that is a licence statement for a fifth or more is a licence file of its directory."""
     docs = _read(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
-    files = docs.select(path.alias("path"), "text", (F.coalesce(F.length("text"), F.lit(0)) < 400).alias("is_licence_file"))
+    files = docs.select(path.alias("path"), "text")
     out = scan_licences(files)
     doc_id = F.substring_index("path", "/", -1).cast("long").alias("doc_id")
     return out.select(doc_id, "declared", "score", "licence", "from_dir")
@@ -97,7 +93,7 @@ QUERIES = {
     "op10_nearest": op10_nearest,
 }
 
-_TEMPLATE_ROWS = ", ".join(f"('{k}', '{v.lower()}')" for k, v in TEMPLATES.items())
+_TEMPLATE_ROWS = ", ".join(f"('{k}', {i}, '{v.lower()}')" for (k, i), v in passages_of(TEMPLATES).items())
 
 ORACLES = {
     "op1_near_dedup": r"""
@@ -129,23 +125,23 @@ SELECT doc_id, len(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_re
 FROM h LEFT JOIN cut USING (doc_id)
 """,
     "op9_licences": rf"""
-WITH files AS (
-  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text, coalesce(length(text), 0) < 400 AS is_file FROM documents),
-t AS (SELECT name, unnest(regexp_extract_all(body, '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, body)),
-tf AS (SELECT name, w, count(*) AS c FROM t GROUP BY 1, 2), terms AS (SELECT DISTINCT w FROM tf),
+WITH files AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text FROM documents),
+t AS (SELECT name, nth, unnest(regexp_extract_all(body, '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM (VALUES {_TEMPLATE_ROWS}) v(name, nth, body)),
+tf AS (SELECT name, nth, w, count(*) AS c FROM t GROUP BY 1, 2, 3), terms AS (SELECT DISTINCT w FROM tf),
 fw AS (SELECT DISTINCT path, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM files),
 df AS (SELECT terms.w, count(fw.path) AS df FROM terms LEFT JOIN fw USING (w) GROUP BY 1),
 total AS (SELECT count(*) AS n FROM files),
 idf AS (SELECT w, 1 + ln((1 + n)::DOUBLE / (1 + df)) AS idf FROM df, total),
-vec AS (SELECT name, w, c * idf AS x FROM tf JOIN idf USING (w)), vn AS (SELECT name, sqrt(sum(x * x)) AS norm FROM vec GROUP BY name),
-lines AS (SELECT path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS l FROM (SELECT path, string_split(text, chr(10)) AS ls FROM files)),
-lw AS (SELECT path, line, w, count(*) AS c FROM (SELECT path, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM lines) GROUP BY 1, 2, 3),
-ln_ AS (SELECT path, line, sqrt(sum(pow(c * coalesce(idf, 1 + ln(1.0 + n)), 2))) AS norm FROM lw LEFT JOIN idf USING (w), total GROUP BY 1, 2),
-dots AS (SELECT path, line, name, sum(c * idf * x / vn.norm) AS dot FROM lw JOIN idf USING (w) JOIN vec USING (w) JOIN vn USING (name) GROUP BY 1, 2, 3),
-best AS (SELECT path, -b.s AS score, b.name AS licence FROM (
-  SELECT path, min(struct_pack(s := -round(dot / norm, 9), name := name)) AS b FROM dots JOIN ln_ USING (path, line) WHERE round(dot / norm, 9) >= 0.8 GROUP BY path)),
-rows_ AS (SELECT files.*, score, licence FROM files LEFT JOIN best USING (path)),
-dirs AS (SELECT dir, b.licence AS dir_licence FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, min(struct_pack(s := -score, path := path, licence := licence)) AS b FROM rows_ WHERE is_file AND licence IS NOT NULL GROUP BY 1))
+vec AS (SELECT name, nth, w, c * idf AS x FROM tf JOIN idf USING (w)), vn AS (SELECT name, nth, sqrt(sum(x * x)) AS norm FROM vec GROUP BY name, nth),
+un AS (SELECT path, text, list_concat(string_split(text, chr(10)), list_filter(regexp_split_to_array(regexp_replace(text, '(?m)^[^\p{{L}}\p{{N}}\n]+$', '', 'g'), '\n\n+'), lambda p: contains(trim(p, chr(10)), chr(10)))) AS us FROM files),
+lines AS (SELECT path, len(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)?')) AS n_words, unnest(range(1, len(us) + 1)) AS line, unnest(us) AS l FROM un),
+lw AS (SELECT path, n_words, line, w, count(*) AS c FROM (SELECT path, n_words, line, unnest(regexp_extract_all(lower(l), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM lines) GROUP BY 1, 2, 3, 4),
+ln_ AS (SELECT path, line, sqrt(sum(pow(c * coalesce(idf, 1 + ln(1.0 + n)), 2))) AS norm, sum(c) / max(n_words) AS share FROM lw LEFT JOIN idf USING (w), total GROUP BY 1, 2),
+dots AS (SELECT path, line, name, nth, sum(c * idf * x / vn.norm) AS dot FROM lw JOIN idf USING (w) JOIN vec USING (w) JOIN vn USING (name, nth) GROUP BY 1, 2, 3, 4),
+best AS (SELECT path, -b.s AS score, -b.sh AS share, b.name AS licence FROM (
+  SELECT path, min(struct_pack(s := -round(dot / norm, 9), sh := -share, name := name)) AS b FROM dots JOIN ln_ USING (path, line) WHERE round(dot / norm, 9) >= 0.8 GROUP BY path)),
+rows_ AS (SELECT files.*, score, share, licence FROM files LEFT JOIN best USING (path)),
+dirs AS (SELECT dir, b.licence AS dir_licence FROM (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, min(struct_pack(s := -score, path := path, licence := licence)) AS b FROM rows_ WHERE share >= 0.2 AND licence IS NOT NULL GROUP BY 1))
 SELECT doc_id, licence AS declared, score, coalesce(licence, dir_licence) AS licence, CASE WHEN licence IS NULL THEN dir END AS from_dir
 FROM rows_ LEFT JOIN dirs ON regexp_replace(path, '/[^/]*$', '') = dir
 """,
