@@ -226,7 +226,7 @@ def test_decontamination(spark):
     for block in (20_000, 2):
         got = contaminated(docs, bench, block_items=block).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(100, 1), (101, 1), (102, 2), (105, 5)]
-    left = drop_contaminated(docs, bench)
+    left = drop_contaminated(docs, bench, block_items=2)
     assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == sorted([i for i, _, _ in EDGE] + [103, 104])
 
 

@@ -9,17 +9,19 @@ that holds a seed and enough of the item's word pairs is aligned with the item,
 word by word, around the place where the item would lie (Smith-Waterman with
 linear gaps): the best local score, as a share of the item's length, tells
 copies, also edited ones, from chance. The corpus is scanned once per block of items
-and never shuffled; a block has a fixed largest size, so what is shipped to
-executors is bounded however many items there are.
+and its texts are never shuffled; a block has a fixed largest size and blocks
+follow one another, so what the driver and executors hold is bounded however
+many items there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._bytes import U, Block, as_bytes, blocks, mix, range_hash
+from textloom.llm._util import Workspace, with_place
 from textloom.llm.toxicity import _FOLD as FOLD
 
 _FILTER_BITS = 20
@@ -75,13 +78,29 @@ def seed_size(length: int, score: int, most: int) -> tuple[int, int]:
     return size, max(1, least)
 
 
+@dataclass
+class Seeds:
+    """Places of seeds of one size: those of seed ``keys[i]`` are first[i] .. first[i + 1] - 1 of ``item`` and ``at``."""
+
+    size: int
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+
+    def bits(self) -> np.ndarray:
+        out = np.zeros(1 << _FILTER_BITS, bool)
+        out[(self.keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
+        return out
+
+
 @dataclass
 class Items:
-    """A block of test items and the index of their seeds by number of words."""
+    """A block of test items and the index of their seeds by number of words, in packed arrays."""
 
     ids: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, dict[int, list[tuple[int, int]]]]
+    seeds: list[Seeds]
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], size: int, threshold: float) -> Items:
@@ -90,47 +109,55 @@ class Items:
         words: list[np.ndarray] = []
         for block in blocks(texts):
             h, bounds = word_hashes(block)
-            words += [h[bounds[k] : bounds[k + 1]] for k in range(block.hi - block.lo)]
+            words += [h[bounds[k] : bounds[k + 1]].copy() for k in range(block.hi - block.lo)]
         # Items shorter than ``size`` words must occur whole.
         kept = [seed_size(len(w), math.ceil(threshold * len(w)), size) if len(w) >= size else (len(w), 1) for w in words]
-        grams = [_shingles(w, n).tolist() if n else [] for w, (n, _) in zip(words, kept)]
-        shared = Counter((n, g) for x, (n, _) in zip(grams, kept) for g in set(x))
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (x, (n, least)) in enumerate(zip(grams, kept)):
+        by_size: dict[int, list[int]] = defaultdict(list)
+        for k, (n, _) in enumerate(kept):
+            if n:
+                by_size[n].append(k)
+        return cls(ids, words, [cls._index(n, [(k, _shingles(words[k], n), kept[k][1]) for k in held]) for n, held in sorted(by_size.items())])
+
+    @staticmethod
+    def _index(size: int, grams: list[tuple[int, np.ndarray, int]]) -> Seeds:
+        distinct, shared = np.unique(np.concatenate([np.unique(x) for _, x, _ in grams]), return_counts=True)
+        key, item, at = [], [], []
+        for k, x, least in grams:
             # Rarest first; any copy holds ``least`` of the shingles, so one of these.
-            rare = sorted(range(len(x)), key=lambda q: (shared[n, x[q]], q))
-            places: dict[int, list[int]] = {}
-            for q in sorted(rare[: len(x) - least + 1]):
-                places.setdefault(x[q], []).append(q)
+            rare = np.argsort(shared[np.searchsorted(distinct, x)], kind="stable")[: len(x) - least + 1]
+            rare.sort()
+            g, first = np.unique(x[rare], return_index=True)
+            last = len(rare) - 1 - np.unique(x[rare][::-1], return_index=True)[1]
             # The first and last place of a repeated seed: places between them would only lie within the same run (see ``_runs``).
-            for g, at in places.items():
-                seeds[n][g] += [(k, q) for q in sorted({at[0], at[-1]})]
-        return cls(ids, words, {n: dict(x) for n, x in sorted(seeds.items())})
+            again = last > first
+            key += [g, g[again]]
+            at += [rare[first], rare[last[again]]]
+            item.append(np.full(len(g) + int(again.sum()), k, np.int32))
+        keys, places, items = np.concatenate(key), np.concatenate(at).astype(np.int32), np.concatenate(item)
+        order = np.argsort(keys, kind="stable")
+        unique, first = np.unique(keys[order], return_index=True)
+        return Seeds(size, unique, np.r_[first, len(keys)], items[order], places[order])
 
     def matcher(self, threshold: float) -> Callable[[list[bytes]], Iterator[tuple[int, int, float, int, int]]]:
         """Function from texts to (text number, item id, score, seeds, end word)."""
-        indexes = []
-        for size, seeds in self.seeds.items():
-            keys = np.array(sorted(seeds), U)
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[(keys >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
-            indexes.append((size, seeds, keys, bits))
-        pairs = [_shingles(w, 2) for w in self.words]
+        indexes = [(s, s.bits()) for s in self.seeds]
 
         def run(texts: list[bytes]) -> Iterator[tuple[int, int, float, int, int]]:
             for block in blocks([t.translate(FOLD) for t in texts]):
                 h, bounds = word_hashes(block)
                 found: dict[tuple[int, int], list[int]] = defaultdict(list)
-                for size, seeds, keys, bits in indexes:
-                    g = _shingles(h, size)
+                for s, bits in indexes:
+                    g = _shingles(h, s.size)
                     at = np.flatnonzero(bits[(g >> U(64 - _FILTER_BITS)).astype(np.int64)])
-                    near = np.searchsorted(keys, g[at])
-                    near[near == len(keys)] = 0
-                    at = at[keys[near] == g[at]]
+                    near = np.searchsorted(s.keys, g[at])
+                    near[near == len(s.keys)] = 0
+                    same = s.keys[near] == g[at]
+                    at, near = at[same], near[same]
                     text = np.searchsorted(bounds, at, side="right") - 1
-                    inside = at + size <= bounds[text + 1]
-                    for p, t in zip(at[inside].tolist(), text[inside].tolist()):
-                        for k, q in seeds[int(g[p])]:
+                    inside = at + s.size <= bounds[text + 1]
+                    for p, t, i in zip(at[inside].tolist(), text[inside].tolist(), near[inside].tolist()):
+                        a, b = s.first[i], s.first[i + 1]
+                        for k, q in zip(s.item[a:b].tolist(), s.at[a:b].tolist()):
                             found[t, k].append(p - q)
                 two = _shingles(h, 2) if found else h
                 for (t, k), starts in sorted(found.items()):
@@ -141,7 +168,7 @@ class Items:
                     for a, b in _runs(sorted(starts), len(item) + pad):
                         first, last = max(lo, a - pad), min(hi, b + len(item) + pad)
                         # Each error breaks one word pair at most: a copy keeps all but one of its score.
-                        if np.isin(pairs[k], two[first : last - 1]).sum() + 1 < threshold * len(item):
+                        if np.isin(_shingles(item, 2), two[first : last - 1]).sum() + 1 < threshold * len(item):
                             continue
                         s, e = align(h[first:last], item)
                         if s > best:
@@ -163,23 +190,47 @@ def _runs(starts: list[int], reach: int) -> Iterator[tuple[int, int]]:
     yield a, b
 
 
-def item_blocks(benchmark: DataFrame, words: int, threshold: float, block_items: int) -> list[Items]:
-    """Indexes of at most ``block_items`` items each; items without words are left out."""
+def item_blocks(benchmark: DataFrame, words: int, threshold: float, block_items: int) -> Iterator[Items]:
+    """Indexes of at most ``block_items`` items each, one at a time; items without words are left out."""
     rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
-    rows = rows.orderBy("item_id", "text")
-    out, batch = [], []
-    for r in rows.toLocalIterator():  # one block on the driver at a time; its index stays
+    batch: list[tuple[int, str]] = []
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
         batch.append((r["item_id"], r["text"]))
         if len(batch) == block_items:
-            out.append(Items.build(batch, words, threshold))
+            yield Items.build(batch, words, threshold)
             batch = []
-    if batch or not out:
-        out.append(Items.build(batch, words, threshold))
-    return out
+    if batch:
+        yield Items.build(batch, words, threshold)
+
+
+def _hits(docs: DataFrame, items: Items, given: list[str], threshold: float) -> DataFrame:
+    """Columns ``given`` of each match, with item_id, score, seeds, end_word."""
+    shipped = docs.sparkSession.sparkContext.broadcast(items)  # at most one block of items
+    added = (("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64()), ("end_word", pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = shipped.value.matcher(threshold)
+        for b in batches:
+            found = list(match(as_bytes(b.column("text"))))
+            row = pa.array([x[0] for x in found], pa.int64())
+            yield pa.record_batch({c: b.column(c).take(row) for c in given} | {n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate(added, 1)})
+
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in given)
+    return docs.select(*given, "text").mapInArrow(run, f"{schema}, item_id long, score double, seeds long, end_word long")
+
+
+def _all_hits(docs: DataFrame, benchmark: DataFrame, given: list[str], words: int, threshold: float, block_items: int) -> DataFrame:
+    """Hits of all blocks. Each block but the last is searched and its hits written before the next one is built, so one index is held at a time."""
+    ws, parts, last = Workspace(docs.sparkSession, "leaks"), [], None
+    for items in item_blocks(benchmark, words, threshold, block_items):
+        if last is not None:
+            parts.append(ws.put(_hits(docs, last, given, threshold)))
+        last = items
+    return reduce(DataFrame.unionByName, parts, _hits(docs, last or Items([], [], []), given, threshold))
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 200_000
 ) -> DataFrame:
     """doc_id, item_id, score, seeds, end_word for every text that holds an item.
 
@@ -191,42 +242,35 @@ def contaminated(
     nothing; items shorter than ``words`` words must occur whole; null and empty
     texts hold nothing; repeated rows match each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = []
-    for items in item_blocks(benchmark, words, threshold, block_items):
-        shipped = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            match = shipped.value.matcher(threshold)
-            for b in batches:
-                hits = list(match(as_bytes(b.column("text"))))
-                yield pa.record_batch(
-                    {
-                        "doc_id": b.column("doc_id").take(pa.array([x[0] for x in hits], pa.int64())),
-                        **{n: pa.array([x[i] for x in hits], t) for i, (n, t) in enumerate(
-                            (("item_id", pa.int64()), ("score", pa.float64()), ("seeds", pa.int64()), ("end_word", pa.int64())), 1)},
-                    }
-                )
-
-        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, seeds long, end_word long"
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return reduce(DataFrame.unionByName, parts)
+    return _all_hits(docs, benchmark, ["doc_id"], words, threshold, block_items)
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.6, block_items: int = 200_000
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item."""
-    spark = docs.sparkSession
-    for items in item_blocks(benchmark, words, threshold, block_items):
-        shipped = spark.sparkContext.broadcast(items)
+    """The rows of ``docs``, all columns, whose text holds no test item.
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+    A benchmark of one block is looked for while the rows pass by. Of more
+    blocks, the hits of each are written and the rows that have any are left
+    out by a join on their places.
+    """
+    spark = docs.sparkSession
+    blocks_ = item_blocks(benchmark, words, threshold, block_items)
+    items, more = next(blocks_, None), next(blocks_, None)
+    if items is None:
+        return docs
+    if more is None:
+        shipped = spark.sparkContext.broadcast(items)  # one block of items
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = shipped.value.matcher(threshold)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[x[0] for x in match(as_bytes(b.column("text")))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    ws = Workspace(spark, "leaks")
+    rows, at = with_place(docs, ws)
+    parts = [ws.put(_hits(rows, x, at, threshold).select(*at).distinct()) for x in chain([items, more], blocks_)]
+    return rows.join(reduce(DataFrame.union, parts).distinct(), at, "left_anti").select(*docs.columns)
