@@ -83,7 +83,7 @@ def with_place(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, list[str]]:
     return ws.put(docs.withColumns({at[0]: F.lit(0).cast("long"), at[1]: F.monotonically_increasing_id()})), at
 
 
-def rows_per_bucket(n_rows: int, per_bucket: int = 5_000, least: int = 8) -> int:
+def rows_per_bucket(n_rows: int, per_bucket: int = 500, least: int = 8) -> int:
     """Number of order buckets so that each holds about ``per_bucket`` rows."""
     return max(least, -(-n_rows // per_bucket))
 
@@ -95,13 +95,17 @@ def running_total(
 
     ``bucket`` is an integer column that rises with the order. Sums of buckets
     are taken first and their running sums joined back, so no task holds more
-    than one bucket of one key, however large the key is. The frame must be a
+    than one bucket of one key, however large the key is; the running sums of
+    buckets go by groups of 1,024 in the same way. The frame must be a
     written table or otherwise cheap and repeatable: it is read twice.
     ``before`` leaves the row's own value out.
     """
-    sums = df.groupBy(*key, bucket).agg(F.sum(value).alias("_sum"))
-    up_to = Window.partitionBy(*key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*key, bucket, F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_start"))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*key, bucket).agg(F.sum(value).alias("_sum")).withColumn("_group", F.shiftright(F.col(bucket).cast("long"), 10))
+    groups = sums.groupBy(*key, "_group").agg(F.sum("_sum").alias("_all"))
+    groups = groups.select(*key, "_group", F.coalesce(F.sum("_all").over(earlier(key, "_group")), F.lit(0)).alias("_first"))
+    inside = F.coalesce(F.sum("_sum").over(earlier([*key, "_group"], bucket)), F.lit(0))
+    starts = sums.withColumn("_start", inside).join(groups, [*key, "_group"]).select(*key, bucket, (F.col("_start") + F.col("_first")).alias("_start"))
     inner = Window.partitionBy(*key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum(value).over(inner) + F.col("_start")
     if before:
