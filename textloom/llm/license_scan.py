@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._util import Workspace
+from textloom.operators.sized import sized_broadcast
 
 #: Passages by which files name a licence; the SPDX line of each is added by rule.
 TEMPLATES = {
@@ -223,6 +224,9 @@ def scan_licences(
         .agg(F.max(F.struct("depth", "dir", "dir_licence")).alias("n"))
         .select("own", F.col("n.dir").alias("from_dir"), F.col("n.dir_licence").alias("dir_licence"))
     )
+    # A directory may hold most files; its one row is shipped to them where all rows are few, else skewed partitions are split.
+    near = ws.put(near)
+    near = sized_broadcast(near, near.count())
     out = rows.withColumn("own", F.when(F.col("licence").isNull(), parent(F.col("path")))).join(near, "own", "left")
     return out.select(
         "path", F.col("licence").alias("declared"), "score",
