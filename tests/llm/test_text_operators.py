@@ -14,7 +14,7 @@ from textloom.llm import near_dedup as N
 from textloom.llm.components import components
 from textloom.llm.decontaminate import align, contaminated, drop_contaminated
 from textloom.llm.line_dedup import LineRuns, drop_frequent_lines
-from textloom.llm.suffix_dedup import brute_force, drop_repeats, least_ids
+from textloom.llm.suffix_dedup import SPAN, drop_repeats, least_ids
 from textloom.llm._util import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -158,6 +158,25 @@ def test_first_seen_lines_over_batches(spark):
     assert len(runs.levels) > 1
 
 
+def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, int, str]]:
+    """doc_id: (n_bytes, n_removed, n_spans, sha256 of the rest), for small tests."""
+    least: dict[bytes, int] = {}
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    for i in sorted(data):
+        for p in range(len(data[i]) - SPAN + 1):
+            least.setdefault(data[i][p : p + SPAN], i)
+    out = {}
+    for i, b in data.items():
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - SPAN + 1):
+            if least[b[p : p + SPAN]] < i:
+                gone[p : p + SPAN] = True
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
 @pytest.mark.parametrize("case", ["edge", "passages", "bytes"])
 def test_repeated_strings(spark, case):
     r = random.Random(3)

@@ -18,15 +18,15 @@ strings with one anchor form a unit of at most 80 bytes.
    refining the interleave: after k rounds of stable partition by symbol, the
    interleave is right for the first k symbols, and no suffix is compared or
    sorted again. Symbols are pairs of bytes. Units that share no string, by
-   hash, stay out. Neighbours with a common prefix of 50 make the repeated
-   intervals; the least doc_id of an interval decides for all its strings.
+   hash, stay out. The rounds also split the ranks into intervals of suffixes
+   with a common prefix; those left after 50 bytes are the repeated intervals,
+   and the least doc_id of an interval decides for all its strings.
 4. Verdicts go back to the batches as bits, become byte ranges of documents
    and meet the texts again.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,22 +290,34 @@ def shard_transform(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np
     return order, (data[order - 2].astype(np.uint16) << np.uint16(8)) | data[order - 1]
 
 
-def merge_transforms(transforms: list[np.ndarray], rounds: int = SPAN // 2) -> np.ndarray:
-    """Interleave of the shards' suffixes: the shard of every rank.
+def merge_transforms(transforms: list[np.ndarray], rounds: int = SPAN // 2) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes: the shard of every rank, and the number of its interval.
 
     Round k partitions the merged transform stably by symbol, which puts the
-    suffixes that begin two bytes earlier in order of 2 k bytes.
+    suffixes that begin two bytes earlier in order of 2 k bytes. Suffixes in
+    one interval have these bytes in common: they begin with one symbol, and
+    the suffixes behind it were in one interval before.
     """
     z = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    interval = np.zeros(len(z), np.int64)
     symbols = np.empty(len(z), np.uint16)
+    settled = False
     for _ in range(rounds):
-        for s, t in enumerate(transforms):
-            symbols[z == s] = t
-        new = z[np.argsort(symbols, kind="stable")]
-        if np.array_equal(new, z):
+        if not settled:
+            for s, t in enumerate(transforms):
+                symbols[z == s] = t
+            order = np.argsort(symbols, kind="stable")
+            new = z[order]
+            # An interleave that a round leaves as it is stays so; only the intervals go on to split.
+            settled = np.array_equal(new, z)
+            z, ahead = new, symbols[order]
+            edge = ahead[1:] != ahead[:-1]
+        behind = interval[order]
+        was = int(interval[-1]) if len(interval) else 0
+        interval = np.r_[0, np.cumsum(edge | (behind[1:] != behind[:-1]))] if len(z) else interval
+        if settled and len(z) and int(interval[-1]) == was:
             break
-        z = new
-    return z
+    return z, interval
 
 
 def shared_units(data: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -335,7 +347,6 @@ def least_ids(strings: list[np.ndarray], starts: np.ndarray, ids: np.ndarray, sh
         pieces += [s, gap]
         at += len(s) + 1
     data = np.concatenate([*pieces, np.full(SPAN, 255, np.uint8)])
-    words = _words(data)
     # Shards end with a unit; the last one takes the padding.
     edge = [begin[len(strings) * s // shards] if s else 0 for s in range(shards)] + [len(data)]
     orders, transforms = [], []
@@ -344,22 +355,20 @@ def least_ids(strings: list[np.ndarray], starts: np.ndarray, ids: np.ndarray, sh
             order, bwt = shard_transform(data[a:b], _words(data[a:b]))
             orders.append(order + a)
             transforms.append(bwt)
-    z = merge_transforms(transforms)
+    z, interval = merge_transforms(transforms)
     merged = np.empty(len(data), np.int64)
     for s, order in enumerate(orders):
         merged[z == s] = order
     owner = np.full(len(data), -1, np.int64)
     flat = np.repeat(begin - (np.cumsum(starts) - starts), starts) + np.arange(starts.sum())
     owner[flat] = np.repeat(np.arange(len(strings)), starts)
-    ranked = merged[owner[merged] >= 0]
-    same = np.ones(max(0, len(ranked) - 1), bool)
-    for o in (0, 8, 16, 24, 32, 40, SPAN - 8):
-        w = words[ranked + o]
-        same &= w[1:] == w[:-1]
-    interval = np.flatnonzero(np.r_[True, ~same])
-    least = np.minimum.reduceat(ids[owner[ranked]], interval)
+    # Intervals of the last round hold the suffixes that share all 50 bytes.
+    starts_here = owner[merged] >= 0
+    ranked, group = merged[starts_here], interval[starts_here]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    least = np.minimum.reduceat(ids[owner[ranked]], first)
     out = np.empty(len(data), np.int64)
-    out[ranked] = np.repeat(least, np.diff(np.r_[interval, len(ranked)]))
+    out[ranked] = np.repeat(least, np.diff(np.r_[first, len(ranked)]))
     return out[flat]
 
 
@@ -475,22 +484,3 @@ def drop_repeats(
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     both = texts.hint("merge").join(gone, "row", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges", "whole")
     return both.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-
-
-def brute_force(texts: dict[int, str | None]) -> dict[int, tuple[int, int, int, str]]:
-    """doc_id: (n_bytes, n_removed, n_spans, sha256 of the rest), for small tests."""
-    least: dict[bytes, int] = {}
-    data = {i: (t or "").encode() for i, t in texts.items()}
-    for i in sorted(data):
-        for p in range(len(data[i]) - SPAN + 1):
-            least.setdefault(data[i][p : p + SPAN], i)
-    out = {}
-    for i, b in data.items():
-        gone = np.zeros(len(b) + 1, bool)
-        for p in range(len(b) - SPAN + 1):
-            if least[b[p : p + SPAN]] < i:
-                gone[p : p + SPAN] = True
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
-    return out
