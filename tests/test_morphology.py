@@ -2,7 +2,7 @@
 
 import pytest
 
-from textloom.functions.morphology import Lexicon, analyse_word, closed_class, correlative, inflection, load_lexicon
+from textloom.functions.morphology import Lexicon, analyse_word, closed_class, correlative, inflection, load_lexicon, within
 from textloom.operators import syntax as S
 
 ENTRIES = [(r, "root") for r in "hund kat bon vid leg bel skrib vapor ŝip grand manĝ pom kur ven reĝ skribil libr ej".split()]
@@ -60,6 +60,20 @@ def test_lexicon_is_loaded_from_rows(spark):
     assert analyse_word("bona", empty)["parse_status"] == "failed" and analyse_word("kaj", empty)["vortspeco"] == "konjunkcio"
 
 
+def test_a_word_that_takes_too_long():
+    def slow(word):
+        while word == "slow":
+            pass
+        return {"plena_vorto": word, "parse_status": "success"}
+
+    assert within(0.05, slow, "slow")["parse_status"] == "timeout" and within(0.05, slow, "fast")["parse_status"] == "success"
+
+
+def test_problem_log(spark):
+    words = S.analyse(spark.createDataFrame([(1, "La hundo vidas qwx kaj qwx.")], "sent_id long, text string"), LEXICON, seconds=5.0)
+    assert [(r.token, r.status, r.n) for r in S.problems(words).collect()] == [("qwx", "failed", 2)]
+
+
 def test_native_columns(spark):
     df = spark.createDataFrame([("hundojn",), ("la",), ("min",), ("kiujn",), ("vidos",)], "w string")
     rows = {r.w: r for r in df.select("w", closed_class(df.w).alias("c"), correlative(df.w).alias("k"), inflection(df.w).alias("i")).collect()}

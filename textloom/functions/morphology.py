@@ -6,6 +6,7 @@ joins its result back to the text.
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -262,12 +263,34 @@ def load_lexicon(entries: DataFrame, affixes: bool = True) -> Lexicon:
     return Lexicon(of("root"), of("fundamental"), of("protected"), of("name"), affixes)
 
 
-def word_udf(lexicon: Lexicon) -> Callable[[Column], Column]:
+class _TooLong(Exception):
+    pass
+
+
+def within(seconds: float, analyse: Callable[[str], dict], word: str) -> dict:
+    """The analysis of a word, or status ``timeout`` if it takes longer. The alarm needs the main thread, where Python workers run."""
+    def stop(*_: object) -> None:
+        raise _TooLong
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return analyse(word)
+    except _TooLong:
+        return {"plena_vorto": word, "radiko": word, "vortspeco": "nekonata", "prefiksoj": [], "sufiksoj": [], "parse_status": "timeout", "parse_error": f"no analysis within {seconds:g} s"}
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def word_udf(lexicon: Lexicon, seconds: float | None = None) -> Callable[[Column], Column]:
+    """Analysis of words; with ``seconds``, a word that takes longer fails with status ``timeout``."""
     names = [f.split()[0] for f in WORD_TYPE.split(", ")]
 
     @F.pandas_udf(WORD_TYPE)
     def analyse(words: pd.Series) -> pd.DataFrame:
-        rows = [analyse_word(w, lexicon) for w in words]
+        one = lambda w: analyse_word(w, lexicon)
+        rows = [one(w) if seconds is None else within(seconds, one, w) for w in words]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return analyse

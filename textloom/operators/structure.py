@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,28 +97,25 @@ def step_levels(steps: DataFrame, needs: DataFrame, rounds: int = 50) -> DataFra
     raise ValueError(f"more than {rounds} levels")
 
 
-def ngram_overlap(a: Column, b: Column, n: int) -> tuple[Column, Column, Column]:
-    """Clipped matches of n-grams and the numbers of n-grams of two token arrays."""
-    def grams(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, n), " "))
-
-    ga, gb = grams(a), grams(b)
-    count = lambda g, x: F.size(F.filter(g, lambda y: y == x))
-    match = F.aggregate(F.array_distinct(ga), F.lit(0), lambda s, x: s + F.least(count(ga, x), count(gb, x)))
-    return match, F.size(ga), F.size(gb)
-
+def generation_scores(pairs: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
+    """keys, rouge1 .. rouge<most>, bleu of predicted tokens ``x`` against ``y``.
 
-def rouge(pred: Column, gold: Column, n: int = 1) -> Column:
-    """F1 of clipped n-gram matches."""
-    m, a, b = ngram_overlap(pred, gold, n)
-    return 2.0 * m / (a + b)
-
-
-def bleu(pred: Column, gold: Column, most: int = 2) -> Column:
-    """Geometric mean of clipped precisions up to ``most``-grams with the brevity penalty."""
-    log = F.lit(0.0)
-    for n in range(1, most + 1):
-        m, a, _ = ngram_overlap(pred, gold, n)
-        log = log + F.log((m + 1e-9) / a) / most
-    short = F.least(F.lit(0.0), 1.0 - F.size(gold) / F.size(pred))
-    return F.when(F.size(pred) > 0, F.exp(log + short)).otherwise(0.0)
+    ROUGE is the F1 of clipped n-gram matches, BLEU the geometric mean of the
+    clipped precisions with the brevity penalty; 0 where there is no n-gram.
+    Grams are counted by key, so long texts cost what they hold.
+    """
+    def grams(side: str, n: int) -> DataFrame:
+        at = F.transform(F.sequence(F.lit(1), F.size(side) - n + 1), lambda i: F.array_join(F.slice(side, i, n), " "))
+        rows = pairs.filter(F.size(side) >= n).select(*keys, F.lit(n).alias("n"), F.explode(at).alias("gram"))
+        return rows.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias(side))
+
+    every = lambda side: reduce(DataFrame.unionByName, [grams(side, n) for n in range(1, most + 1)])
+    matches = every("x").join(every("y"), [*keys, "n", "gram"]).groupBy(*keys)
+    matches = matches.agg(*[F.sum(F.when(F.col("n") == n, F.least("x", "y"))).alias(f"m{n}") for n in range(1, most + 1)])
+    sizes = pairs.select(*keys, F.size("x").alias("a"), F.size("y").alias("b"))
+    rows = sizes.join(matches, keys, "left").fillna(0, [f"m{n}" for n in range(1, most + 1)])
+    have = lambda side, n: F.greatest(F.col(side) - n + 1, F.lit(0))
+    rouge = [F.when(have("a", n) + have("b", n) > 0, 2.0 * F.col(f"m{n}") / (have("a", n) + have("b", n))).otherwise(0.0).alias(f"rouge{n}") for n in range(1, most + 1)]
+    logs = [F.log((F.col(f"m{n}") + 1e-9) / F.greatest(have("a", n), F.lit(1))) / most for n in range(1, most + 1)]
+    short = F.least(F.lit(0.0), 1.0 - F.col("b") / F.col("a"))
+    return rows.select(*keys, *rouge, F.when(F.col("a") > 0, F.exp(reduce(Column.__add__, logs) + short)).otherwise(0.0).alias("bleu"))

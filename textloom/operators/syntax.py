@@ -12,14 +12,14 @@ CONTENT = ("substantivo", "verbo", "adjektivo", "adverbo")
 NOUN = ("substantivo", "pronomo")
 
 
-def analyse(sentences: DataFrame, lexicon: Lexicon) -> DataFrame:
+def analyse(sentences: DataFrame, lexicon: Lexicon, seconds: float | None = None) -> DataFrame:
     """(sent_id, pos, w struct) for sentences (sent_id, text).
 
-    The Python analysis runs once for each distinct word.
+    The Python analysis runs once for each distinct word, for ``seconds`` at most.
     """
     kept = F.translate(T.preprocess(F.col("text")), T.ASCII_PUNCTUATION.replace("'", ""), " " * (len(T.ASCII_PUNCTUATION) - 1))
     tokens = sentences.select("sent_id", F.posexplode(T.split_blank(kept)).alias("pos", "token"))
-    forms = tokens.select("token").distinct().withColumn("w", word_udf(lexicon)(F.col("token")))
+    forms = tokens.select("token").distinct().withColumn("w", word_udf(lexicon, seconds)(F.col("token")))
     return tokens.join(forms, "token").select("sent_id", "pos", "w")
 
 
@@ -68,6 +68,12 @@ def sentence_types(roles: DataFrame) -> DataFrame:
         (F.col("total_words") - F.col("esperanto_words")).alias("non_esperanto_words"), (F.col("esperanto_words") / F.col("total_words")).alias("success_rate"))
 
 
+def problems(words: DataFrame) -> DataFrame:
+    """token, status, error, n of the words that failed or took too long: the problem log."""
+    bad = words.filter("w.parse_status <> 'success'")
+    return bad.groupBy(F.col("w.plena_vorto").alias("token"), F.col("w.parse_status").alias("status"), F.col("w.parse_error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def failure_categories(roles: DataFrame) -> DataFrame:
     return roles.filter("w.parse_status = 'failed'").groupBy("w.category").agg(F.count(F.lit(1)).alias("n"))
 

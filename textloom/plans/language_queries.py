@@ -268,3 +268,9 @@ def explanations(t: Tables) -> DataFrame:
 def failure_stems(t: Tables) -> DataFrame:
     w = S.analyse(made_sentences(t), stems(t)).filter("w.parse_status = 'failed'")
     return w.groupBy(F.regexp_extract("w.parse_error", "rest '(.*)'", 1).alias("stem")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+
+
+@query("problem_log", f"WITH {ROLES_SQL} SELECT token, 'failed' AS status, count(*) AS n FROM rol WHERE NOT ok GROUP BY token")
+def problem_log(t: Tables) -> DataFrame:
+    """Words that failed, the analysis of each held to ten seconds."""
+    return S.problems(S.analyse(made_sentences(t), stems(t), seconds=10.0)).select("token", "status", "n")

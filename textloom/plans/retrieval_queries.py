@@ -173,13 +173,23 @@ def char_hash_embed(t: Tables) -> DataFrame:
     return ws.select("w", V.char_hash(F.col("w"), 32).alias("v"))
 
 
-@query("affix_transform")
+@query("affix_transform", """WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT vec_id, e, list_sum(list_transform(range(1, 65), lambda i: e[i] * sin(i - 1))) AS a, list_sum(list_transform(range(1, 65), lambda i: e[i] * cos(i - 1))) AS b FROM d)
+SELECT vec_id, i, round(e[i] + a * cos(i - 1) / 64 + b * sin(i - 1) / 64, 6) + 0.0 AS x FROM p, range(1, 65) r(i)""")
 def affix_transform(t: Tables) -> DataFrame:
     """x + U (D x) with fixed matrices of rank 2."""
     dims = F.sequence(F.lit(0), F.lit(63))
     down = F.array(F.transform(dims, lambda i: F.sin(i)), F.transform(dims, lambda i: F.cos(i)))
     up = F.transform(dims, lambda i: F.array(F.cos(i) / 64, F.sin(i) / 64))
-    return t.embeddings.select("vec_id", V.low_rank(F.col("embedding"), down, up).alias("v"))
+    rows = t.embeddings.select("vec_id", F.posexplode(V.low_rank(F.col("embedding"), down, up)).alias("p", "x"))
+    return rows.select("vec_id", (F.col("p") + 1).cast("long").alias("i"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query("knn_all", KNN.replace(" WHERE a.vec_id % 50 = 0", ""))
+def knn_all(t: Tables) -> DataFrame:
+    """All vectors as queries, in blocks."""
+    every = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    out = S.knn(every, stored(t), 10)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
 @query("embed_word")

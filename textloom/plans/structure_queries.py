@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -13,18 +13,23 @@ from textloom.plans.language_queries import made_sentences, roots
 from textloom.operators import syntax
 from textloom.operators.shared import written
 from textloom.plans.registry import Tables, query
-from textloom.plans.retrieval_queries import turn_pairs
-from textloom.plans.text_queries import LINES, line_rows, substitute_sql
+from textloom.plans.text_queries import _BODY, LINES, line_rows, substitute_sql
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]))"
 
 
-@query("join_wrapped_lines")
+@query("join_wrapped_lines", rf"""WITH {LINES}, l AS (SELECT doc_id, pos, trim(line) AS t, regexp_matches(trim(line), '[.!?:»"”]$') AS ends FROM lines),
+g AS (SELECT *, coalesce(sum(CAST(t = '' OR ends AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k, max(pos) OVER (PARTITION BY doc_id) AS last FROM l),
+b AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY pos) FILTER (WHERE t <> '') AS block, bool_or(ends OR t = '') AS closed FROM g GROUP BY doc_id, k)
+SELECT doc_id, trim(coalesce(string_agg(block || CASE WHEN closed THEN chr(10) ELSE '' END, '' ORDER BY k), '')) AS text FROM b GROUP BY doc_id""")
 def join_wrapped_lines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", O.join_wrapped(F.col("text")).alias("text"))
 
 
-@query("skip_front_matter")
+@query("skip_front_matter", rf"""WITH {LINES}, h AS (SELECT *, length(line) < 40 AS short, sum(CAST(length(line) >= 40 AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM lines WHERE pos <= 200),
+r AS (SELECT *, sum(CAST(short AS INT)) OVER (PARTITION BY doc_id, island ORDER BY pos) AS run FROM h), p AS (SELECT *, lag(run) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM r),
+s AS (SELECT doc_id, coalesce(min(pos) FILTER (WHERE regexp_matches(line, '{O.BODY_MARKERS.replace('(?iu)', '(?i)')}')), min(pos) FILTER (WHERE length(line) > 100 AND before > 5), 1) AS start FROM p GROUP BY doc_id)
+SELECT doc_id, min(pos) AS start, count(*) AS n FROM lines JOIN s USING (doc_id) WHERE pos >= start GROUP BY doc_id""")
 def skip_front_matter(t: Tables) -> DataFrame:
     return O.skip_front_matter(line_rows(t.documents)).groupBy("doc_id").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"))
 
@@ -57,7 +62,7 @@ def clean_mediawiki(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.substitute(marked, WIKI_STEPS).alias("text"))
 
 
-@query("clean_gutenberg")
+@query("clean_gutenberg", rf"""SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(string_split({_BODY}, chr(10)), lambda x: NOT regexp_matches(x, '^\s*\[|^\s*[0-9]+\s*$|^\s*[*]+')), chr(10)), '[_=]+', '', 'g')) AS text FROM documents""")
 def clean_gutenberg(t: Tables) -> DataFrame:
     lines = T.drop_lines(T.strip_boilerplate(F.col("text")), r"^\s*\[|^\s*[0-9]+\s*$|^\s*[*]+")
     return t.documents.select("doc_id", F.trim(F.regexp_replace(lines, r"[_=]+", "")).alias("text"))
@@ -90,10 +95,19 @@ def plan_levels(t: Tables) -> DataFrame:
     return O.step_levels(steps, needs)
 
 
-@query("generation_metrics")
+_SIDES = ", ".join(f"g{c}{n} AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len({c}) - {n - 2}), lambda i: array_to_string({c}[i:i + {n - 1}], ' '))) AS g FROM p WHERE len({c}) >= {n}) GROUP BY 1, 2, 3)" for c in "xy" for n in (1, 2))
+_MATCH = ", ".join(f"m{n} AS (SELECT conv_id, turn, sum(least(a.c, b.c)) AS m{n} FROM gx{n} a JOIN gy{n} b USING (conv_id, turn, g) GROUP BY 1, 2)" for n in (1, 2))
+
+
+@query("generation_metrics", rf"""WITH p AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(a.text), '[\p{{L}}]+') AS x, regexp_extract_all(lower(b.text), '[\p{{L}}]+') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+{_SIDES}, {_MATCH}, j AS (SELECT p.conv_id, p.turn, len(x) AS a, len(y) AS b, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2 FROM p LEFT JOIN m1 USING (conv_id, turn) LEFT JOIN m2 USING (conv_id, turn))
+SELECT conv_id, turn, round(CASE WHEN a + b > 0 THEN 2.0::DOUBLE * m1 / (a + b) ELSE 0 END, 6) AS rouge1, round(CASE WHEN greatest(a - 1, 0) + greatest(b - 1, 0) > 0 THEN 2.0::DOUBLE * m2 / (greatest(a - 1, 0) + greatest(b - 1, 0)) ELSE 0 END, 6) AS rouge2,
+  round(CASE WHEN a > 0 THEN exp(ln((m1 + 1e-9) / a) / 2 + ln((m2 + 1e-9) / greatest(a - 1, 1)) / 2 + least(0.0::DOUBLE, 1.0::DOUBLE - b / a)) ELSE 0 END, 6) AS bleu FROM j""")
 def generation_metrics(t: Tables) -> DataFrame:
-    p = turn_pairs(t)
-    return p.select("conv_id", "turn", F.round(O.rouge(F.col("x"), F.col("y"), 1), 6).alias("rouge1"), F.round(O.rouge(F.col("x"), F.col("y"), 2), 6).alias("rouge2"), F.round(O.bleu(F.col("x"), F.col("y")), 6).alias("bleu"))
+    """Every turn against the next one, as a prediction of it."""
+    words = t.conversations.select("conv_id", "turn", T.words(F.col("text")).alias("x"))
+    p = words.withColumn("y", F.lead("x").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("y is not null")
+    return O.generation_scores(p, ["conv_id", "turn"]).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "bleu")])
 
 
 @query("compose_word")

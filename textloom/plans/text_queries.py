@@ -385,7 +385,12 @@ def strip_boilerplate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", (F.trim(T.strip_boilerplate(framed)) == F.trim("text")).alias("same"))
 
 
-@query("strip_markdown")
+# Without look-around; a mark between words is consumed.
+_MARKDOWN_SQL = [(r"(^|[^\p{L}\p{N}])_([^_]+)_($|[^\p{L}\p{N}])", "$1$2$3") if "(?<!" in pattern else (pattern, by) for pattern, by in T.MARKDOWN_STEPS]
+_MARKED = "'# Title' || chr(10) || '**' || text || '** `code` [link](http://a.b)' || chr(10) || '> quote'"
+
+
+@query("strip_markdown", f"SELECT doc_id, {substitute_sql(_MARKED, _MARKDOWN_SQL)} AS plain FROM documents")
 def strip_markdown(t: Tables) -> DataFrame:
     marked = F.concat(F.lit("# Title\n**"), "text", F.lit("** `code` [link](http://a.b)\n> quote"))
     return t.documents.select("doc_id", T.strip_markdown(marked).alias("plain"))
@@ -422,7 +427,11 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query("clean_text")
+_BODY = r"regexp_replace(regexp_replace(text, '^.*?\*\*\* ?START[^\n]*\n', '', 's'), '\n?\*\*\* ?END.*$', '', 's')"
+
+
+@query("clean_text", rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split({substitute_sql(_BODY, _MARKDOWN_SQL)}, chr(10)), lambda x: NOT regexp_matches(x, '{T.ARTIFACT_LINE}')), chr(10)),
+  '(\p{{L}})-\s*\n\s*(\p{{L}})', '\1\2', 'g'), '[ \t]+', ' ', 'g')) AS text FROM documents""")
 def clean_text(t: Tables) -> DataFrame:
     """Boilerplate, markdown, artifact lines, hyphens and white space, in this order."""
     steps = (T.strip_boilerplate, T.strip_markdown, lambda x: T.drop_lines(x, T.ARTIFACT_LINE), T.fix_hyphenation)
@@ -555,10 +564,22 @@ def paragraphs(t: Tables) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "paragraph")
 
 
-@query("split_sentences")
+def _pieces_sql(cut: str) -> str:
+    """doc_id, pos (from 0), s of a list of pieces, blanks at the ends and empty ones gone."""
+    return f"SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS s FROM (SELECT doc_id, list_filter(list_transform({cut}, lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents)"
+
+
+def _pieces(t: Tables, cut: Column) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), "s")
+
+
+_SHORT = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+
+
+@query("split_sentences", _pieces_sql(rf"""list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(^|[^\p{{L}}])({_SHORT})\.', '\1\2' || chr(2), 'g'), '([.!?])\s+$', '\1'),
+  '([.!?])\s+([{T.CAPITAL}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda y: replace(y, chr(2), '.'))"""))
 def split_sentences(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "s"))
-    return rows
+    return _pieces(t, T.split_sentences(F.col("text")))
 
 
 @query("sentences_simple", f"WITH {SENTENCES} SELECT doc_id, pos, s FROM sents WHERE length(s) >= 10 AND NOT (upper(s) = s AND lower(s) <> s) AND NOT starts_with(s, '§')")
@@ -581,24 +602,25 @@ def sentences_drop_term(t: Tables) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "s")
 
 
-@query("sentences_book")
+@query("sentences_book", _pieces_sql(r"string_split(regexp_replace(text, '(^|[^0-9])[.!?]+', '\1' || chr(1), 'g'), chr(1))"))
 def sentences_book(t: Tables) -> DataFrame:
     """A full stop after a digit ends no sentence."""
     cut = F.filter(F.transform(F.split("text", r"(?<!\d)[.!?]+"), lambda x: F.trim(x)), lambda x: x != "")
-    return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "s"))
+    return _pieces(t, cut)
 
 
-@query("sentences_wiki")
+@query("sentences_wiki", _pieces_sql(rf"""list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '(\s+)([{T.CAPITAL}])', '\1' || chr(3) || '\2', 'g'), '(^|[^0-9])[.!?]+(\s+)\x03', '\1' || chr(1) || '\2', 'g'),
+  '(^|[^0-9])[.!?]+(\s*)$', '\1' || chr(1) || '\2'), chr(1)), lambda y: replace(y, chr(3), ''))"""))
 def sentences_wiki(t: Tables) -> DataFrame:
     cut = F.filter(F.transform(F.split("text", rf"(?<!\d)[.!?]+(?=\s+[{T.CAPITAL}]|\s*$)"), lambda x: F.trim(x)), lambda x: x != "")
-    return t.documents.select("doc_id", F.posexplode(cut).alias("pos", "s"))
+    return _pieces(t, cut)
 
 
-@query("segment_chars")
+@query("segment_chars", _pieces_sql(rf"""regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?])(\s+)([{T.CAPITAL}«"])', '\1' || chr(1) || '\2\3', 'g'), '((?:^|[^\p{{L}}\p{{N}}])\p{{L}}{{1,2}}|[{T.CAPITAL}]|[0-9])([.!?])\x01', '\1\2', 'g'), '\x01\s+')"""))
 def segment_chars(t: Tables) -> DataFrame:
-    """Boundary decided by the 20 characters before it: no digit, initial or abbreviation."""
-    cut = F.split("text", rf"(?<![{T.CAPITAL}]|\d|\b\p{{L}}{{1,2}})(?<=[.!?])\s+(?=[{T.CAPITAL}«\"])")
-    return t.documents.select("doc_id", F.posexplode(F.filter(cut, lambda x: F.trim(x) != "")).alias("pos", "s"))
+    """Boundary decided by what stands before the full stop: no digit, capital or word of one or two letters."""
+    cut = F.split("text", rf"(?<!(?:[{T.CAPITAL}]|[0-9]|(?<![\p{{L}}\p{{N}}])\p{{L}}{{1,2}})[.!?])(?<=[.!?])\s+(?=[{T.CAPITAL}«\"])")
+    return _pieces(t, F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 @query("chunk_text", r"""
