@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,13 +109,20 @@ def sample_per_group(rows: DataFrame, group: str, key: str, size: int) -> DataFr
 
 
 def latency(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, median, extremes, deviation and the 95th percentile (an element of the data)."""
+    """Count, mean, median, extremes, deviation and the 95th percentile (an element of the data).
+
+    Elements are found by their global rank, so no task holds a key's rows.
+    """
     v = F.col(value)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(v))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ranked = rows.select(*keys, v.alias("v"), rank.alias("rk"), n.alias("m"))
-    at = F.max(F.when(F.col("rk") == F.floor(F.col("m") * 0.95) + 1, F.col("v"))).alias("p95")
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.expr("percentile(v, 0.5)"), 6).alias("median"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("sd"), at,
-    )
+    ranked = written(with_rank(rows.select(*keys, v.alias("v")).filter("v is not null"), [*[F.col(k) for k in keys], F.col("v")], "_rk"), "ranked")
+    sums = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("sd"), F.min("_rk").alias("_first"))
+    at = {"p95": F.floor(F.col("n") * 0.95), "_low": F.floor((F.col("n") - 1) / 2), "_high": F.ceil((F.col("n") - 1) / 2)}
+    places = sums.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("_place"), (F.col("_first") + x).alias("_rk")) for k, x in at.items()])).alias("p"))
+    # Ranks are global, so places need no key; three rows for each key.
+    found = places.select(*keys, "p.*").join(ranked.select("_rk", "v"), "_rk").groupBy(*keys).agg(*[F.max(F.when(F.col("_place") == k, F.col("v"))).alias(k) for k in at])
+    both = reduce(lambda a, b: a & b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    out = sums.alias("a").join(found.alias("b"), both)
+    median = F.round((F.col("_low") + F.col("_high")) / 2, 6)
+    return out.select(*[f"a.{k}" for k in keys], "n", "mean", median.alias("median"), "lo", "hi", "sd", "p95")

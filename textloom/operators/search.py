@@ -43,6 +43,12 @@ def _best(Q: np.ndarray, V: np.ndarray, k: int, metric: str) -> tuple[np.ndarray
     sums in one fixed order give the scores, so equal vectors score the same.
     """
     q2, v2 = (Q * Q).sum(1), (V * V).sum(1)
+    if np.isnan(v2).any():
+        fine = np.flatnonzero(~np.isnan(v2))
+        i, j, score = _best(Q, V[fine], k, metric)
+        return i, fine[j], score
+    if not len(V):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if metric == "l2":
         near = 2 * Q @ V.T - q2[:, None] - v2[None]
     else:

@@ -9,7 +9,7 @@ from textloom.functions import text as T
 from textloom.functions import vector as V
 from textloom.operators import search as S
 from textloom.operators import structure as O
-from textloom.plans.language_queries import made_sentences, roots
+from textloom.plans.language_queries import analysis_sql, made_sentences, roots, stems
 from textloom.operators import syntax
 from textloom.operators.shared import written
 from textloom.plans.registry import Tables, query
@@ -155,10 +155,19 @@ def affix_similarity(t: Tables) -> DataFrame:
     return m.toDF("a1", "va").join(b, F.col("a1") < F.col("a2")).select("a1", "a2", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("cos"))  # one row for each affix
 
 
-@query("literary_sample", "SELECT source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_sentences FROM (SELECT source, len(regexp_extract_all(text, '[.!?]+')) AS n FROM documents) GROUP BY source")
+_DOC_WORDS = r"dw AS (SELECT doc_id AS sent_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\p{L}]+'), lambda w: replace(w, 'x', 'ks')), ' ') AS text FROM documents WHERE len(regexp_extract_all(lower(text), '[\p{L}]+')) > 0)"
+
+
+@query("literary_sample", rf"""WITH {_DOC_WORDS}, {analysis_sql('dw', '')}, w AS (SELECT sent_id AS doc_id, count(*) AS n, count(*) FILTER (WHERE ok) AS good FROM wd GROUP BY 1)
+SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '[.!?]+'))) AS BIGINT) AS n_sentences, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_words, CAST(sum(coalesce(good, 0)) AS BIGINT) AS n_parsed FROM documents LEFT JOIN w USING (doc_id) GROUP BY source""")
 def literary_sample(t: Tables) -> DataFrame:
-    n = F.regexp_count("text", F.lit("[.!?]+")).cast("long")
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_sentences"))
+    """Sentences and parse success by source, over all words of all documents."""
+    ws = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.replace(w, F.lit("x"), F.lit("ks")))
+    words = syntax.analyse(t.documents.select(F.col("doc_id").alias("sent_id"), F.array_join(ws, " ").alias("text")), stems(t))
+    parsed = words.groupBy(F.col("sent_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w.parse_status") == "success").alias("good"))
+    rows = t.documents.select("doc_id", "source", F.regexp_count("text", F.lit("[.!?]+")).cast("long").alias("s")).join(parsed, "doc_id", "left")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("s").alias("n_sentences"), total("n").alias("n_words"), total("good").alias("n_parsed"))
 
 
 @query("resume_point", "SELECT source, max(doc_id) AS last_id, count(*) AS processed FROM documents GROUP BY source")
