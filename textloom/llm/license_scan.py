@@ -8,8 +8,8 @@ TF-IDF vectors. Document frequencies are counted over all files, for the words
 of the templates; other words have the weight of a word seen in no file. A
 passage can reach the cosine threshold only if it has one of the few heaviest
 words of a template (the words without which the rest of the template's norm
-is under the threshold), so only such passages are expanded to words: the
-filter loses nothing. A file without a licence of its own takes that of its
+is under the threshold) and enough of its words, so only such passages are
+expanded to words: the filter loses nothing. A file without a licence of its own takes that of its
 nearest ancestor directory: a directory's licence is the one its licence files
 declare. A licence file is told by its name, or by a passage that makes up much
 of it. All of it is DataFrame code.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,17 +100,26 @@ def template_words(templates: Mapping[str, Sequence[str]]) -> dict[tuple[str, in
     return out
 
 
-def seed_words(vectors: Mapping[tuple[str, int], Mapping[str, float]], threshold: float) -> list[str]:
-    """Words of which any line at the threshold has at least one."""
-    seeds: set[str] = set()
-    for vec in vectors.values():
-        norm2, rest = sum(x * x for x in vec.values()), sum(x * x for x in vec.values())
-        for w, x in sorted(vec.items(), key=lambda p: (-p[1], p[0])):
-            if rest < (threshold * threshold - 1e-9) * norm2:
-                break
-            seeds.add(w)
-            rest -= x * x
-    return sorted(seeds)
+def needs(vec: Mapping[str, float], threshold: float) -> tuple[list[str], int]:
+    """Words of which any passage at the threshold has at least one, and how many of the template's words it has at least.
+
+    A passage cannot come nearer to a template than the root of the share of
+    the template's squared norm that their common words make up.
+    """
+    heaviest = sorted(vec.items(), key=lambda p: (-p[1], p[0]))
+    norm2 = sum(x * x for x in vec.values())
+    least = (threshold * threshold - 1e-9) * norm2
+    seeds, rest = [], norm2
+    for w, x in heaviest:
+        if rest < least:
+            break
+        seeds.append(w)
+        rest -= x * x
+    held, count = 0.0, 0
+    while held < least and count < len(heaviest):
+        held += heaviest[count][1] ** 2
+        count += 1
+    return seeds, max(1, count)
 
 
 def units(text: Column) -> Column:
@@ -139,18 +149,25 @@ def best_passages(
     unseen = 1.0 + math.log(1.0 + n)
     vectors = {name: {w: c * idf[w] for w, c in v.items()} for name, v in vocab.items()}
     norms = {name: math.sqrt(sum(x * x for x in v.values())) for name, v in vectors.items()}
-    seeds = F.array(*[F.lit(w) for w in seed_words(vectors, threshold)])
+    listed = lambda ws: F.array(*[F.lit(w) for w in ws])
+    wanted = {name: needs(v, threshold) for name, v in vectors.items()}
+    seeds = listed(sorted({w for ws, _ in wanted.values() for w in ws}))
+    reach = lambda held: reduce(
+        lambda a, b: a | b, [F.arrays_overlap(held, listed(ws)) & (F.size(F.array_intersect(held, listed(sorted(vectors[name])))) >= n) for name, (ws, n) in wanted.items()]
+    )
     weights = files.sparkSession.createDataFrame(
         [(w, idf[w], name[0], name[1], x / norms[name]) for name, v in vectors.items() for w, x in v.items()],
         "word string, idf double, licence string, nth int, unit double",
     )
     idfs = files.sparkSession.createDataFrame([(w, idf[w]) for w in terms], "word string, idf double")
-    near = held.filter(F.arrays_overlap("hits", seeds)).select("path", "fid", "n_words").distinct()
+    near = held.filter(F.arrays_overlap("hits", seeds)).filter(reach(F.col("hits"))).select("path", "fid", "n_words").distinct()
     lines = (
         files.join(near, ["path", "fid"])
         .select("path", "fid", "n_words", F.posexplode(units(F.col("text"))).alias("line", "text"))
         .withColumn("words", words_of(F.col("text")))
         .filter(F.arrays_overlap("words", seeds))
+        .withColumn("hits", F.array_intersect("words", listed(terms)))
+        .filter(reach(F.col("hits")))
     )
     tf = (
         lines.select("path", "fid", "line", (F.size("words") / F.col("n_words")).alias("share"), F.explode("words").alias("word"))
