@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from textloom.llm._bytes import U, Block, as_bytes, blocks, mix, range_hash
 from textloom.llm._util import Workspace
 from textloom.llm.components import components
+from textloom.operators.sized import sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -266,7 +267,9 @@ def remaining_links(
     best = F.col("common") * 100 >= percent * (F.col("n") + F.greatest("least", "common") - F.col("common"))
     able = ws.put(sized.join(least, "band").filter(best).select("band", "at", "doc_id", "label"))
     size = able.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    placed = able.join(size.select("band", "m"), "band").withColumn("blocks", F.ceil(F.col("m") / block_rows).cast("int"))
+    # Few bands stay mixed; shipped to the members, they leave no task with all of one band.
+    size = ws.put(size.select("band", "m"))
+    placed = able.join(sized_broadcast(size, size.count()), "band").withColumn("blocks", F.ceil(F.col("m") / block_rows).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A block meets every other block and itself.
     spread = placed.select(
