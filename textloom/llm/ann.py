@@ -231,6 +231,7 @@ def in_cells(rows: DataFrame, vector: str, centres: dict[int, np.ndarray], k: di
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, degree: int = 32,
     beam: int = 96, alpha: float = 1.2, block_queries: int = 4096, most_cells: int = 1024, covered: float = 0.97, sample: int = 16_384,
+    most_numbers: int = 4_194_304,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every query.
 
@@ -245,7 +246,8 @@ def nearest(
     empty tables give an empty result.
 
     Vectors are dealt to at most ``most_cells`` cells by the nearest centre;
-    centres are fitted on at most ``sample`` vectors, the first by hash. Cells
+    centres are fitted on at most ``sample`` vectors of ``most_numbers``
+    components in all, the first by hash. Cells
     of more than ``shard_rows`` vectors are parted by hash into several shards.
     A query searches every shard of its nearest cells: as many as hold the
     share ``covered`` of the nearest vectors in the sample, so few where
@@ -260,7 +262,8 @@ def nearest(
     members = ws.put(clean.withColumn("r", first).filter(F.col("r") <= k + 1))
     distinct = members.filter("r = 1").select(F.col("vec_id").alias("rep"), "v", "h", "dim")
     distinct = ws.put(distinct)
-    n = distinct.count()
+    n, dim = distinct.agg(F.count(F.lit(1)), F.max("dim")).first()
+    sample = min(sample, max(1, most_numbers // (dim or 1)))
     cells = max(1, min(most_cells, -(-n // shard_rows)))
     seen = distinct.orderBy(F.xxhash64("h", F.lit(3)), "rep").limit(sample).select("v").toPandas().v  # at most ``sample`` vectors
     # A dimension has cells by its share of the sample; one that is not in it has cell 0.
