@@ -8,15 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session without it gets a folder of its own."""
+    """``spark.checkpoint.dir``. Only a session whose executors are the driver itself may go without: it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root is not None:
+        return root
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="textloom-")
+    return _own[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
