@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm._util import Workspace, rows_per_bucket, running_total, spread
+from textloom.operators.sized import sized_broadcast
 
 
 def _share_of(salt: str, *cols: str) -> Column:
@@ -36,21 +37,22 @@ def text_crc32(text: Column) -> Column:
     return F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long")
 
 
-def propagate_once(rows: DataFrame, n_shards: int, salt: str) -> DataFrame:
+def propagate_once(rows: DataFrame, n_shards: int, salt: str, n_groups: int) -> DataFrame:
     """One round: rows (.., h, link1, link2, shard, linked) with new shards.
 
     A group's preferred shard is the one that holds most of it, ties broken by a
     new hash in each round so that wishes balance. A group larger than a shard's capacity
     has been dealt out (``deal_large``) and stays.
     Of the d(s, t) documents that want from s to t, min(d(s, t), d(t, s)) move
-    in expectation, chosen by digest.
+    in expectation, chosen by digest. There are ``n_groups`` groups: few are
+    shipped to the rows, so no task holds a large one.
     """
     held = rows.filter("linked").groupBy("link1", "link2", "shard").agg(F.count(F.lit(1)).alias("n"))
     best = held.groupBy("link1", "link2").agg(
         F.max(F.struct("n", F.xxhash64(F.lit(salt), "link1", "shard").alias("tie"), "shard")).alias("best"), F.sum("n").alias("all")
     )
     best = best.select("link1", "link2", F.col("best.shard").alias("goal"), "all")
-    aim = rows.join(best, ["link1", "link2"], "left")
+    aim = rows.join(sized_broadcast(best, n_groups), ["link1", "link2"], "left")
     fits = F.col("all") <= F.col("capacity")
     aim = aim.withColumn("goal", F.when(F.col("linked") & fits, F.coalesce("goal", "shard")).otherwise(F.col("shard")))
     wish = aim.filter("goal <> shard").groupBy("shard", "goal").agg(F.count(F.lit(1)).alias("d"))
@@ -163,7 +165,8 @@ def shard(
     groups = base.filter("link1 is not null").groupBy("link1", "link2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = groups.select("link1", "link2", F.lit(True).alias("linked"), (F.col("n") > -(-n // n_shards)).alias("large"), "n")
     groups = ws.put(groups)
-    rows = base.join(groups.drop("n"), ["link1", "link2"], "left")
+    n_groups = groups.count()
+    rows = base.join(sized_broadcast(groups.drop("n"), n_groups), ["link1", "link2"], "left")
     rows = rows.withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("large", F.coalesce("large", F.lit(False)))
     rows = ws.put(rows.withColumn("capacity", F.lit(-(-n // n_shards) if n else 0)))
     large = groups.filter("large").orderBy(F.desc("n"), "link1", "link2").collect()  # fewer than n_shards rows
@@ -173,7 +176,7 @@ def shard(
     # Unlinked rows need no join in the rounds.
     alone, linked = rows.filter("not linked"), rows.filter("linked")
     for i in range(rounds):
-        linked = ws.put(propagate_once(linked, n_shards, f"{seed}:{i}").select(*rows.columns))
+        linked = ws.put(propagate_once(linked, n_shards, f"{seed}:{i}", n_groups).select(*rows.columns))
     even = ws.put(even_out(alone.unionByName(linked), ws, n_shards, n))
     ws.keep(even)
     buckets = rows_per_bucket(n)
