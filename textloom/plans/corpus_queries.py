@@ -543,7 +543,11 @@ def hard_negatives(t: Tables) -> DataFrame:
     return p.orderBy(F.md5(F.concat("w1", "w2")), "w1", "w2").limit(200).select("w1", "w2")
 
 
-@query("negative_pairs")
+@query("negative_pairs", r"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS w FROM benchmark), s AS (SELECT w, i, md5(i || ':' || w) AS h, greatest(1, length(ltrim(bin((SELECT count(*) FROM v) // 10000), '0'))) AS bits FROM v, range(0, 3) r(i)),
+l AS (SELECT w, lead(w) OVER (PARTITION BY i, ('0x' || left(h, 8))::BIGINT >> (32 - bits)::INT ORDER BY h, w) AS o FROM s),
+p AS (SELECT item_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}]+') AS ws FROM benchmark)),
+near AS (SELECT DISTINCT least(a.w, b.w) AS w1, greatest(a.w, b.w) AS w2 FROM p a JOIN p b ON a.item_id = b.item_id AND b.pos - a.pos BETWEEN 1 AND 3)
+SELECT DISTINCT least(w, o) AS w1, greatest(w, o) AS w2 FROM l WHERE o IS NOT NULL AND w <> o AND (least(w, o), greatest(w, o)) NOT IN (SELECT (w1, w2) FROM near)""")
 def negative_pairs(t: Tables) -> DataFrame:
     """Each word with a word chosen by hash, without pairs that stand together in a text."""
     from textloom.operators.pairs import cooccurrence as co
@@ -553,7 +557,9 @@ def negative_pairs(t: Tables) -> DataFrame:
     return hashed_pairs(distinct_words(t.benchmark), "w", 3).join(positives.select("w1", "w2"), ["w1", "w2"], "left_anti")
 
 
-@query("sentence_pairs")
+@query("sentence_pairs", """WITH f AS (SELECT * FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rk FROM documents) WHERE rk <= 101),
+s AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY rk) AS o FROM f), c AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY rk ORDER BY source) AS o FROM f WHERE rk <= 100)
+SELECT doc_id AS id1, o AS id2, 1 AS target FROM s WHERE o IS NOT NULL UNION ALL SELECT doc_id, o, 0 FROM c WHERE o IS NOT NULL""")
 def sentence_pairs(t: Tables) -> DataFrame:
     """Neighbours by hash within a source (target 1) and across sources (target 0), at most 100 a source."""
     from textloom.operators.pairs import source_pairs
