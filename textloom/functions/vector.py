@@ -51,10 +51,10 @@ def one_hot(value: Column, labels: list[str]) -> Column:
 
 
 def char_hash(word: Column, dim: int, n: int = 3) -> Column:
-    """Normalised histogram of hashed character n-grams of ^word$."""
+    """Normalised histogram of character n-grams of ^word$, dealt to buckets by digest."""
     padded = F.concat(F.lit("^"), word, F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substr(padded, i, F.lit(n)))
-    buckets = F.transform(grams, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(dim)))
+    buckets = F.transform(grams, lambda g: F.conv(F.left(F.md5(g), F.lit(8)), 16, 10).cast("long") % dim)
     counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(held, lambda x: x == b)).cast("double"))
     return normalize(let(buckets, counts))
 

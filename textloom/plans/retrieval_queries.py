@@ -167,10 +167,23 @@ def expand_vocab(t: Tables) -> DataFrame:
     return new.join(F.broadcast(n), F.lit(True)).select("w", (F.col("n") + F.col("rk") - 1).alias("id"))  # one row
 
 
-@query("char_hash_embed")
+def hashed_sql(src: str, dim: int) -> str:
+    """CTE ``ch`` (w, i from 1, x) of the distinct words w of ``src``."""
+    return rf"""hg AS (SELECT w, unnest(list_transform(range(1, greatest(length(w), 1) + 1), lambda i: substr('^' || w || '$', i, 3))) AS g FROM {src}),
+hb AS (SELECT w, ('0x' || left(md5(g), 8))::BIGINT % {dim} + 1 AS i, count(*) AS c FROM hg GROUP BY 1, 2), hn AS (SELECT w, sqrt(sum(c * c)) AS norm FROM hb GROUP BY w),
+ch AS (SELECT hn.w, r.i, coalesce(c, 0) / norm AS x FROM hn CROSS JOIN range(1, {dim + 1}) r(i) LEFT JOIN hb ON hb.w = hn.w AND hb.i = r.i)"""
+
+
+def numbered_parts(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """keys, i (from 1), x of each vector."""
+    out = rows.select(*keys, F.posexplode(vector).alias("p", "x"))
+    return out.select(*keys, (F.col("p") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("char_hash_embed", rf"WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS w FROM benchmark), {hashed_sql('s', 32)} SELECT w, i, round(x, 6) AS x FROM ch")
 def char_hash_embed(t: Tables) -> DataFrame:
     ws = t.benchmark.select(F.explode(T.words(F.col("text"))).alias("w")).distinct()
-    return ws.select("w", V.char_hash(F.col("w"), 32).alias("v"))
+    return numbered_parts(ws.select("w", V.char_hash(F.col("w"), 32).alias("v")), ["w"], "v")
 
 
 @query("affix_transform", """WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT vec_id, e, list_sum(list_transform(range(1, 65), lambda i: e[i] * sin(i - 1))) AS a, list_sum(list_transform(range(1, 65), lambda i: e[i] * cos(i - 1))) AS b FROM d)
@@ -192,7 +205,12 @@ def knn_all(t: Tables) -> DataFrame:
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 
-@query("embed_word")
+@query("embed_word", rf"""WITH v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS vec_id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS w FROM conversations)),
+kn AS (SELECT w, embedding::DOUBLE[] AS e FROM v JOIN embeddings USING (vec_id)), ws AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{{L}}]+')) AS word FROM benchmark),
+a AS (SELECT word, lower(word) AS low, regexp_matches(word, '^\p{{Lu}}') AS name, k.e AS own, m.e AS of_root FROM ws LEFT JOIN kn k ON k.w = lower(word) LEFT JOIN kn m ON m.w = {strip_sql('lower(word)', lx.ROOT_ENDINGS)}),
+s AS (SELECT DISTINCT low AS w FROM a), {hashed_sql('s', 64)}
+SELECT word, CASE WHEN own IS NOT NULL THEN 'known' WHEN name THEN 'proper_noun' WHEN of_root IS NOT NULL THEN 'morpheme' ELSE 'char_hash' END AS method, i,
+  round(coalesce(own[i], CASE WHEN name THEN 0.125 END, of_root[i], x), 6) + 0.0 AS x FROM a JOIN ch ON ch.w = low""")
 def embed_word(t: Tables) -> DataFrame:
     """Words of a vocabulary take their stored vector, names a fixed one, words whose root is in it that root's, others a hash of their letters.
 
@@ -209,22 +227,34 @@ def embed_word(t: Tables) -> DataFrame:
     kind = F.when(F.col("stored").isNotNull(), "known").when(name, "proper_noun").when(F.col("of_root").isNotNull(), "morpheme").otherwise("char_hash")
     fixed = F.array_repeat(F.lit(0.125), 64)
     vec = F.coalesce("stored", F.when(name, fixed), "of_root", V.char_hash(F.col("low"), 64))
-    return rows.select("word", kind.alias("method"), vec.alias("v"))
+    out = numbered_parts(rows.select("word", kind.alias("method"), vec.alias("v")), ["word", "method"], "v")
+    return out.withColumn("x", F.col("x") + 0.0)
 
 
-@query("embed_sentence")
-def embed_sentence(t: Tables) -> DataFrame:
+SENT_VEC = rf"""sw AS (SELECT item_id, w, count(*) AS m FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}]+')) AS w FROM benchmark) WHERE length(w) > 3 GROUP BY 1, 2), s AS (SELECT DISTINCT w FROM sw), {hashed_sql('s', 32)},
+sm AS (SELECT item_id, i, sum(m * x) / sum(m) AS x FROM sw JOIN ch USING (w) GROUP BY 1, 2), sv AS (SELECT item_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM sm)"""
+
+
+def sentence_vectors(t: Tables) -> DataFrame:
+    """item_id, v: words are hashed once, however many items have them."""
     ws = t.benchmark.select("item_id", F.explode(T.words(F.col("text"))).alias("w")).filter(F.length("w") > 3)
-    pooled = S.mean_pool(ws.select("item_id", V.char_hash(F.col("w"), 32).alias("v")), ["item_id"], "v")
+    vectors = ws.select("w").distinct().select("w", V.char_hash(F.col("w"), 32).alias("v"))
+    pooled = S.mean_pool(ws.join(vectors, "w"), ["item_id"], "v")
     return pooled.select("item_id", V.normalize(F.col("v")).alias("v"))
 
 
-@query("semantic_search")
+@query("embed_sentence", f"WITH {SENT_VEC} SELECT item_id, i, round(x, 6) AS x FROM sv")
+def embed_sentence(t: Tables) -> DataFrame:
+    return numbered_parts(sentence_vectors(t), ["item_id"], "v")
+
+
+@query("semantic_search", f"""WITH {SENT_VEC}, d AS (SELECT a.item_id AS query_id, b.item_id AS vec_id, sum(a.x * b.x) AS s FROM sv a JOIN sv b USING (i) GROUP BY 1, 2)
+SELECT query_id, rk, vec_id, round(s, 6) AS score, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rk FROM d) JOIN benchmark ON item_id = vec_id WHERE rk <= 5""")
 def semantic_search(t: Tables) -> DataFrame:
     """All test items as queries against their own sentence vectors, with the text attached to hits only."""
-    v = written(embed_sentence(t), "sentences")
+    v = written(sentence_vectors(t), "sentences")
     out = S.knn(v.toDF("query_id", "qv"), v.toDF("vec_id", "v"), 5, "dot")
-    return out.join(t.benchmark.withColumnRenamed("item_id", "vec_id"), "vec_id").select("query_id", "rk", "vec_id", F.round("score", 6).alias("score"), "text")
+    return out.join(t.benchmark.withColumnRenamed("item_id", "vec_id"), "vec_id").select("query_id", F.col("rk").cast("long").alias("rk"), "vec_id", F.round("score", 6).alias("score"), "text")
 
 
 @query("search_enriched")
