@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.vector import let
 from textloom.llm._util import Workspace
 from textloom.operators.sized import sized_broadcast
 
@@ -135,12 +136,10 @@ def best_passages(
     """path, licence, score, share: the nearest template of each file that has one, and the share of the file's words in that passage."""
     vocab = template_words(templates)
     terms = sorted({w for v in vocab.values() for w in v})
-    words = words_of(F.col("text"))
-    hits = F.array_intersect(words, F.array(*[F.lit(w) for w in terms]))
-    # One scan finds the words of templates in each file; frequencies and candidates come from that.
+    all_terms = F.array(*[F.lit(w) for w in terms])
     # Files that share a path are told apart by their texts.
     files = files.withColumn("fid", F.xxhash64("text"))
-    held = ws.put(files.select("path", "fid", hits.alias("hits"), F.size(words).alias("n_words")).filter(F.size("hits") > 0))
+    held = ws.put(files.select(F.array_intersect(words_of(F.col("text")), all_terms).alias("hits")).filter(F.size("hits") > 0))
     seen = held.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = files.count()
     # At most one row for each word of the templates.
@@ -160,14 +159,13 @@ def best_passages(
         "word string, idf double, licence string, nth int, unit double",
     )
     idfs = files.sparkSession.createDataFrame([(w, idf[w]) for w in terms], "word string, idf double")
-    near = held.filter(F.arrays_overlap("hits", seeds)).filter(reach(F.col("hits"))).select("path", "fid", "n_words").distinct()
+    # Bound to a name, so that words are cut once for all templates; texts are not moved.
+    near = lambda words: let(F.array_intersect(words, all_terms), lambda h: F.arrays_overlap(h, seeds) & reach(h))
+    passages = F.transform(units(F.col("text")), lambda u, i: F.struct(i.alias("line"), words_of(u).alias("words")))
     lines = (
-        files.join(near, ["path", "fid"])
-        .select("path", "fid", "n_words", F.posexplode(units(F.col("text"))).alias("line", "text"))
-        .withColumn("words", words_of(F.col("text")))
-        .filter(F.arrays_overlap("words", seeds))
-        .withColumn("hits", F.array_intersect("words", listed(terms)))
-        .filter(reach(F.col("hits")))
+        files.filter(near(words_of(F.col("text"))))
+        .select("path", "fid", F.size(words_of(F.col("text"))).alias("n_words"), F.explode(F.filter(passages, lambda p: near(p["words"]))).alias("p"))
+        .select("path", "fid", "n_words", "p.line", "p.words")
     )
     tf = (
         lines.select("path", "fid", "line", (F.size("words") / F.col("n_words")).alias("share"), F.explode("words").alias("word"))
