@@ -26,7 +26,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from textloom.llm._bytes import U, Block, as_bytes, blocks, mix, range_hash
 from textloom.llm._util import Workspace, with_place
