@@ -448,7 +448,7 @@ def hybrid_retrieve(t: Tables) -> DataFrame:
     names = F.filter(F.transform(F.regexp_extract_all("text", F.lit("[A-ZĈĜĤĴŜŬ][a-zĉĝĥĵŝŭ]+"), F.lit(0)), F.lower), lambda w: (F.length(w) > 2) & ~w.isin(*lx.QUESTION_STOP))
     common = [r for r, w in lx.COMMON_ROOT_WEIGHTS.items() if w <= 0.2]
     roots = F.filter(Q.key_roots(F.col("text")), lambda r: ~r.isin(*common))
-    ws = F.regexp_extract_all(F.lower("text"), F.lit(Q.WORD), F.lit(0))
+    ws = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(Q.WORD), F.lit(0)))
     texts = t.documents.join(n, F.lit(True)).withColumn("vec_id", F.col("doc_id") % F.col("n")).join(vector, "vec_id")
     out = S.two_stage(
         q.select(F.col("item_id").alias("query_id"), F.array_distinct(F.concat(roots, names)).alias("keywords"), F.col("embedding").alias("qv")),
