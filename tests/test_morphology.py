@@ -122,3 +122,34 @@ def test_signature(roles):
 def test_graph(roles):
     kinds = sorted(r.edge_type for r in S.graph_edges(roles).filter("sent_id = 1").collect())
     assert kinds == ["has_article", "has_article", "has_object", "has_subject", "has_verb", "modifies", "modifies"]
+
+
+def test_analysis_is_neither_joined_nor_repeated(spark):
+    """Filters on the analysis must not reach the single words, nor make the words look few enough to be broadcast."""
+    df = spark.createDataFrame([(i, "La hundo vidas qwx kaj qwx.") for i in range(50)], "sent_id long, text string")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    forms = S.analysed_forms(df, LEXICON)
+    assert [(r.category, r.n) for r in S.failure_categories(forms).collect()] == [("foreign_word", 100)]
+    assert [(r.token, r.n) for r in S.problems(forms).collect()] == [("qwx", 100)]
+    for out in (S.failure_categories(forms), S.problems(forms)):
+        assert "Join" not in plan(out) and plan(out).count("MapInArrow") == 1 and "ArrowEvalPython" not in plan(out)
+    roles = S.with_roles(S.parsed(df, LEXICON))
+    for out in (roles, S.deparse(roles), S.signatures(roles), S.graph_edges(roles), S.sentence_types(roles)):
+        assert "Exchange" not in plan(out) and plan(out).count("MapInArrow") == 1
+
+
+def test_sentences_and_their_words_agree(spark):
+    """Roles by sentence and by word are the same, also where a worker hands on its words in pieces or forgets them."""
+    from textloom.functions import morphology as M
+
+    text = "La bona hundo la la granda reĝo ne vidas la grandan bonan katon qwx Kuru mi ĉu min"
+    df = spark.createDataFrame([(i, " ".join([text] * (i % 4 * 300))) for i in range(12)], "sent_id long, text string").coalesce(1)
+    key = lambda df: sorted(df.collect(), key=str)
+    a, b = S.with_roles(S.parsed(df, LEXICON)), S.with_roles(S.analyse(df, LEXICON))
+    assert a.count() == 9 and key(S.flat(a)) == key(b) and key(S.deparse(a)) == key(S.deparse(b)) and key(S.signatures(a)) == key(S.signatures(b))
+    n = M.Analyser(LEXICON)
+    words = [f"w{i}" for i in range(M.KEPT_WORDS + 10)]
+    import pyarrow as pa
+
+    for ws in (words, words[:3] + ["hundo", "hundo"], ["hundo"]):
+        assert n(pa.array(ws)).field("plena_vorto").to_pylist() == ws

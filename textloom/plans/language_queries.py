@@ -29,7 +29,9 @@ es AS (SELECT conv_id || '-' || turn || '-' || k AS sent_id, concat_ws(' ', CASE
 def made_sentences(t: Tables) -> DataFrame:
     """sent_id, text: all words of all turns."""
     ws = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.replace(w, F.lit("x"), F.lit("ks")))
-    turns = t.conversations.select("conv_id", "turn", ws.alias("ws")).filter("size(ws) > 0")
+    # A turn costs far more than its bytes, so turns are dealt out evenly.
+    dealt = t.conversations.repartition(int(t.conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    turns = dealt.select("conv_id", "turn", ws.alias("ws")).filter("size(ws) > 0")
     groups = turns.select("conv_id", "turn", "ws", F.explode(F.sequence(F.lit(0), (F.ceil(F.size("ws") / 5) - 1).cast("int"))).alias("k"))
     k = F.col("k")
     word = lambda i, end: F.concat(F.get("ws", 5 * k + i), end if not isinstance(end, str) else F.lit(end))
@@ -61,7 +63,8 @@ def tokens(t: Tables) -> DataFrame:
 
 
 def roles(t: Tables) -> DataFrame:
-    return S.with_roles(S.analyse(made_sentences(t), stems(t)))
+    """(sent_id, ws array of words with roles)."""
+    return S.with_roles(S.parsed(made_sentences(t), stems(t)))
 
 
 def _in(xs: list[str]) -> str:
@@ -168,7 +171,7 @@ def parse_words(t: Tables) -> DataFrame:
 
 @query("parse_sentences", f"WITH {ROLES_SQL} SELECT sent_id, pos, token AS plena_vorto, radiko, vortspeco, role, has_article, negated FROM rol")
 def parse_sentences(t: Tables) -> DataFrame:
-    return roles(t).select("sent_id", F.col("pos").cast("long").alias("pos"), "w.plena_vorto", "w.radiko", "w.vortspeco", "role", "has_article", "negated")
+    return S.flat(roles(t)).select("sent_id", F.col("pos").cast("long").alias("pos"), "w.plena_vorto", "w.radiko", "w.vortspeco", "role", "has_article", "negated")
 
 
 @query("sentence_type", f"""WITH {ROLES_SQL} SELECT sent_id, CASE WHEN cu OR ki THEN 'demando' WHEN command THEN 'ordono' ELSE 'deklaro' END AS fraztipo, CASE WHEN cu THEN 'ĉu' WHEN ki THEN 'ki' END AS demandotipo, negita FROM (
@@ -184,7 +187,7 @@ def parse_stats(t: Tables) -> DataFrame:
 
 @query("failure_categories", f"WITH {ROLES_SQL} SELECT category, count(*) AS n FROM rol WHERE NOT ok GROUP BY category")
 def failure_categories(t: Tables) -> DataFrame:
-    return S.failure_categories(roles(t))
+    return S.failure_categories(S.analysed_forms(made_sentences(t), stems(t)))
 
 
 @query("deparse", f"WITH {ROLES_SQL}, {deparse_sql('')} SELECT sent_id, text FROM dp")
@@ -198,10 +201,12 @@ SELECT count(*) AS n, count(*) FILTER (WHERE a.r = b.r) AS same FROM a JOIN b US
 def reparse_stats(t: Tables) -> DataFrame:
     """For how many sentences the analysis of the analysis' own text gives the same roots."""
     lexicon = stems(t)
-    analysed = S.with_roles(S.analyse(made_sentences(t), lexicon))
-    one = analysed.filter("role <> 'artikolo'").groupBy("sent_id").agg(F.sort_array(F.collect_list("w.radiko")).alias("a"))
-    two = S.with_roles(S.analyse(S.deparse(analysed), lexicon)).filter("role <> 'artikolo'").groupBy("sent_id").agg(F.sort_array(F.collect_list("w.radiko")).alias("b"))
-    return one.join(two, "sent_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    sorted_roots = F.sort_array(F.transform(F.filter("ws", lambda x: x["role"] != "artikolo"), lambda x: x["w"]["radiko"]))
+    # The roots of the first analysis travel with the sentence, as part of its id.
+    one = S.with_roles(S.parsed(made_sentences(t), lexicon)).select("sent_id", "ws", sorted_roots.alias("a")).filter("size(a) > 0")
+    again = S.parsed(one.select(F.struct("sent_id", "a").alias("sent_id"), S.deparsed(F.col("ws")).alias("text")), lexicon)
+    both = S.with_roles(again).select("sent_id.a", sorted_roots.alias("b")).filter("size(b) > 0")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
 
 
 @query("words")
@@ -212,14 +217,14 @@ def words(t: Tables) -> DataFrame:
 
 @query("content_roots", f"WITH {ROLES_SQL} SELECT radiko, count(*) AS n FROM rol WHERE vortspeco IN {_in(list(S.CONTENT))} GROUP BY radiko")
 def content_roots(t: Tables) -> DataFrame:
-    return S.analyse(made_sentences(t), stems(t)).filter(F.col("w.vortspeco").isin(*S.CONTENT)).groupBy("w.radiko").agg(F.count(F.lit(1)).alias("n"))
+    return S.count_of(S.analysed_forms(made_sentences(t), stems(t)).filter(F.col("w.vortspeco").isin(*S.CONTENT)), F.col("w.radiko"))
 
 
 @query("word_affixes")
 def word_affixes(t: Tables) -> DataFrame:
-    w = S.analyse(made_sentences(t), roots(t))
+    w = S.analysed_forms(made_sentences(t), roots(t))
     known = F.array(*map(F.lit, lx.PREFIXES + lx.SUFFIXES))
-    return w.select("w.radiko", F.explode(F.array_intersect(F.concat("w.prefiksoj", "w.sufiksoj"), known)).alias("affix")).groupBy("affix", "radiko").agg(F.count(F.lit(1)).alias("n"))
+    return w.select("n", "w.radiko", F.explode(F.array_intersect(F.concat("w.prefiksoj", "w.sufiksoj"), known)).alias("affix")).groupBy("affix", "radiko").agg(F.sum("n").alias("n"))
 
 
 def _slot_sql(role: str, name: str, mods: str) -> str:
@@ -260,17 +265,17 @@ def ast_edges(t: Tables) -> DataFrame:
 
 @query("explanations", f"WITH {ROLES_SQL} SELECT sent_id, string_agg(role || ' = ' || radiko || ' (' || vortspeco || ')', '; ' ORDER BY pos) AS text FROM rol GROUP BY sent_id")
 def explanations(t: Tables) -> DataFrame:
-    said = F.concat_ws(" ", F.col("role"), F.lit("="), F.col("w.radiko"), F.concat(F.lit("("), F.col("w.vortspeco"), F.lit(")")))
-    return roles(t).groupBy("sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", said.alias("s")))), lambda x: x["s"]), "; ").alias("text"))
+    said = lambda x: F.concat_ws(" ", x["role"], F.lit("="), x["w"]["radiko"], F.concat(F.lit("("), x["w"]["vortspeco"], F.lit(")")))
+    return roles(t).select("sent_id", F.array_join(F.transform("ws", said), "; ").alias("text"))
 
 
 @query("failure_stems", f"WITH {ROLES_SQL} SELECT stem, count(*) AS n FROM rol WHERE NOT ok GROUP BY stem HAVING count(*) >= 2")
 def failure_stems(t: Tables) -> DataFrame:
-    w = S.analyse(made_sentences(t), stems(t)).filter("w.parse_status = 'failed'")
-    return w.groupBy(F.regexp_extract("w.parse_error", "rest '(.*)'", 1).alias("stem")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    w = S.analysed_forms(made_sentences(t), stems(t)).filter("w.parse_status = 'failed'")
+    return S.count_of(w, F.regexp_extract("w.parse_error", "rest '(.*)'", 1).alias("stem")).filter("n >= 2")
 
 
 @query("problem_log", f"WITH {ROLES_SQL} SELECT token, 'failed' AS status, count(*) AS n FROM rol WHERE NOT ok GROUP BY token")
 def problem_log(t: Tables) -> DataFrame:
     """Words that failed, the analysis of each held to ten seconds."""
-    return S.problems(S.analyse(made_sentences(t), stems(t), seconds=10.0)).select("token", "status", "n")
+    return S.problems(S.analysed_forms(made_sentences(t), stems(t), seconds=10.0)).select("token", "status", "n")

@@ -113,7 +113,7 @@ def generation_metrics(t: Tables) -> DataFrame:
 @query("compose_word")
 def compose_word(t: Tables) -> DataFrame:
     """root + mean(prefixes) + mean(suffixes), with hashed vectors for the parts."""
-    w = syntax.analyse(made_sentences(t), roots(t)).select("w.radiko", "w.prefiksoj", "w.sufiksoj").distinct()
+    w = written(syntax.analysed_forms(made_sentences(t), roots(t)).select("w.radiko", "w.prefiksoj", "w.sufiksoj").distinct(), "words")
     # Parts are hashed once, however many words have them.
     part = lambda c, kind: w.select(F.explode(c).alias("part")) if kind else w.select(F.col(c).alias("part"))
     parts = part("radiko", False).union(part("prefiksoj", True)).union(part("sufiksoj", True)).distinct()
@@ -163,8 +163,9 @@ SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '[.!?]+
 def literary_sample(t: Tables) -> DataFrame:
     """Sentences and parse success by source, over all words of all documents."""
     ws = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.replace(w, F.lit("x"), F.lit("ks")))
-    words = syntax.analyse(t.documents.select(F.col("doc_id").alias("sent_id"), F.array_join(ws, " ").alias("text")), stems(t))
-    parsed = words.groupBy(F.col("sent_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w.parse_status") == "success").alias("good"))
+    words = syntax.parsed(t.documents.select(F.col("doc_id").alias("sent_id"), F.array_join(ws, " ").alias("text")), stems(t), fields=["parse_status"])
+    good = F.size(F.filter("ws", lambda x: x["w"]["parse_status"] == "success"))
+    parsed = words.select(F.col("sent_id").alias("doc_id"), F.size("ws").alias("n"), good.alias("good")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     rows = t.documents.select("doc_id", "source", F.regexp_count("text", F.lit("[.!?]+")).cast("long").alias("s")).join(parsed, "doc_id", "left")
     total = lambda c: F.sum(F.coalesce(c, F.lit(0)))
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("s").alias("n_sentences"), total("n").alias("n_words"), total("good").alias("n_parsed"))
