@@ -119,3 +119,69 @@ def test_ids_go_on(spark, tmp_path):
     for _ in range(2):
         W.append_with_ids(spark.range(3).toDF("k"), path, [F.col("k")])
     assert sorted(r.entry_id for r in spark.read.parquet(path).collect()) == [f"LTM-{i:06d}" for i in range(1, 7)]
+
+
+def _query(spark, tmp_path, name, **tables):
+    """The query's rows and those of its SQL on tables of one's own."""
+    import duckdb
+
+    from textloom.plans import all_queries, registry  # noqa: F401
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    rel = con.sql(registry.ORACLES[name])
+    at = [rel.columns.index(c) for c in df.columns]
+    return df, sorted(map(tuple, df.collect()), key=str), sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str)
+
+
+def test_quality_of_empty_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "a \u00a7 b")], "doc_id long, text string")
+    _, got, want = _query(spark, tmp_path, "assess_quality", documents=docs)
+    assert got == want and len(got) == 3
+
+
+def test_overlaps_are_counted_once(spark, tmp_path):
+    """A pair is counted where its first set is: no join on pairs, no sets brought to them."""
+    rows = spark.range(3000).selectExpr("id * 7 % 40 AS l_suppkey", "id * 13 % 150 AS l_partkey")
+    df, got, want = _query(spark, tmp_path, "overlap_pairs", lineitem=rows)
+    assert got == want and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_large_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_BLOCK", 16)
+    rows = spark.range(300).selectExpr("id AS vec_id", "IF(id < 200, 1, id % 3) AS label").union(spark.sql("SELECT 999L, NULL"))
+    df, got, want = _query(spark, tmp_path, "cluster_pairs", embeddings=rows)
+    assert got == want and "i#" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prices_meet_in_ranges(spark, tmp_path):
+    prices = [0.0, 9.9, 10.0, 10.001, 19.99, 20.0, -0.5, -9.9, 1e18, 1e18, float("inf"), float("inf"), float("nan"), None, 30.0, 20.002]
+    part = spark.createDataFrame([(i, "b", 1, p) for i, p in enumerate(prices)], "p_partkey long, p_brand string, p_size int, p_retailprice double")
+    df, got, want = _query(spark, tmp_path, "value_conflicts", part=part)
+    assert got == want and len(got) > 10 and "FLOOR" in df._jdf.queryExecution().executedPlan().toString().upper()
+
+
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    """Against plain Python, in one block and in several, with pieces and frequent elements."""
+    import random
+
+    rnd = random.Random(3)
+    sets = {i: frozenset(rnd.sample(range(5), 3)) | frozenset(rnd.sample(range(5, 60), rnd.randint(0, 6))) for i in range(150)}
+    df = spark.createDataFrame([(i, e) for i, s in sets.items() for e in s], "id long, el long")
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.4}
+    for piece in (1024, 20):
+        monkeypatch.setattr(P, "PIECE", piece)
+        out = P.similar_sets(df, 0.4)
+        got = out.collect()
+        assert {(r.id1, r.id2): r.jaccard for r in got} == want and len(got) == len(want)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    # Pieces inside of one pair of blocks, with side 0 and 1.
+    import pyarrow as pa
+
+    rows = [(i, sorted(s), int(i % 2)) for i, s in sets.items()]
+    table = pa.table({"id": [r[0] for r in rows], "els": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "side": [r[2] for r in rows]})
+    met = P._meet(table, 0.4).to_pylist()
+    assert {(min(r["id1"], r["id2"]), max(r["id1"], r["id2"])): r["jaccard"] for r in met} == {k: v for k, v in want.items() if sum(k) % 2}
