@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators.shared import shared_root
+from textloom.operators.pairs import parts_of
 from textloom.plans.registry import Tables, query
 from textloom.sources import readers as R
 from textloom.sources import writers as W
@@ -241,8 +242,9 @@ def stream_counts(t: Tables) -> DataFrame:
 def stream_dedup(t: Tables) -> DataFrame:
     base = _folder(t._spark, "dedup")
     docs = t.documents.select("doc_id", "text")
-    docs.repartition(3).write.parquet(f"{base}/in")
-    replay.run_available(replay.first_copies(replay.stream_parquet(t._spark, f"{base}/in", docs.schema, 1)), f"{base}/out", f"{base}/cp")
+    n = 3 * -(-parts_of(docs) // 3)  # files, so that three triggers have many each
+    docs.repartition(n).write.parquet(f"{base}/in")
+    replay.run_available(replay.first_copies(replay.stream_parquet(t._spark, f"{base}/in", docs.schema, n // 3)), f"{base}/out", f"{base}/cp")
     return t._spark.read.parquet(f"{base}/out").select(F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
 
 
