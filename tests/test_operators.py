@@ -1,5 +1,7 @@
 """Properties of the corpus, pair and search operators."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -185,3 +187,54 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
     table = pa.table({"id": [r[0] for r in rows], "els": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "side": [r[2] for r in rows]})
     met = P._meet(table, 0.4).to_pylist()
     assert {(min(r["id1"], r["id2"]), max(r["id1"], r["id2"])): r["jaccard"] for r in met} == {k: v for k, v in want.items() if sum(k) % 2}
+
+
+def test_a_search_holds_no_more_than_its_best(spark, monkeypatch):
+    """Ties are decided where they are met, and blocks of both sides give what one place gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    one = S._Nearest(pa.array([7]), np.ones((1, 2)), 3, "cosine", 512)
+    for at in (500, 0):
+        one.meet(pa.array(range(at, at + 500)), np.ones((500, 2)))
+    assert one.found[0].num_rows == 3 and [b["vec_id"].to_pylist() for b in one.batches()] == [[0, 1, 2]]
+    rnd = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rnd.integers(-3, 4, 4 + 2 * (i % 2)).astype(float).tolist()) for i in range(120)], "vec_id long, v array<double>")
+    df = df.union(spark.sql("SELECT 999L, CAST(NULL AS array<double>)"))
+    asked = df.toDF("query_id", "qv")
+    key = lambda out: sorted((r.query_id, r.rk, r.vec_id, r.score) for r in out.collect())
+    want = key(S.knn(asked, df, 5, "l2"))
+    monkeypatch.setattr(S, "SHIPPED", 0)
+    monkeypatch.setattr(S, "BLOCK_NUMBERS", 100)
+    out = S.knn(asked, df, 5, "l2")
+    assert key(out) == want and len(want) == 600 and "CoGroups" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stream_reads_many_files_at_once(spark, tmp_path, monkeypatch):
+    from textloom.plans import io_queries
+
+    seen = []
+    read = io_queries.replay.stream_parquet
+    monkeypatch.setattr(io_queries.replay, "stream_parquet", lambda s, path, *a: seen.append((path, a[1])) or read(s, path, *a))
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 90) AS text")
+    _, got, want = _query(spark, tmp_path, "stream_dedup", documents=docs)
+    files = [f for f in os.listdir(seen[0][0].removeprefix("file:")) if f.endswith(".parquet")]
+    assert got == want and len(files) > 3 and seen[0][1] == 2
+
+
+def test_generation_is_scored_in_its_row(spark):
+    import random
+    from collections import Counter
+
+    from textloom.operators import structure as O
+
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))], [rnd.choice("abcd") for _ in range(rnd.randint(0, 12))]) for i in range(60)]
+    out = O.generation_scores(spark.createDataFrame(rows, "k long, x array<string>, y array<string>"), ["k"])
+    got = {r.k: r for r in out.collect()}
+    for k, x, y in rows:
+        for n, score in ((1, got[k].rouge1), (2, got[k].rouge2)):
+            a, b = (Counter(zip(*[w[i:] for i in range(n)])) for w in (x, y))
+            m, size = sum((a & b).values()), sum(a.values()) + sum(b.values())
+            assert abs(score - (2 * m / size if size else 0)) < 1e-9
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

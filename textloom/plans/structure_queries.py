@@ -105,8 +105,9 @@ SELECT conv_id, turn, round(CASE WHEN a + b > 0 THEN 2.0::DOUBLE * m1 / (a + b)
   round(CASE WHEN a > 0 THEN exp(ln((m1 + 1e-9) / a) / 2 + ln((m2 + 1e-9) / greatest(a - 1, 1)) / 2 + least(0.0::DOUBLE, 1.0::DOUBLE - b / a)) ELSE 0 END, 6) AS bleu FROM j""")
 def generation_metrics(t: Tables) -> DataFrame:
     """Every turn against the next one, as a prediction of it."""
-    words = t.conversations.select("conv_id", "turn", T.words(F.col("text")).alias("x"))
-    p = words.withColumn("y", F.lead("x").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("y is not null")
+    said = t.conversations.select("conv_id", "turn", "text")
+    said = said.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("next is not null")
+    p = said.select("conv_id", "turn", T.words(F.col("text")).alias("x"), T.words(F.col("next")).alias("y"))
     return O.generation_scores(p, ["conv_id", "turn"]).select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "bleu")])
 
 
