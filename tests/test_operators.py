@@ -238,3 +238,15 @@ def test_generation_is_scored_in_its_row(spark):
             m, size = sum((a & b).values()), sum(a.values()) + sum(b.values())
             assert abs(score - (2 * m / size if size else 0)) < 1e-9
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partners_are_found_once_for_a_beginning(spark):
+    """Nothing is grouped or ranked for single new words; copies of a word are one."""
+    new = spark.createDataFrame([(f"abcd{i % 20}",) for i in range(40)] + [("ab",), ("zz",)], "new_w string")
+    known = spark.createDataFrame([(w,) for w in ("abcde", "abcx", "abz", "abcdd", "b", "a")], "w string")
+    out = P.prefix_similar(new, "new_w", known, "w", 4, 3)
+    got = {(r.new_w, r.rk): (r.w, r.shared) for r in out.collect()}
+    want = {1: ("abcdd", 4), 2: ("abcde", 4), 3: ("abcx", 3)}
+    assert {k: v for k, v in got.items() if k[0] != "ab"} == {(f"abcd{i}", rk): v for i in range(20) for rk, v in want.items()}
+    assert [got["ab", i] for i in (1, 2, 3)] == [("abcdd", 2), ("abcde", 2), ("abcx", 2)] and len(got) == 63
+    assert "Window [row_number() windowspecdefinition(begin" in out._jdf.queryExecution().optimizedPlan().toString()
