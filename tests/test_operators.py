@@ -1,7 +1,10 @@
 """Properties of the corpus, pair and search operators."""
 
 import os
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -250,3 +253,24 @@ def test_partners_are_found_once_for_a_beginning(spark):
     assert {k: v for k, v in got.items() if k[0] != "ab"} == {(f"abcd{i}", rk): v for i in range(20) for rk, v in want.items()}
     assert [got["ab", i] for i in (1, 2, 3)] == [("abcdd", 2), ("abcde", 2), ("abcx", 2)] and len(got) == 63
     assert "Window [row_number() windowspecdefinition(begin" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cooccurrence_counts_where_the_texts_are(spark, tmp_path):
+    texts = ["a b a c", "b a ĉ a", None, "", "a", "z z z", "a b"]
+    rows = [(i, x) for i, x in enumerate(texts)] + [(None, "a b a b"), (1, "ĉ ĉ b")]
+    df, got, want = _query(spark, tmp_path, "cooccurrence", documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == want and got
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cooccurrence_in_pieces(monkeypatch):
+    words = [f"w{i * i % 7}" for i in range(50)]
+    text = np.repeat(np.arange(10), 5)
+    want = Counter(tuple(sorted((words[i], words[j]))) for i in range(50) for j in range(i + 1, min(i + 4, 50)) if text[i] == text[j])
+    monkeypatch.setattr(P, "HELD", 8)
+    parts = [r for i in range(0, 50, 8) for r in P._pairs_near(pa.array(words[i : i + 11]), text[i : i + 11], 3, 4)]
+    got = {}
+    for bucket in {r[0] for r in parts}:
+        table = pa.table({c: [r[k] for r in parts if r[0] == bucket] for k, c in enumerate(["bucket", "offsets", "letters", "a", "b", "n"])})
+        got |= {(r["w1"], r["w2"]): r["n"] for r in P._pairs_summed(table, 2).to_pylist()}
+    assert got == {k: n for k, n in want.items() if n >= 2}
