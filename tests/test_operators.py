@@ -274,3 +274,11 @@ def test_cooccurrence_in_pieces(monkeypatch):
         table = pa.table({c: [r[k] for r in parts if r[0] == bucket] for k, c in enumerate(["bucket", "offsets", "letters", "a", "b", "n"])})
         got |= {(r["w1"], r["w2"]): r["n"] for r in P._pairs_summed(table, 2).to_pylist()}
     assert got == {k: n for k, n in want.items() if n >= 2}
+
+
+def test_signs_of_the_language_are_one_search(spark, tmp_path):
+    texts = ["x as xo o. Xas k. LA. lak. xla. KUN1. aj. kaj. ŭ. Ĝ", "xyz. X1o. xy1o. xyo1. x-o. xoj-x. o xn. bcd", "İo. \U0001d400o. \U0001d400\U0001d400o. éo. xéo", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source", "'en' AS lang")
+    df, got, want = _query(spark, tmp_path, "has_markers", documents=docs)
+    assert got == want and got
+    assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
