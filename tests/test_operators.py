@@ -263,12 +263,11 @@ def test_cooccurrence_counts_where_the_texts_are(spark, tmp_path):
     assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_cooccurrence_in_pieces(monkeypatch):
+def test_cooccurrence_in_pieces():
     words = [f"w{i * i % 7}" for i in range(50)]
     text = np.repeat(np.arange(10), 5)
     want = Counter(tuple(sorted((words[i], words[j]))) for i in range(50) for j in range(i + 1, min(i + 4, 50)) if text[i] == text[j])
-    monkeypatch.setattr(P, "HELD", 8)
-    parts = [r for i in range(0, 50, 8) for r in P._pairs_near(pa.array(words[i : i + 11]), text[i : i + 11], 3, 4)]
+    parts = [r for i in range(0, 50, 8) for r in P._pairs_near(pa.array(words[i : i + 11]), text[i : i + 11], 3, 4, 8)]
     got = {}
     for bucket in {r[0] for r in parts}:
         table = pa.table({c: [r[k] for r in parts if r[0] == bucket] for k, c in enumerate(["bucket", "offsets", "letters", "a", "b", "n"])})
