@@ -270,7 +270,7 @@ def test_cooccurrence_in_pieces():
     parts = [r for i in range(0, 50, 8) for r in P._pairs_near(pa.array(words[i : i + 11]), text[i : i + 11], 3, 4, 8)]
     got = {}
     for bucket in {r[0] for r in parts}:
-        table = pa.table({c: [r[k] for r in parts if r[0] == bucket] for k, c in enumerate(["bucket", "offsets", "letters", "a", "b", "n"])})
+        table = pa.table({c: [r[k] for r in parts if r[0] == bucket] for k, c in enumerate(["bucket", "lengths", "letters", "a", "b", "n"])})
         got |= {(r["w1"], r["w2"]): r["n"] for r in P._pairs_summed(table, 2).to_pylist()}
     assert got == {k: n for k, n in want.items() if n >= 2}
 
